@@ -87,7 +87,7 @@ SELECT project_id, 'brand' || project_id AS brand,
 FROM projects
 """, "projects")
 _view("brand_domains", f"""
-SELECT DISTINCT page_id % 10 AS project_id, 'brand' || page_id % 10 AS brand, {bare_host('url')} AS domain FROM pages
+SELECT page_id % 10 AS project_id, min({bare_host('url')}) AS domain FROM pages GROUP BY 1
 """)
 _view("competitors", "SELECT project_id, unnest(['for','der','les','of']) AS keyword FROM projects", "projects")
 _view("client_pages", r"""

@@ -49,7 +49,7 @@ def jaro(a: Column, b: Column) -> Column:
 
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Jaro raised by a tenth of the gap for each of up to four shared leading characters."""
-    base = jaro(a, b)
     same = lambda n: (F.substring(a, 1, n) == F.substring(b, 1, n)) & (F.length(a) >= n) & (F.length(b) >= n)
     prefix = F.when(same(4), 4).when(same(3), 3).when(same(2), 2).when(same(1), 1).otherwise(0)
-    return base + prefix * 0.1 * (1 - base)
+    # base + prefix / 10 * (1 - base), with the large base expression written once
+    return jaro(a, b) * (1 - prefix * 0.1) + prefix * 0.1

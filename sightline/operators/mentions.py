@@ -121,57 +121,56 @@ def _edit_cap(name: Column) -> Column:
     return F.when(F.length(name) <= 4, 1).when(F.length(name) <= 7, 2).otherwise(3)
 
 
-def _fuzzy_confidence(token: Column, name: Column, floor: float) -> Column:
-    """Confidence of a near match, null if it does not pass. Rules by the length of the name."""
-    n, distance = F.length(name), F.levenshtein(token, name)
-    short = F.when(distance <= 1, (1 - distance / F.greatest(F.length(token), n)) * 0.9)
-    jw = jaro_winkler(token, name)
-    medium = F.when((distance <= 2) & (jw >= max(K.FUZZY_FLOOR_MEDIUM, floor)), jw * 0.9)
-    long = F.when((distance <= 3) & (jw >= floor), jw * 0.9)
-    return F.when(n <= 2, F.lit(None).cast("double")).when(n <= 4, short).when(n <= 7, medium).otherwise(long)
-
-
 def fuzzy_matches(df: DataFrame, floor: float = K.FUZZY_FLOOR) -> Column:
-    """Near matches of names of three or more characters: single words, and word groups for longer names.
+    """Near matches of names of three or more characters: single words, and word groups for names of several words.
 
-    Length and capped edit distance are tested before the similarity, so it runs on few pairs.
+    Length and capped edit distance are tested before the similarity, so it runs on few pairs. Names of up to
+    four characters go by edit distance alone, longer ones need a similarity as well.
     """
+    shape = "array<struct<text:string,at:int,len:int,distance:int>>"
 
-    def singles(name: Column, no: Column) -> Column:
-        lname = F.lower(name)
-        near = F.filter(
-            "_tokens",
-            lambda t: (F.length(lname) > 2) & (F.abs(F.length(t["text"]) - F.length(lname)) <= 2)
-            & (F.lower(t["text"]) != lname) & F.levenshtein(F.lower(t["text"]), lname, 3).between(0, _edit_cap(lname)),
-        )
-        return F.transform(
-            near,
-            lambda t: _match(_token_offset(t["i"], t["text"]), "fuzzy", no, F.length(t["text"]),
-                             _fuzzy_confidence(F.lower(t["text"]), lname, floor), t["text"]),
-        )
-
-    def groups(name: Column, no: Column) -> Column:
-        lname = F.lower(name)
-        n = F.size(F.split(name, r"\s+"))
+    def candidates(name: Column) -> Column:
+        cap, n = _edit_cap(name), F.size(F.split(name, r"\s+"))
         count = F.size("_tokens") - n + 1
-        grams = F.transform(F.sequence(F.lit(1), count), lambda s: F.slice("_tokens", s, n))
+        near = lambda text: (F.lower(text) != name) & F.levenshtein(F.lower(text), name, 3).between(0, cap)
         joined = lambda g: F.array_join(F.transform(g, lambda t: t["text"]), " ")
-        near = F.filter(
-            grams,
-            lambda g: (F.lower(joined(g)) != lname) & F.levenshtein(F.lower(joined(g)), lname, 3).between(0, _edit_cap(lname)))
+        words = F.filter("_tokens", lambda t: (F.abs(F.length(t["text"]) - F.length(name)) <= 2) & near(t["text"]))
+        grams = F.filter(
+            F.transform(F.sequence(F.lit(1), count), lambda s: F.slice("_tokens", s, n)), lambda g: near(joined(g)))
+
+        def from_word(t: Column) -> Column:
+            return F.struct(
+                t["text"].alias("text"), _token_offset(t["i"], t["text"]).alias("at"), F.length(t["text"]).alias("len"),
+                F.levenshtein(F.lower(t["text"]), name).alias("distance"))
 
-        def made(g: Column) -> Column:
+        def from_group(g: Column) -> Column:
             first, last = F.element_at(g, 1), F.element_at(g, -1)
             at = _token_offset(first["i"], first["text"])
             end = _token_offset(last["i"], last["text"]) + F.length(last["text"])
-            # word groups are compared by similarity only, which names under five characters do not use
-            confidence = F.when(F.length(lname) > 4, _fuzzy_confidence(F.lower(joined(g)), lname, floor))
-            return _match(at, "fuzzy", no, end - at, confidence, joined(g))
-
-        return F.when((n > 1) & (count > 0), F.transform(near, made)).otherwise(_no_matches())
+            return F.struct(
+                joined(g).alias("text"), at.alias("at"), (end - at).alias("len"),
+                F.levenshtein(F.lower(joined(g)), name).alias("distance"))
+
+        several = (n > 1) & (count > 0) & (F.length(name) > 4)
+        groups = F.when(several, F.transform(grams, from_group).cast(shape)).otherwise(F.array().cast(shape))
+        return F.when(F.length(name) > 2, F.concat(F.transform(words, from_word).cast(shape), groups)).otherwise(
+            F.array().cast(shape))
+
+    def matches(name: Column, no: Column) -> Column:
+        n = F.length(name)
+        scored = F.transform(
+            candidates(name),
+            lambda c: F.struct(c.alias("c"), F.when(n > 4, jaro_winkler(F.lower(c["text"]), name)).alias("jw")))
+        least = F.when(n <= 7, max(K.FUZZY_FLOOR_MEDIUM, floor)).otherwise(floor)
+        return F.transform(
+            F.filter(scored, lambda x: (n <= 4) | (x["jw"] >= least)),
+            lambda x: _match(
+                x["c"]["at"], "fuzzy", no, x["c"]["len"],
+                F.when(n <= 4, 1 - x["c"]["distance"] / F.greatest(F.length(x["c"]["text"]), n)).otherwise(x["jw"]) * 0.9,
+                x["c"]["text"]),
+        )
 
-    found = F.concat(F.flatten(F.transform("names", singles)), F.flatten(F.transform("names", groups)))
-    return F.filter(found, lambda m: m["confidence"].isNotNull())
+    return F.flatten(F.transform(F.transform("names", F.lower), matches))
 
 
 def contextual_matches(df: DataFrame) -> Column:

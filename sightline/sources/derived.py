@@ -116,11 +116,12 @@ class TestTables:
 
     # --- AI answers ---------------------------------------------------------------------------------
 
-    def answers(self) -> DataFrame:
+    def answers(self, conversations: DataFrame | None = None) -> DataFrame:
         """Assistant turns as AI answers: lists by conversation, and a citation of a page in one of four forms."""
+        source = self.raw("conversations") if conversations is None else conversations
         p = self.raw("pages")
         n = p.agg(F.count(F.lit(1)).alias("n"))
-        turns = self.raw("conversations").filter(C("role") == "assistant").crossJoin(F.broadcast(n))
+        turns = source.filter(C("role") == "assistant").crossJoin(F.broadcast(n))
         a = turns.withColumn("page_id", (C("conv_id") * 7 + C("turn")) % C("n"))
         a = a.join(p.select("page_id", C("url")), "page_id")
         k = C("conv_id")

@@ -7,7 +7,9 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("jobs",)
+MODULES = (
+    "audit", "scores", "mining", "citing", "joins", "metrics", "series", "business", "paging", "crawling", "jobs", "sinks",
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

@@ -19,12 +19,16 @@ from sightline.plans.answer_mining import mine_answers
 C = F.col
 
 
-def _with_micros(stream: DataFrame) -> DataFrame:
-    return stream.withColumn("at_us", F.unix_micros(C("ts").cast("timestamp")))
+LATE = "1 hour"
+
+
+def _timed(stream: DataFrame, late: str) -> DataFrame:
+    """Event time as a timestamp with a watermark, and in microseconds for the steps."""
+    return stream.withColumn("ts", C("ts").cast("timestamp")).withWatermark("ts", late).withColumn("at_us", F.unix_micros("ts"))
 
 
 def _stateful(stream: DataFrame, keys: list[str], step, schema: str, state_ddl: str, pack, unpack, idle_ms: int) -> DataFrame:
-    """Run a fold step per key with managed state; state of keys that stay idle for ``idle_ms`` is dropped."""
+    """Run a fold step per key with managed state; state of keys idle for ``idle_ms`` of event time is dropped."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -32,38 +36,38 @@ def _stateful(stream: DataFrame, keys: list[str], step, schema: str, state_ddl:
             return
         value = unpack(state.get) if state.exists else None
         rows = pd.concat(list(batches)).sort_values("at_us", kind="stable")  # one micro-batch of one key
-        out, value = step(value, rows)
+        out, value = step(value, rows.drop(columns="ts"))
         state.update(pack(value))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(int(rows["at_us"].iloc[-1]) // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         if len(out):
             yield out
 
-    return stream.groupBy(*keys).applyInPandasWithState(update, schema, state_ddl, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(*keys).applyInPandasWithState(update, schema, state_ddl, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def failure_alerts(
-    failures: DataFrame, threshold: int = 5, window_seconds: int = 600, cooldown_seconds: int = 600
+    failures: DataFrame, threshold: int = 5, window_seconds: int = 600, cooldown_seconds: int = 600, late: str = LATE
 ) -> DataFrame:
     """Alerts on a stream of terminal failures (queue, job_id, ts)."""
     step = failure_step(threshold, window_seconds * 1_000_000, cooldown_seconds * 1_000_000)
-    rows = _with_micros(failures).select("queue", "job_id", "at_us")
+    rows = _timed(failures, late).select("queue", "job_id", "ts", "at_us")
     return _stateful(
         rows, ["queue"], step, "queue string, job_id long, at_us long, failures long", "recent array<long>, last long",
         lambda s: (s[0], s[1]), lambda t: (list(t[0]), t[1]), 10 * 1000 * max(window_seconds, cooldown_seconds))
 
 
-def backlog_alerts(gauges: DataFrame, threshold: int = 100, cooldown_seconds: int = 600) -> DataFrame:
+def backlog_alerts(gauges: DataFrame, threshold: int = 100, cooldown_seconds: int = 600, late: str = LATE) -> DataFrame:
     step = cooldown_step(cooldown_seconds * 1_000_000)
-    rows = _with_micros(gauges.filter(C("waiting") > threshold)).select("queue", "at_us", "waiting")
+    rows = _timed(gauges.filter(C("waiting") > threshold), late).select("queue", "ts", "at_us", "waiting")
     return _stateful(
         rows, ["queue"], step, "queue string, at_us long, waiting long", "last long",
         lambda last: (last,), lambda t: t[0], 10 * 1000 * cooldown_seconds)
 
 
-def rate_decisions(requests: DataFrame, window_seconds: int = 60) -> DataFrame:
+def rate_decisions(requests: DataFrame, window_seconds: int = 60, late: str = LATE) -> DataFrame:
     """Sliding-limit decisions on a request stream (client, request_id, ts, max_requests)."""
     step = rate_step(window_seconds * 1_000_000, 0)
-    rows = _with_micros(requests).select("client", "request_id", "at_us", C("max_requests").cast("long").alias("max_requests"))
+    rows = _timed(requests, late).select("client", "request_id", "ts", "at_us", C("max_requests").cast("long").alias("max_requests"))
     return _stateful(
         rows, ["client"], step, "client string, request_id long, at_us long, max_requests long, allowed boolean, remaining long",
         "accepted array<long>", lambda s: (s,), lambda t: list(t[0]), 10 * 1000 * window_seconds)

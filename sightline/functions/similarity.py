@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_USED = ""
+_USED = "\ue001"
 
 
 def within_edits(a: Column, b: Column, cap: int | Column) -> Column:

@@ -118,7 +118,7 @@ class TestTables:
 
     def answers(self, conversations: DataFrame | None = None) -> DataFrame:
         """Assistant turns as AI answers: lists by conversation, and a citation of a page in one of four forms."""
-        source = self.raw("conversations") if conversations is None else conversations
+        source = spread(self.raw("conversations") if conversations is None else conversations)
         p = self.raw("pages")
         n = p.agg(F.count(F.lit(1)).alias("n"))
         turns = source.filter(C("role") == "assistant").crossJoin(F.broadcast(n))

@@ -103,7 +103,7 @@ def commissions(invoices: DataFrame) -> DataFrame:
     """Commission per invoice: tier by the number of earlier commissions of the affiliate, or a custom rate.
 
     Invoices without a positive amount earn nothing and do not count for the tier. Numbering runs per affiliate
-    and month and is then shifted, so a busy affiliate is not sorted in one task.
+    and day and is then shifted, so a busy affiliate is not sorted in one task.
     """
     paid = ordinal(invoices.filter(C("net_cents") > 0), ["affiliate_id"], ["paid_at", "invoice_id"], "_n")
     prior = C("_n") - 1

@@ -32,7 +32,7 @@ def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, r
 
 
 def _bucket(df: DataFrame, order: list[str], bucket: Column | None) -> DataFrame:
-    return df.withColumn("_bucket", F.date_trunc("month", F.col(order[0])) if bucket is None else bucket)
+    return df.withColumn("_bucket", F.date_trunc("day", F.col(order[0])) if bucket is None else bucket)
 
 
 def previous_row(
@@ -40,20 +40,20 @@ def previous_row(
 ) -> DataFrame:
     """Add the values of the row before, per key and ``order``, as ``previous_*`` (null on the first row).
 
-    ``bucket`` must grow with ``order`` (default: the month of the first order column). Rows are sorted
-    per (key, bucket) only; the first row of a bucket takes the last row of the bucket before it.
+    ``bucket`` must grow with ``order`` (default: the day of the first order column). Rows are sorted per (key,
+    bucket) only; the first row of a bucket takes the last row of the bucket before it. Null keys form a key.
     """
     rows = _bucket(df, order, bucket)
     inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     payload = F.struct(*[F.col(c) for c in columns])
-    rows = rows.withColumn("_previous", F.lag(payload).over(inner)).withColumn("_n", F.row_number().over(inner))
+    rows = rows.withColumn("_previous", F.lag(payload).over(inner))
 
     ends = _bucket(df, order, bucket).groupBy(*keys, "_bucket").agg(
         F.max_by(payload, F.struct(*[F.col(c) for c in order])).alias("_last")
     )
     chain = Window.partitionBy(*keys).orderBy("_bucket")
-    carried = ends.select(*keys, "_bucket", F.lag("_last").over(chain).alias("_carried"), F.lit(1).alias("_n"))
-    joined = rows.join(_null_safe(carried, keys + ["_bucket", "_n"]), _on(rows, keys + ["_bucket", "_n"]), "left")
+    carried = ends.select(*keys, "_bucket", F.lag("_last").over(chain).alias("_carried"))
+    joined = rows.join(_null_safe(carried, keys + ["_bucket"]), _on(rows, keys + ["_bucket"]), "left")
     before = F.coalesce("_previous", "_carried")
     return joined.select(*df.columns, *[before.getField(c).alias(prefix + c) for c in columns])
 

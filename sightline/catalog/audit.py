@@ -134,7 +134,40 @@ def check_faq_schema(t):
     return _check(t, "faq-schema", t.rich_pages())
 
 
-@query("check_semantic_quality")
+def _words_sql(x: str) -> str:
+    return f"list_filter(string_split_regex(lower({x}), '\\s+'), lambda w: length(w) >= 2 AND regexp_matches(w, '[a-zäöüß]'))"
+
+
+_STOP = ", ".join(f"'{w}'" for w in sorted(set(K.STOPWORDS)))
+_SEMANTIC = f"""
+WITH {_PAGE_FACTS.strip()},
+txt AS (SELECT page_id, trim(regexp_replace({_text("regexp_extract(clean, '(?s)<article>(.*?)(</article>|$)', 1)")}, '\\s+', ' ', 'g')) AS content, {_text("clean")} AS whole FROM raw),
+w AS (SELECT page_id, content, len({_words_sql('whole')}) AS all_words, {_words_sql('content')} AS cw,
+    list_filter(list_transform(list_filter(list_transform(string_split_regex(content, '[.!?]+'), lambda t: trim(t)), lambda t: length(t) > 10), lambda t: len({_words_sql('t')})), lambda n: n > 0) AS sw,
+    len(list_filter(list_transform(string_split_regex(content, '[.!?]+'), lambda t: trim(t)), lambda t: length(t) > 10)) AS sentences FROM txt),
+pw AS (SELECT page_id, len({_words_sql("trim(" + _text("regexp_replace(segs[i], '(?s)(</p>|<footer>).*', '')") + ")")}) AS n, length(trim({_text("regexp_replace(segs[i], '(?s)(</p>|<footer>).*', '')")})) AS chars
+  FROM (SELECT *, unnest(range(2, len(segs) + 1)) AS i FROM facts)),
+ps AS (SELECT page_id, count(*) AS paragraphs, avg(n) AS mean_p, stddev_pop(n) AS dev_p FROM pw WHERE chars >= 10 AND n > 0 GROUP BY 1),
+pl AS (SELECT page_id, unnest(list_filter(cw, lambda x: x NOT IN ({_STOP}))) AS word FROM w),
+fr AS (SELECT page_id, count(*) AS uniq, sum(c) AS tot, max(c) AS top FROM (SELECT page_id, word, count(*) AS c FROM pl GROUP BY 1, 2) GROUP BY 1),
+m AS (SELECT w.*, coalesce(paragraphs, 0) AS paragraphs, coalesce(mean_p, 0) AS mean_p, CASE WHEN paragraphs > 1 THEN dev_p ELSE 0 END AS dev_p, coalesce(uniq / tot, 0) AS ttr, coalesce(top / tot, 0) AS top_share,
+  coalesce(list_avg(sw), 0) AS mean_s, CASE WHEN len(sw) > 1 THEN list_stddev_pop(sw) ELSE 0 END AS dev_s, len(regexp_extract_all(content, '\\?')) AS q, len(regexp_extract_all(content, '\\b\\d[\\d.,]*\\b')) AS numbers,
+  len(list_filter(cw, lambda x: length(x) >= 10)) AS longs FROM w LEFT JOIN ps USING (page_id) LEFT JOIN fr USING (page_id)),
+s AS (SELECT page_id, (CASE WHEN all_words >= 300 THEN 10 WHEN all_words >= 150 THEN 7 WHEN all_words >= 50 THEN 4 ELSE 0 END + CASE WHEN sentences >= 10 THEN 5 WHEN sentences >= 5 THEN 3 ELSE 0 END
+  + CASE WHEN paragraphs >= 5 THEN 7 WHEN paragraphs >= 3 THEN 5 WHEN paragraphs >= 1 THEN 2 ELSE 0 END
+  + CASE WHEN mean_p BETWEEN 40 AND 120 THEN 7 WHEN mean_p BETWEEN 20 AND 200 THEN 5 WHEN paragraphs > 0 THEN 2 ELSE 0 END
+  + CASE WHEN dev_p > 15 THEN 6 WHEN dev_p > 5 THEN 4 WHEN paragraphs > 1 THEN 2 ELSE 0 END
+  + CASE WHEN ttr >= 0.6 THEN 10 WHEN ttr >= 0.4 THEN 7 WHEN ttr >= 0.2 THEN 4 WHEN all_words > 0 THEN 2 ELSE 0 END
+  + CASE WHEN top_share < 0.03 THEN 5 WHEN top_share < 0.06 THEN 3 WHEN all_words > 0 THEN 1 ELSE 0 END
+  + CASE WHEN mean_s BETWEEN 10 AND 25 THEN 8 WHEN mean_s BETWEEN 8 AND 35 THEN 5 WHEN sentences > 0 THEN 2 ELSE 0 END
+  + CASE WHEN dev_s > 5 THEN 7 WHEN dev_s > 3 THEN 5 WHEN sentences > 1 THEN 2 ELSE 0 END + CASE WHEN q >= 2 THEN 5 WHEN q >= 1 THEN 3 ELSE 0 END
+  + CASE WHEN len(cw) / all_words >= 0.6 THEN 15 WHEN len(cw) / all_words >= 0.4 THEN 10 WHEN len(cw) / all_words >= 0.2 THEN 5 ELSE 2 END
+  + CASE WHEN numbers >= 5 THEN 5 WHEN numbers >= 2 THEN 3 ELSE 0 END + CASE WHEN longs >= 10 THEN 5 WHEN longs >= 5 THEN 3 WHEN longs >= 1 THEN 1 ELSE 0 END
+  + least(5, (numbers + longs) // 3))::INT AS score FROM m)
+SELECT page_id, score, {_STATUS} FROM s"""
+
+
+@query("check_semantic_quality", _SEMANTIC)
 def check_semantic_quality(t):
     return _check(t, "semantic-quality")
 

@@ -7,7 +7,7 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from sightline.catalog import query
+from sightline.catalog import ORACLE, query
 from sightline.catalog.mining import _strategy_sql, config
 from sightline.catalog.views import sql
 from sightline.operators import jobs as J
@@ -52,6 +52,17 @@ def backlog_alerts(t):
     return J.backlog_alerts(gauges, 100, 6 * H)
 
 
+_BACKLOG_SQL = ORACLE["backlog_alerts"]
+
+
+@query("stream_backlog_alerts", _BACKLOG_SQL)
+def stream_backlog_alerts(t):
+    """The same on a stream of gauge readings."""
+    gauges = _stream(t, "events").select(
+        F.concat(F.lit("queue"), C("user_id") % 5).alias("queue"), "ts", F.floor("value").alias("waiting"))
+    return _run(t, S.backlog_alerts(gauges, 100, 6 * H))
+
+
 @query("alert_outcomes", sql("""
 WITH m AS (SELECT project_id, count_if(mentioned_at BETWEEN TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-01-25') AS cur, count_if(mentioned_at BETWEEN TIMESTAMP '2024-01-14 23:59:59.999' AND TIMESTAMP '2024-01-19 23:59:59.999') AS prev,
   count_if(mention_type = 'citation' AND mentioned_at >= TIMESTAMP '2024-01-24 12:00:00') AS cites FROM mentions GROUP BY 1),

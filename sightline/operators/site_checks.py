@@ -35,7 +35,7 @@ def usable_side_files(files: DataFrame) -> DataFrame:
 
 def site_files(files: DataFrame) -> DataFrame:
     """One row per site with a column per file; the first of two paths wins where there are two."""
-    by_path = usable_side_files(files).groupBy("site").pivot("path", list(K.SIDE_PATHS)).agg(F.first("content"))
+    by_path = usable_side_files(files).groupBy("site").pivot("path", list(K.SIDE_PATHS)).agg(F.max("content"))
     file = lambda p: C(f"`{p}`")
     return by_path.select(
         "site",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sightline import constants as K
 from sightline.functions import dates
 from sightline.functions.numbers import round_half_up
-from sightline.operators.skew import latest_per_key, previous_row, top_k_per_key
+from sightline.operators.skew import latest_per_key, previous_row, previous_values, top_k_per_key
 
 C = F.col
 
@@ -44,15 +44,11 @@ def trend_label(first: Column, last: Column, points: Column, band: float = K.TRE
 def score_trends(history: DataFrame, key: str, order: list[str], score: str, bucket: Column | None = None) -> DataFrame:
     """Trend of every score against the first of the (up to) four latest scores at its time.
 
-    The scores one, two and three rows back come from bucketed lags, so a long history is not sorted in one task.
+    The three scores before come from a bucketed look-back, so a long history is not sorted in one task.
     """
-    df = history
-    for n in (1, 2, 3):
-        source = score if n == 1 else f"_{n - 1}"
-        df = previous_row(df, [key], order, [source], prefix="_p_", bucket=bucket).withColumnRenamed(f"_p_{source}", f"_{n}")
-    points = 1 + sum((C(f"_{n}").isNotNull().cast("int") for n in (1, 2, 3)), F.lit(0))
-    first = F.coalesce("_3", "_2", "_1", C(score))
-    return df.withColumn("trend", trend_label(first, C(score), points)).drop("_1", "_2", "_3")
+    df = previous_values(history, [key], order, score, 3, "_before", bucket)
+    first = F.coalesce(F.try_element_at(C("_before"), F.lit(-1)), C(score))
+    return df.withColumn("trend", trend_label(first, C(score), 1 + F.size("_before"))).drop("_before")
 
 
 def latest_trends(history: DataFrame, key: str, order: list[Column], score: str) -> DataFrame:

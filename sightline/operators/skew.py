@@ -58,6 +58,30 @@ def previous_row(
     return joined.select(*df.columns, *[before.getField(c).alias(prefix + c) for c in columns])
 
 
+def previous_values(
+    df: DataFrame, keys: list[str], order: list[str], column: str, n: int, name: str = "previous", bucket: Column | None = None
+) -> DataFrame:
+    """Add the values of the up to ``n`` rows before, newest first, per key and ``order``.
+
+    As ``previous_row``, in one pass: each bucket hands on its last ``n`` values, and a row looks back over at most
+    ``n`` buckets, as each has at least one row.
+    """
+    rows = _bucket(df, order, bucket)
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    item = F.struct(F.col(column).alias("v"))
+    near = F.filter(F.array(*[F.lag(item, i).over(inner) for i in range(1, n + 1)]), lambda x: x.isNotNull())
+    rows = rows.withColumn("_near", near)
+
+    tail = _bucket(df, order, bucket).select(*dict.fromkeys([*keys, "_bucket", *order, column]))
+    tail = top_k_per_key(tail, [*keys, "_bucket"], [F.desc(c) for c in order], n, "_rank")
+    ends = tail.groupBy(*keys, "_bucket").agg(F.array_sort(F.collect_list(F.struct("_rank", F.col(column).alias("v")))).alias("_tail"))
+    earlier = Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(1, n)
+    carried = ends.select(*keys, "_bucket", F.flatten(F.collect_list("_tail").over(earlier)).alias("_carried"))
+    joined = rows.join(_null_safe(carried, keys + ["_bucket"]), _on(rows, keys + ["_bucket"]), "left")
+    values = lambda c: F.transform(c, lambda x: x["v"])
+    return joined.select(*df.columns, F.slice(F.concat(values("_near"), values("_carried")), 1, n).alias(name))
+
+
 def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal", bucket: Column | None = None) -> DataFrame:
     """Add the 1-based position of each row within its key, numbering bucket by bucket."""
     rows = _bucket(df, order, bucket)

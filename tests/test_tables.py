@@ -15,7 +15,7 @@ from sightline.operators import jobs as J
 from sightline.operators import paging as P
 from sightline.operators import series as S
 from sightline.operators.prompts import render_templates
-from sightline.operators.skew import latest_per_key, ordinal, previous_row, top_k_per_key
+from sightline.operators.skew import latest_per_key, ordinal, previous_row, previous_values, top_k_per_key
 from sightline.sources import sinks
 
 C = F.col
@@ -39,6 +39,13 @@ def test_previous_row_equals_a_plain_lag(hot):
     assert {r["id"]: r["n"] for r in numbered.collect()} == {r["id"]: r["n"] for r in plain.collect()}
 
 
+def test_previous_values_equal_plain_lags(hot):
+    w = Window.partitionBy("k").orderBy("t", "id")
+    plain = hot.select("id", F.array_compact(F.array(*[F.lag("v", i).over(w) for i in (1, 2, 3)])).alias("p"))
+    got = previous_values(hot, ["k"], ["t", "id"], "v", 3)
+    assert {r["id"]: r["previous"] for r in got.collect()} == {r["id"]: r["p"] for r in plain.collect()}
+
+
 def test_latest_and_top_k(hot):
     w = Window.partitionBy("k").orderBy(C("t").desc(), C("id").desc())
     plain = hot.withColumn("n", F.row_number().over(w))

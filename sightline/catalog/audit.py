@@ -84,7 +84,7 @@ def host_audit(t):
     pages = t.pages()
     checks = audit_pages(pages, AS_OF, PAGE_CHECKS.subset(SLICE))
     scores = scoring.scan_scores(checks, "page_id").select("page_id", "overall_score")
-    hosts = pages.select("page_id", urls.host(C("final_url")).alias("host"))
+    hosts = t.raw("pages").select("page_id", urls.host(C("url")).alias("host"))
     return scores.join(hosts, "page_id").groupBy("host").agg(
         F.count(F.lit(1)).alias("pages"), F.round(F.avg("overall_score"), 4).alias("avg_score"))
 

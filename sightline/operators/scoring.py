@@ -41,9 +41,11 @@ def level_of(score: Column) -> Column:
     return out
 
 
-def scan_scores(checks: DataFrame, key: str = "scan_id") -> DataFrame:
+def scan_scores(checks: DataFrame, key: str = "scan_id", extra: tuple[Column, ...] = ()) -> DataFrame:
     """Overall, category, current and future scores and the readiness level: one aggregate, one shuffle by scan.
 
+    ``extra`` adds aggregates of the caller to the same pass.
+
     Checks with status ``error`` and unknown ids are left out. A category nobody evaluated stays null.
     A level needs its gate checks (and those of lower levels) at 50 or more; an absent gate check is skipped.
     """
@@ -60,7 +62,7 @@ def scan_scores(checks: DataFrame, key: str = "scan_id") -> DataFrame:
         *[_weighted(C("category") == c).alias(c) for c in K.CATEGORIES],
         F.coalesce(_weighted(C("check_id").isin(*K.CURRENT_CHECKS)), F.lit(0)).alias("current_readiness"),
         F.coalesce(_weighted(C("check_id").isin(*K.FUTURE_CHECKS)), F.lit(0)).alias("future_readiness"),
-        *gates.values(),
+        *gates.values(), *extra,
     )
     ceiling = level_of(C("overall_score"))
     passed = (

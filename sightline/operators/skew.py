@@ -102,15 +102,4 @@ def _on(left: DataFrame, names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(F.col("_r_" + n)) for n in names])
 
 
-def salted(df: DataFrame, seed_column: str, salts: int, name: str = "_salt") -> DataFrame:
-    """Add a salt from a hash of a column, so that retried tasks give the same salt."""
-    return df.withColumn(name, F.pmod(F.xxhash64(seed_column), F.lit(salts)))
-
-
-MAX_BROADCAST_ROWS = 200_000
-
-
-def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the table is proven small (counted up to the bound), else leave it to a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+MAX_BROADCAST_ROWS = 200_000  # a table up to this many rows may be broadcast, once counted

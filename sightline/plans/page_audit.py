@@ -62,11 +62,9 @@ def full_audit(
 
 def audit_summary(checks: DataFrame, key: str = "page_id") -> DataFrame:
     """Overall score, number of checks passed, and the band the score falls in."""
-    scores = scoring.scan_scores(checks, key).select(key, "overall_score")
-    counts = checks.groupBy(key).agg(
-        F.count_if(C("status") == "pass").alias("passed"), F.count(F.lit(1)).alias("checks")
-    )
+    counts = (F.count_if(C("status") == "pass").alias("passed"), F.count(F.lit(1)).alias("checks"))
     band = F.when(C("overall_score") >= 80, "well optimised").when(C("overall_score") >= 50, "needs work").otherwise(
         "hardly visible"
     )
-    return scores.join(counts, key).withColumn("band", band)
+    rows = scoring.scan_scores(checks, key, counts).select(key, "overall_score", "passed", "checks")
+    return rows.withColumn("band", band)

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)  # only called with an active session
-
-
 DDL = {
     "pages": "page_id LONG, input_url STRING, final_url STRING, html STRING, response_time_ms DOUBLE, "
              "status_code INT, redirects ARRAY<STRING>",
@@ -44,4 +40,4 @@ DDL = {
 
 
 def schema(name: str) -> T.StructType:
-    return _struct(DDL[name])
+    return T.StructType.fromDDL(DDL[name])

@@ -44,9 +44,12 @@ def ensure_conf(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts: the cluster's setting, else a temporary one (tests)."""
+    """The folder that driver and executors share for lineage cuts: the cluster's setting. Only a session on one machine
+    (tests, bench) gets a temporary one; elsewhere it would be lost with its executor."""
     existing = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if existing is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         existing = tempfile.mkdtemp(prefix="sightline-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(existing)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import chunks, shingle_sets, written
@@ -59,7 +59,7 @@ def frequent_shingles(docs: DataFrame, hot: int = HOT, bits: int = HOT_BITS) ->
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _texts(batch)
-            for a, b in chunks(texts, 16 << 20):
+            for a, b in chunks(texts):
                 h = np.sort(shingle_sets(texts[a:b])[1])
                 at = np.searchsorted(h, np.arange(1 << spread, dtype=np.uint64) << np.uint64(64 - spread))
                 rest = ((h << np.uint64(spread)) >> np.uint64(32)).astype(np.uint32)
@@ -119,17 +119,28 @@ def sketches(docs: DataFrame, frequent: bytes, share: tuple[int, int] = (75, 100
     )
 
 
+def _possible(overlap: Column) -> Column:
+    """Whether sets of the sizes na and nb can be similar enough if they share at most ``overlap`` shingles."""
+    return (F.col("a") < F.col("b")) & (100 * overlap >= 75 * (F.col("na") + F.col("nb") - overlap))
+
+
 def _lists_to_pairs(postings: DataFrame) -> DataFrame:
-    """All pairs of each (bounded) inverted list, smaller id first, once each."""
-    lists = postings.groupBy("v").agg(F.array_sort(F.collect_set(F.struct("rep", "n"))).alias("m")).filter(F.size("m") > 1)
+    """Pairs of the (bounded) lists of rare values whose retained overlap allows the similarity.
+
+    All values that two sets share up to the end of the shorter-reaching sketch are retained by both. So the sets share at most the
+    counted values and what that sketch left out; if both sketches reach into frequent values, at most the counted and
+    the smaller number of frequent ones.
+    """
+    lists = postings.groupBy("v").agg(F.array_sort(F.collect_set(F.struct("rep", "n", "h"))).alias("m")).filter(F.size("m") > 1)
     first = lists.select("m", F.posexplode("m").alias("i", "a"))
     pairs = first.select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
-    return _near_sizes(pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")))
-
-
-def _near_sizes(pairs: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the similarity."""
-    return pairs.filter((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb"))).select("a", "b").distinct()
+    pairs = pairs.groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).agg(
+        F.count(F.lit(1)).alias("both"), *[F.first(f"{x}.{c}").alias(c + x) for x in "ab" for c in "nh"]
+    )
+    left_out = [F.ceil(F.col(n) * 75 / 100) - 1 for n in ("na", "nb")]
+    beyond = F.when((F.col("ha") > 0) & (F.col("hb") > 0), F.least("ha", "hb")).when(F.col("ha") > 0, left_out[1]).when(F.col("hb") > 0, left_out[0])
+    bound = F.least("na", "nb", F.col("both") + F.coalesce(beyond, F.greatest(*left_out)))
+    return pairs.filter(_possible(bound)).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -192,34 +203,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = ["n_shingles", "f1", "f2"]
     classes = written(real.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
     own = real.join(classes.select(F.col("rep").alias("doc_id"), *keys), ["doc_id", *keys], "left_semi")
-    own = own.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "rare", "frequent")
-
-    rare = own.select("rep", "n", F.explode("rare").alias("v"))
-    hot = written(own.filter(F.size("frequent") > 0).select("rep", "n", F.posexplode("frequent").alias("rank", "v")), "frequent")
-    # every member of a frequent list meets two pivots, in the lists of its first few frequent values
-    ends = hot.groupBy("v").agg(F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("n", "rep")).alias("large"))
+    own = own.select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), "rare", "frequent")
+    # h: how many frequent shingles a set has, if it retains any; then it retains all its rare ones
+    own = own.withColumn("h", F.when(F.size("frequent") > 0, F.col("n") - F.size("rare")).otherwise(0))
+
+    rare = own.select("rep", "n", "h", F.explode("rare").alias("v"))
+    hot = written(own.filter("h > 0").select("rep", "n", "h", F.posexplode("frequent").alias("rank", "v")), "frequent")
+    # every member of a frequent list meets two pivots, in the lists of its first few frequent values. Pairs that share a
+    # rare value are found in its list; all others share frequent ones only
+    ends = hot.groupBy("v").agg(F.min(F.struct("rep", "n", "h")).alias("low"), F.max(F.struct("h", "rep", "n")).alias("large"))
     star = hot.filter("rank < 4").join(ends, "v").select(
-        F.struct("rep", "n").alias("x"), F.explode(F.array(F.col("low"), F.struct(F.col("large.rep"), F.col("large.n")))).alias("y")
+        F.struct("rep", "n", "h").alias("x"), F.explode(F.array(F.col("low"), F.struct("large.rep", "large.n", "large.h"))).alias("y")
     ).distinct()
-    star = _near_sizes(star.select(
-        F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")
-    ))
+    star = star.select(
+        F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"),
+        F.least("x.h", "y.h").alias("h"),
+    ).filter(_possible(F.col("h"))).select("a", "b").distinct()
     pairs = written(_lists_to_pairs(rare).union(star).distinct(), "pairs")
     links = written(verified(pairs, docs), "links")
     labels = components(links)
 
     # members of frequent lists that are still outside the list's largest class meet the list's other classes
-    member = hot.select("v", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select(
-        "v", "rep", "n", F.coalesce("label", "rep").alias("class")
-    )
+    member = hot.join(labels, F.col("rep") == F.col("node"), "left").select("v", "rep", "n", "h", F.coalesce("label", "rep").alias("class"))
     sizes = member.groupBy("v", "class").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("v").agg(F.max_by("class", F.struct("size", "class")).alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("v", "main")
     mixed = written(member.join(main, "v"), "mixed")
-    outside = mixed.filter("class <> main").select("v", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("class").alias("cx"))
-    rest = outside.join(mixed.select("v", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("class").alias("cy")), "v").filter(
-        (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= 75 * F.greatest("nx", "ny"))
-    )
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda x: [F.col(c).alias(to + x) for c, to in (("rep", "r"), ("n", "n"), ("h", "h"), ("class", "c"))]
+    rest = mixed.filter("class <> main").select("v", *side("a")).join(mixed.select("v", *side("b")), "v").filter("ca <> cb")
+    rest = rest.withColumns({"a": F.least("ra", "rb"), "b": F.greatest("ra", "rb")}).filter(_possible(F.least("ha", "hb"))).select("a", "b").distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     more = written(verified(rest, docs), "links")
     labels = components(links.union(more).distinct())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import language_id, near_dedup
+from sightline.llm import language_id, line_dedup, near_dedup
 from sightline.llm.common import table
 from sightline.session import ensure_conf, ship_package
 
@@ -41,3 +41,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.filter(~language_id.held_out()))
     return language_id.identify(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_line_dedup_bitmaps", line_dedup.ORACLE)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.dropped_lines(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

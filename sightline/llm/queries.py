@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontamination, language_id, line_dedup, near_dedup
+from sightline.llm import decontamination, language_id, line_dedup, near_dedup, sentence_pieces
 from sightline.llm.common import table
 from sightline.session import ensure_conf, ship_package
 
@@ -53,3 +53,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_spaced_seed_decontamination", decontamination.ORACLE)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_sentence_pieces")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encode, decode = sentence_pieces.codec(spark, sentence_pieces.load_pieces())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("ids", encode("text"))
+    return docs.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        F.col("text").eqNullSafe(decode("ids")).alias("round_trip"),
+    )

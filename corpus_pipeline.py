@@ -1,4 +1,14 @@
-"""A cleaning pipeline over ``documents``: each stage is one operator of ``sightline.llm``, written as Parquet and reread."""
+"""A cleaning pipeline over ``documents``: each stage applies one operator of ``sightline.llm``, its result is written as
+Parquet and reread as the next one's documents.
+
+1. ``language``: documents without a letter, or of which the best language contains less than a fifth of the n-grams, go.
+2. ``lines``: lines found in at least ten documents go from every document; documents stay, if only as an empty text.
+3. ``near_duplicates``: of each class of near-duplicates the document with the smallest id stays. Null ids stay.
+4. ``benchmark``: documents that hold a passage of a benchmark item go.
+5. ``pieces``: every text is encoded, and decoded again; ``text`` is the decoded one.
+
+``n_chars`` follows the text. Further columns of the input are kept as they are.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +17,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import near_dedup
+from sightline.llm import decontamination, language_id, line_dedup, near_dedup, sentence_pieces
 from sightline.llm.common import table, written
 from sightline.session import ensure_conf, ship_package
 
+#: a text of which no language contains this share of the n-grams is no text of a known language
+LEAST_SCORE = 0.2
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    found = docs.withColumn("_language", language_id.predictor(spark, model)(F.col("text").cast("string")))
+    return found.filter((F.col("_language.lang_pred") != language_id.UNDETERMINED) & (F.col("_language.score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def without_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.dropped_lines(docs))
+    changed = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    gone = near_dedup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    leaks = decontamination.overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti").select(*docs.columns)
+
+
+def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    encode, decode = sentence_pieces.codec(spark, sentence_pieces.load_pieces())
+    coded = docs.withColumn("ids", encode(F.col("text").cast("string")))
+    return coded.withColumns({"text": decode("ids"), "n_pieces": F.size("ids").cast("long")})
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", known_language),
+    ("lines", without_frequent_lines),
     ("near_duplicates", one_of_each_group),
+    ("benchmark", without_benchmark),
+    ("pieces", as_pieces),
 ]
 
-#: the stages are not expressible in SQL; tests compare them with brute force
+#: the language and encoding stages are not expressible in SQL; tests compare the pipeline with brute force
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontamination, language_id, line_dedup, near_dedup, sentence_pieces
+from sightline.llm import decontamination, language_id, line_dedup, near_dedup, nearest_vectors, sentence_pieces
 from sightline.llm.common import table
 from sightline.session import ensure_conf, ship_package
 
@@ -63,3 +63,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
         F.col("text").eqNullSafe(decode("ids")).alias("round_trip"),
     )
+
+
+@query("op1_robust_pruned_graph")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_vectors.nearest(vectors, vectors.filter("vec_id % 20 = 0"))

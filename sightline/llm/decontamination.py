@@ -20,11 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.common import bit_table, might_contain
+
 #: positions of the tokens that each mask picks
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 7, 8), (0, 1, 3, 6, 8, 9), (0, 2, 3, 5, 7, 8))
 WINDOW, SHARE = 13, 0.8
-#: 64-bit words of the table of item hashes
-TABLE_WORDS = 1 << 16
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -59,30 +59,14 @@ def seeds(benchmark: DataFrame) -> DataFrame:
     return rows.filter("h IS NOT NULL")
 
 
-def _bits(h: Column) -> list[tuple[Column, Column]]:
-    """Two (word, bit) places of a hash in the table."""
-    part = lambda by: F.shiftrightunsigned(h, by)
-    return [(part(by).bitwiseAND(F.lit(TABLE_WORDS - 1)).cast("int"), part(by + 40).bitwiseAND(F.lit(63)).cast("int")) for by in (0, 18)]
-
-
-def seed_table(found: DataFrame) -> DataFrame:
-    """One row with the bit table of the seeds, an array of TABLE_WORDS 64-bit words."""
-    places = found.select(F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _bits(F.col("h"))])).alias("p"))
-    words = places.groupBy(F.col("p.word").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, p.bit)")).alias("bits"))
-    every = found.sparkSession.range(TABLE_WORDS).select(F.col("id").cast("int").alias("word"))
-    dense = every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits"))
-
-
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, first_token, hits): the items that each document holds, the most equal tokens in a
     window, where the first such window starts, and the number of seed hits in such windows."""
     found = seeds(benchmark)
-    table = seed_table(found).scalar()
+    table = bit_table(found)
     rows = _positions(docs.select("doc_id", tokens(F.col("text")).alias("w")), "doc_id")
     picked = rows.withColumns({f"h{m}": _seed(F.col("w"), F.col("at"), m) for m in range(len(MASKS))})
-    in_table = lambda h: [F.getbit(F.get(table, w), b) == 1 for w, b in _bits(h)]
-    passed = {f"h{m}": F.when(in_table(F.col(f"h{m}"))[0] & in_table(F.col(f"h{m}"))[1], F.col(f"h{m}")) for m in range(len(MASKS))}
+    passed = {f"h{m}": F.when(might_contain(table, F.col(f"h{m}")), F.col(f"h{m}")) for m in range(len(MASKS))}
     picked = picked.withColumns(passed).filter(F.coalesce(*passed).isNotNull())
     near = picked.select(
         "doc_id", "at", _around(F.col("w"), F.col("at")).alias("near"), F.explode(F.array(*passed)).alias("h")

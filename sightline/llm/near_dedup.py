@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import chunks, shingle_sets, written
+from sightline.llm.common import bit_table, chunks, might_contain, shingle_sets, written
 
 #: a shingle of at least so many documents is frequent
 HOT = 32
@@ -145,8 +145,9 @@ def _lists_to_pairs(postings: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs that pass the sketch estimate and the exact similarity of their full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", "text")
+    # texts of other documents don't get past the scan, but for a few false hits of the bit table
+    named = bit_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.xxhash64("id").alias("h")))
+    texts = docs.filter(F.col("doc_id").isNotNull() & might_contain(named, F.xxhash64("doc_id"))).select("doc_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -38,10 +38,15 @@ def _seed(words: Column, at: Column, mask: int) -> Column:
     return F.when(at + MASKS[mask][-1] < F.size(words), F.xxhash64(F.lit(mask), *picked))
 
 
+def _hashes() -> Column:
+    """A row for the hash of each mask at position ``at`` of ``w``."""
+    return F.explode(F.array(*[_seed(F.col("w"), F.col("at"), m) for m in range(len(MASKS))]))
+
+
 def _positions(df: DataFrame, *carry: str) -> DataFrame:
-    """A row for each position at which the shortest mask fits."""
-    last = F.size("w") - min(m[-1] for m in MASKS) - 1
-    return df.filter(last >= 0).select(*carry, "w", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    """A row for each position at which the shortest mask fits (one at least, where no mask may fit)."""
+    last = F.greatest(F.size("w") - min(m[-1] for m in MASKS) - 1, F.lit(0))
+    return df.select(*carry, "w", F.explode(F.sequence(F.lit(0), last)).alias("at"))
 
 
 def _around(words: Column, at: Column) -> Column:
@@ -54,7 +59,7 @@ def seeds(benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", tokens(F.col("text")).alias("w"))
     rows = _positions(items, "item_id").select(
         "item_id", F.col("at").alias("item_at"), F.size("w").alias("item_size"), _around(F.col("w"), F.col("at")).alias("item_near"),
-        F.explode(F.array(*[_seed(F.col("w"), F.col("at"), m) for m in range(len(MASKS))])).alias("h"),
+        _hashes().alias("h"),
     )
     return rows.filter("h IS NOT NULL")
 
@@ -65,12 +70,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = seeds(benchmark)
     table = bit_table(found)
     rows = _positions(docs.select("doc_id", tokens(F.col("text")).alias("w")), "doc_id")
-    picked = rows.withColumns({f"h{m}": _seed(F.col("w"), F.col("at"), m) for m in range(len(MASKS))})
-    passed = {f"h{m}": F.when(might_contain(table, F.col(f"h{m}")), F.col(f"h{m}")) for m in range(len(MASKS))}
-    picked = picked.withColumns(passed).filter(F.coalesce(*passed).isNotNull())
-    near = picked.select(
-        "doc_id", "at", _around(F.col("w"), F.col("at")).alias("near"), F.explode(F.array(*passed)).alias("h")
-    ).filter("h IS NOT NULL")
+    picked = rows.select("doc_id", "w", "at", _hashes().alias("h")).filter(F.col("h").isNotNull() & might_contain(table, F.col("h")))
+    near = picked.select("doc_id", "at", _around(F.col("w"), F.col("at")).alias("near"), "h")
     hits = near.join(found, "h").select("doc_id", "item_id", "at", "item_at", "item_size", "near", "item_near").distinct()
     same = F.zip_with("near", "item_near", lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"))
     length = F.least("item_size", F.lit(WINDOW))

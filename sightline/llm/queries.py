@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontamination, language_id, line_dedup, near_dedup, nearest_vectors, sentence_pieces
+from sightline.llm import decontamination, language_id, line_dedup, near_dedup, nearest_vectors, sentence_pieces, url_reputation
 from sightline.llm.common import table
 from sightline.session import ensure_conf, ship_package
 
@@ -69,3 +69,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest_vectors.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@query("op4_host_reputation", url_reputation.ORACLE)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))

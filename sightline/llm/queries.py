@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontamination, language_id, line_dedup, near_dedup, nearest_vectors, sentence_pieces, url_reputation
+from sightline.llm import decontamination, language_id, line_dedup, near_dedup, nearest_vectors, sentence_pieces, sharding, url_reputation
 from sightline.llm.common import table
 from sightline.session import ensure_conf, ship_package
 
@@ -74,3 +74,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_host_reputation", url_reputation.ORACLE)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_vector_bin_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = sharding.pack(table(spark, sf_dir, "documents"))
+    return packed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens"
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontamination, language_id, line_dedup, near_dedup, nearest_vectors, sentence_pieces, sharding, url_reputation
+from sightline.llm import archives, decontamination, language_id, line_dedup, near_dedup, nearest_vectors, sentence_pieces, sharding, url_reputation
 from sightline.llm.common import table
 from sightline.session import ensure_conf, ship_package
 
@@ -82,3 +82,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens"
     )
+
+
+@query("op9_arc_to_warc", archives.ORACLE)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.converted(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import archives, decontamination, language_id, line_dedup, near_dedup, nearest_vectors, sentence_pieces, sharding, url_reputation
+from sightline.llm import archives, decontamination, language_id, line_dedup, near_dedup, nearest_vectors, sentence_pieces, sharding, tool_calls, url_reputation
 from sightline.llm.common import table
 from sightline.session import ensure_conf, ship_package
 
@@ -87,3 +87,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_arc_to_warc", archives.ORACLE)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.converted(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_tool_call_linking", tool_calls.ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.from_conversations(table(spark, sf_dir, "conversations"))
+    return tool_calls.linked(calls, results, tool_calls.tool_table(spark))

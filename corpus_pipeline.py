@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import decontamination, language_id, line_dedup, near_dedup, sentence_pieces
-from sightline.llm.common import table, written
+from sightline.llm.common import fresh, table, written
 from sightline.session import ensure_conf, ship_package
 
 #: a text of which no language contains this share of the n-grams is no text of a known language
@@ -27,14 +27,15 @@ LEAST_SCORE = 0.2
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.filter(~language_id.held_out()))
-    found = docs.withColumn("_language", language_id.predictor(spark, model)(F.col("text").cast("string")))
-    return found.filter((F.col("_language.lang_pred") != language_id.UNDETERMINED) & (F.col("_language.score") >= LEAST_SCORE)).select(*docs.columns)
+    own = fresh(docs, "_language")
+    found = docs.withColumn(own, language_id.predictor(spark, model)(F.col("text").cast("string")))
+    return found.filter((F.col(own)["lang_pred"] != language_id.UNDETERMINED) & (F.col(own)["score"] >= LEAST_SCORE)).select(*docs.columns)
 
 
 def without_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = line_dedup.apply_bitmaps(docs, line_dedup.dropped_lines(docs))
     changed = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns if c in kept.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +44,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontamination.overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti").select(*docs.columns)
+    leaks = decontamination.overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak")).distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak"]), "left_anti").select(*docs.columns)
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import chunks, mix
+from sightline.llm.common import chunks, fresh, mix
 
 UNDETERMINED = "und"
 SIZES = (3, 4)
@@ -149,5 +149,6 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 def identify(docs: DataFrame, model: Filter) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` from its ``text`` alone; columns of these names are replaced."""
-    found = docs.withColumn("_language", predictor(docs.sparkSession, model)(F.col("text").cast("string")))
-    return found.withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
+    own = fresh(docs, "_language")
+    found = docs.withColumn(own, predictor(docs.sparkSession, model)(F.col("text").cast("string")))
+    return found.withColumns({"lang_pred": F.col(own)["lang_pred"], "score": F.col(own)["score"]}).drop(own)

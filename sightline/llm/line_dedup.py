@@ -65,17 +65,19 @@ def dropped_positions(bitmap: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``. Rows without a bitmap keep their text (null: empty)."""
-    left = docs.withColumn("_k", _row_key(F.col("text").cast("string")))
-    right = bitmaps.select(F.col("doc_id").alias("_id"), F.col("k").alias("_right"), "bitmap")
-    joined = left.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_right")), "left")
-    parts = joined.withColumn("_lines", lines(F.col("text"))).withColumn("_gone", F.coalesce(dropped_positions(F.col("bitmap")), F.expr("array()").cast("array<int>")))
-    parts = parts.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dropped": F.size("_gone").cast("long")})
-    stay = F.array_except(F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")), F.col("_gone"))
-    kept = F.when(F.col("n_dropped") == 0, F.coalesce(F.col("text").cast("string"), F.lit(""))).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
-    )
-    return parts.withColumn("kept_text", kept).drop("_id", "_k", "_right", "_lines", "_gone", "bitmap")
+    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` (columns of these names are replaced). Rows without a bitmap
+    keep their text (null: empty)."""
+    text = F.col("text").cast("string")
+    left = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text.alias("whole"), _row_key(text).alias("key"))
+    right = bitmaps.select(F.col("doc_id").alias("right_id"), F.col("k").alias("right_key"), "bitmap")
+    joined = left.join(right, F.col("id").eqNullSafe(F.col("right_id")) & (F.col("key") == F.col("right_key")), "left")
+    parts = joined.select("row", "whole", lines(F.col("whole")).alias("lines"), F.coalesce(dropped_positions(F.col("bitmap")), F.expr("array()").cast("array<int>")).alias("gone"))
+    parts = parts.select("row", "whole", "lines", "gone", F.size("lines").alias("n"), F.size("gone").alias("dropped"))
+    stay = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), F.col("gone"))
+    kept = F.when(F.col("dropped") == 0, F.coalesce("whole", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
+    new = {"kept_text": kept, "n_lines": F.col("n").cast("long"), "n_dropped": F.col("dropped").cast("long")}
+    old = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in new]
+    return parts.select(*old, *[v.alias(k) for k, v in new.items()])
 
 
 ORACLE = f"""

@@ -224,14 +224,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(verified(pairs, docs), "links")
     labels = components(links)
 
-    # members of frequent lists that are still outside the list's largest class meet the list's other classes
-    member = hot.join(labels, F.col("rep") == F.col("node"), "left").select("v", "rep", "n", "h", F.coalesce("label", "rep").alias("class"))
+    # members of frequent lists that are still outside the list's largest class meet the list's other classes; a pair
+    # counts in the list of its first common value only
+    wide = hot.join(own.filter("h > 0").select(F.col("rep").alias("node"), F.col("frequent").alias("f")), F.col("rep") == F.col("node")).drop("node")
+    member = wide.join(labels, F.col("rep") == F.col("node"), "left").select("v", "rep", "n", "h", "f", F.coalesce("label", "rep").alias("class"))
     sizes = member.groupBy("v", "class").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("v").agg(F.max_by("class", F.struct("size", "class")).alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("v", "main")
     mixed = written(member.join(main, "v"), "mixed")
-    side = lambda x: [F.col(c).alias(to + x) for c, to in (("rep", "r"), ("n", "n"), ("h", "h"), ("class", "c"))]
-    rest = mixed.filter("class <> main").select("v", *side("a")).join(mixed.select("v", *side("b")), "v").filter("ca <> cb")
-    rest = rest.withColumns({"a": F.least("ra", "rb"), "b": F.greatest("ra", "rb")}).filter(_possible(F.least("ha", "hb"))).select("a", "b").distinct()
+    side = lambda df, x: df.select(F.col("v").alias("v" + x), *[F.col(c).alias(to + x) for c, to in (("rep", "r"), ("n", "n"), ("h", "h"), ("class", "c"), ("f", "f"))])
+    bound = F.least("ha", "hb")
+    can = (F.col("ca") != F.col("cb")) & (100 * bound >= 75 * (F.col("na") + F.col("nb") - bound)) & (F.col("va") == F.array_min(F.array_intersect("fa", "fb")))
+    rest = side(mixed.filter("class <> main"), "a").join(side(mixed, "b"), (F.col("va") == F.col("vb")) & can)
+    rest = rest.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     more = written(verified(rest, docs), "links")
     labels = components(links.union(more).distinct())

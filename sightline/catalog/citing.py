@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sightline import constants as K
 from sightline.catalog import query
 from sightline.catalog.mining import config
-from sightline.catalog.views import bare_host, host, sql
+from sightline.catalog.views import bare_host, encoded_sql, host, sql
 from sightline.functions import urls
 from sightline.operators.citations import answer_cost, attribute_sources, citation_urls, extract_citations, link_reddit
 from sightline.operators.matching import keyword_mentions, match_pages
@@ -77,12 +77,11 @@ def normalized_urls(t):
 
 
 @query("resolved_links", f"""
-SELECT DISTINCT page_id, {_SCHEME_HOST.replace('{u}', 'url')} || href AS url
-FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM pages)
-WHERE regexp_matches(href, '^[\\x21-\\x7e]*$')""")
+SELECT DISTINCT page_id, {_SCHEME_HOST.replace('{u}', 'url')} || {encoded_sql("href")} AS url
+FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM pages)""")
 def resolved_links(t):
     links = t.raw("pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'<a href="(/[^"]*)"'), F.lit(1))).alias("href"))
-    return links.filter(C("href").rlike(r"^[\x21-\x7e]*$")).select("page_id", urls.resolve(C("href"), C("url")).alias("url")).distinct()
+    return links.select("page_id", urls.resolve(C("href"), C("url")).alias("url")).distinct()
 
 
 @query("source_attribution", sql(f"""WITH {_CITED.strip()}

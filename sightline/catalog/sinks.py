@@ -53,24 +53,24 @@ def upsert_keep_link(t):
 
 
 @query("merged_json", """
-WITH p AS (SELECT user_id, event_type AS field, json_extract_string(props, '$.k') AS v, event_id FROM events WHERE event_id % 2 = 0),
+WITH p AS (SELECT user_id, event_type AS field, json_extract_string(props, '$.k') AS v, event_id FROM events),
 l AS (SELECT user_id, field, arg_max(v, event_id) AS v FROM p GROUP BY 1, 2),
-u AS (SELECT user_id, field, v FROM l UNION ALL SELECT c_custkey, 'base', '0' FROM customer WHERE c_custkey < 200)
+u AS (SELECT user_id, field, v FROM l UNION ALL SELECT c_custkey, 'base', '0' FROM customer)
 SELECT user_id, '{' || string_agg('"' || field || '":"' || v || '"', ',' ORDER BY field) || '}' AS doc, count(*)::INT AS field_count FROM u GROUP BY 1""")
 def merged_json(t):
     """JSON objects merged per key, the last write of a field winning."""
-    target = t.raw("customer").filter(C("c_custkey") < 200).select(C("c_custkey").alias("user_id"), F.lit('{"base":"0"}').alias("doc"))
-    patches = t.raw("events").filter(C("event_id") % 2 == 0).select(
+    target = t.raw("customer").select(C("c_custkey").alias("user_id"), F.lit('{"base":"0"}').alias("doc"))
+    patches = t.raw("events").select(
         "user_id", F.concat(F.lit('{"'), "event_type", F.lit('":"'), F.get_json_object("props", "$.k"), F.lit('"}')).alias("patch"), "event_id")
     return S.merge_json(target, patches, "user_id", ["event_id"])
 
 
 @query("event_fan_out", """
-SELECT event_id, s_suppkey AS endpoint_id, '{"id":"' || event_id || '","type":"' || event_type || '","createdAt":"' || strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z","data":' || replace(props, ' ', '') || '}' AS payload
-FROM events JOIN supplier ON s_suppkey % 3 <> 0 AND s_suppkey < 12 AND CASE event_type WHEN 'click' THEN s_suppkey % 2 = 0 WHEN 'error' THEN true ELSE false END""")
+SELECT event_id, n_nationkey AS endpoint_id, '{"id":"' || event_id || '","type":"' || event_type || '","createdAt":"' || strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z","data":' || replace(props, ' ', '') || '}' AS payload
+FROM events JOIN nation ON n_nationkey % 3 <> 0 AND CASE event_type WHEN 'click' THEN n_nationkey % 2 = 0 WHEN 'error' THEN true ELSE false END""")
 def event_fan_out(t):
-    k = C("s_suppkey")
-    endpoints = t.raw("supplier").filter(k < 12).select(
+    k = C("n_nationkey")
+    endpoints = t.raw("nation").select(
         k.alias("endpoint_id"), F.when(k % 2 == 0, F.array(F.lit("click"), F.lit("error"))).otherwise(F.array(F.lit("error"))).alias("events"), (k % 3 != 0).alias("is_active"))
     events = t.raw("events").select("event_id", "event_type", C("ts").alias("created_at"), C("props").alias("data"))
     return S.fan_out(events, endpoints).select("event_id", "endpoint_id", "payload")
@@ -79,12 +79,12 @@ def event_fan_out(t):
 @query("content_versions", """
 WITH b AS (SELECT event_id, user_id AS scan_id, event_type AS kind, props AS content FROM events),
 f AS (SELECT scan_id, kind, content, min(event_id) AS event_id FROM b GROUP BY 1, 2, 3)
-SELECT scan_id, kind, event_id, row_number() OVER (PARTITION BY scan_id, kind ORDER BY event_id) + CASE WHEN scan_id < 20 AND kind = 'click' THEN 4 ELSE 0 END AS version FROM f
-WHERE NOT (scan_id < 20 AND kind = 'click' AND content = '{"k": 1}')""")
+SELECT scan_id, kind, event_id, row_number() OVER (PARTITION BY scan_id, kind ORDER BY event_id) + CASE WHEN scan_id IN (SELECT c_custkey FROM customer) AND kind = 'click' THEN 4 ELSE 0 END AS version FROM f
+WHERE NOT (scan_id IN (SELECT c_custkey FROM customer) AND kind = 'click' AND content = '{"k": 1}')""")
 def content_versions(t):
     """New versions of changed content per (scan, kind); known content is skipped."""
     batch = t.raw("events").select(C("user_id").alias("scan_id"), C("event_type").alias("kind"), "event_id", C("props").alias("content"), C("props").alias("input_hash"))
-    store = t.raw("customer").filter(C("c_custkey") < 20).select(
+    store = t.raw("customer").select(
         C("c_custkey").alias("scan_id"), F.lit("click").alias("kind"), F.lit(4).alias("version"),
         S.content_hash(F.lit('{"k": 1}')).alias("content_hash"), F.lit("none").alias("input_hash"))
     return S.next_versions(store, batch, ["scan_id", "kind"], ["event_id"]).select("scan_id", "kind", "event_id", "version")

@@ -232,3 +232,8 @@ def sql(body: str, *names: str) -> str:
         rest = body[len("WITH RECURSIVE"):] if recursive else body[len("WITH"):]
         return f"WITH {recursive}{views},\n{rest.strip()}"
     return f"WITH {views}\n{body}"
+
+
+def encoded_sql(path: str) -> str:
+    """A path with all characters outside printable ASCII percent-encoded, in SQL."""
+    return f"array_to_string(list_transform(string_split({path}, ''), lambda c: CASE WHEN regexp_matches(c, '^[\\x21-\\x7e]$') THEN c ELSE url_encode(c) END), '')"

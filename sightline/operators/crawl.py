@@ -50,13 +50,13 @@ def sitemap_urls(xml: Column) -> Column:
 
 def crawl_frontier(
     roots: DataFrame, edges: DataFrame, fetched: DataFrame, rules: DataFrame, seeds: DataFrame | None = None,
-    max_depth: int = 3, max_pages: int = 200,
+    max_depth: int = 3, max_pages: int | None = None,
 ) -> DataFrame:
     """Breadth-first result per crawl: url, depth and status completed, failed or blocked.
 
     ``roots`` (crawl_id, url), ``edges`` (crawl_id, url, link), ``fetched`` (crawl_id, url, http_status), ``rules``
     (crawl_id, disallow), ``seeds`` (crawl_id, url: sitemap pages, depth 1). One join per level; only completed
-    pages are followed; the first pages by (depth, url) fill the cap of a crawl, which is a setting of the crawl.
+    pages are followed. If ``max_pages`` is set, only the first pages by (depth, url) of a crawl are kept.
     Each level is checkpointed, so that lineage does not grow and lost executors do not restart the crawl.
     """
     checkpoint_dir(roots.sparkSession)
@@ -69,6 +69,8 @@ def crawl_frontier(
         return j.select(*keys, "depth", status.alias("status"), F.when(status != "blocked", C("http_status")).alias("http_status"))
 
     def cap(pages: DataFrame) -> DataFrame:
+        if max_pages is None:
+            return pages
         kept = top_k_per_key(pages, ["crawl_id"], [C("depth"), C("url")], max_pages, "_rank")
         return kept.drop("_rank")
 

@@ -108,8 +108,8 @@ def load_pieces(path: str = MODEL_PATH, scores: str = "zipf") -> Pieces:
 _FIRST = np.array([1 if b < 0x80 else 0 if b < 0xC0 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 for b in range(256)])
 
 
-def _paths(model: Pieces, words: list[bytes]) -> list[list[int]]:
-    """The best encodings of words of similar length: one lattice column after the other, for all words at once."""
+def _paths(model: Pieces, words: list[bytes]) -> list[bytes]:
+    """The best encodings, packed, of words of similar length: one lattice column after the other, for all words at once."""
     n, width = len(words), max(map(len, words))
     text = np.zeros((n, width), np.int32)
     sizes = np.array([len(w) for w in words])
@@ -149,7 +149,22 @@ def _paths(model: Pieces, words: list[bytes]) -> list[list[int]]:
                 better(r, np.full(len(r), start + depth), start, best[r, start] + model.scores[i], i)
         lone = begun[~single[begun]]
         better(lone, start + step_of[lone], start, best[lone, start] + model.unknown_score, np.full(len(lone), -1, np.int32))
-    return [_walk(model, w, back[k], piece[k]) for k, w in enumerate(words)]
+    # all paths are walked back together, and written from the right
+    ids, at, used = np.zeros((n, width), np.int32), sizes.copy(), np.zeros(n, np.int64)
+    whole = np.ones(n, bool)
+    rows = np.flatnonzero(at > 0)
+    while len(rows):
+        own = piece[rows, at[rows]]
+        whole[rows[own < 0]] = False
+        used[rows] += 1
+        ids[rows, width - used[rows]] = own
+        at[rows] = back[rows, at[rows]]
+        rows = rows[at[rows] > 0]
+    packed, ends = ids.tobytes(), (np.arange(1, n + 1) * width * 4).tolist()
+    out = [packed[e - 4 * u : e] for e, u in zip(ends, used.tolist(), strict=True)]
+    for k in np.flatnonzero(~whole):  # with characters that are no piece
+        out[k] = np.array(_walk(model, words[k], back[k], piece[k]), np.int32).tobytes()
+    return out
 
 
 def _walk(model: Pieces, word: bytes, back, piece) -> list[int]:
@@ -202,9 +217,8 @@ def encode_words(model: Pieces, words: list[str]) -> dict[str, bytes]:
             short.append((word, raw))
     short.sort(key=lambda x: len(x[1]))
     for k in range(0, len(short), 20_000):
-        part = short[k : k + 20_000]
-        for (word, _), ids in zip(part, _paths(model, [raw for _, raw in part]), strict=True):
-            found[word] = np.array(ids, np.int32).tobytes()
+        names, raws = zip(*short[k : k + 20_000], strict=True)
+        found.update(zip(names, _paths(model, list(raws)), strict=True))
     return found
 
 
@@ -212,6 +226,7 @@ def codec(spark: SparkSession, model: Pieces):
     """(encode, decode) column functions: text -> ids and ids -> text."""
     sent = spark.sparkContext.broadcast(model)
     cache: dict[str, bytes] = {}
+    pieces: list = []
 
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
@@ -236,8 +251,26 @@ def codec(spark: SparkSession, model: Pieces):
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        piece = sent.value.texts.__getitem__
-        joined = [None if own is None else b"".join(map(piece, own)) for own in ids.to_pylist()]
-        return pa.array([None if x is None else x.removeprefix(b" ").decode("utf-8", "replace") for x in joined], pa.string())
+        texts = sent.value.texts
+        if not pieces:
+            size = np.array([len(x) for x in texts])
+            pieces.append((np.frombuffer(b"".join(texts), np.uint8), size, np.cumsum(size) - size))
+        letters, size, first = pieces[0]
+        own = ids.flatten().to_numpy(zero_copy_only=False)
+        counts = np.fromiter((len(x) if x.is_valid else 0 for x in ids), np.int64, len(ids)) if ids.null_count else np.diff(ids.offsets.to_numpy())
+        length = size[own]
+        stops = np.cumsum(length)
+        out = letters[np.arange(int(stops[-1]) if len(own) else 0) + np.repeat(first[own] - stops + length, length)]
+        ends = np.concatenate([[0], np.concatenate([[0], stops])[np.cumsum(counts)]])
+        lead = ends[:-1][counts > 0]
+        lead = lead[out[lead] == 32]  # the space before each text
+        ends = ends - np.searchsorted(lead, ends, "left")
+        out = np.delete(out, lead)
+        valid = None if not ids.null_count else pa.py_buffer(np.packbits(ids.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes())
+        column = pa.Array.from_buffers(pa.large_binary(), len(ids), [valid, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out)])
+        try:
+            return column.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # ids that no text has
+            return pa.array([None if x is None else x.decode("utf-8", "replace") for x in column.to_pylist()], pa.string())
 
     return encode, decode

@@ -15,6 +15,10 @@ def model():
     return P.load_pieces()
 
 
+def model_text(i):
+    return P.load_pieces().texts[i].decode()
+
+
 def ids_of(model, text):
     import re
 
@@ -48,7 +52,7 @@ def test_brute_force_paths(model):
         return score[-1]
 
     for word in (b" hello", b"thtionnd", b" enchente", b"zzzqqq"):
-        ids = P._paths(model, [word])[0]
+        ids = np.frombuffer(P._paths(model, [word])[0], np.int32).tolist()
         assert ids == P._path(model, word)
         assert sum(model.scores[i] for i in ids) == pytest.approx(best(word))
 
@@ -78,5 +82,7 @@ def test_round_trip(spark, monkeypatch, scores):
     got = {r.doc_id: r for r in docs.select("doc_id", "text", encode("text").alias("e")).withColumn("d", decode("e")).collect()}
     assert all(r.d == r.text for r in got.values())
     assert got[len(TEXTS)].e is None and got[3].e == [] and got[0].e == got[len(TEXTS) + 1].e
+    odd = spark.createDataFrame([(0, [3 + 255, 500]), (1, []), (2, None)], "doc_id long, i array<int>").select("doc_id", decode("i").alias("t"))
+    assert {r.doc_id: r.t for r in odd.collect()} == {0: "\ufffd" + model_text(500), 1: "", 2: None}
     assert docs.limit(0).select(encode("text")).collect() == []
     assert docs.select(F.max(F.size(encode("text")))).first()[0] > 10_000

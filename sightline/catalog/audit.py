@@ -13,7 +13,7 @@ from sightline.operators.artefacts import site_info
 from sightline.operators.page_checks import rendering_class
 from sightline.operators.site_checks import bot_access, site_files, usable_side_files
 from sightline.plans.page_audit import (
-    PAGE_CHECKS, SITE_CHECKS, audit_pages, audit_sites, audit_summary, full_audit, page_features,
+    PAGE_CHECKS, SITE_CHECKS, audit_pages, audit_rows, audit_scores, audit_sites, audit_summary, page_features,
 )
 
 C = F.col
@@ -81,11 +81,10 @@ SELECT {host('url')} AS host, count(*) AS pages, round(avg(floor((3 * p.score +
 FROM pages JOIN perf p USING (page_id) JOIN meta m USING (page_id) JOIN structure s USING (page_id) GROUP BY 1"""))
 def host_audit(t):
     """Flagship: pages -> facts -> three checks -> overall score -> average per host."""
-    pages = t.pages()
-    checks = audit_pages(pages, AS_OF, PAGE_CHECKS.subset(SLICE))
-    scores = scoring.scan_scores(checks, "page_id").select("page_id", "overall_score")
-    hosts = t.raw("pages").select("page_id", urls.host(C("url")).alias("host"))
-    return scores.join(hosts, "page_id").groupBy("host").agg(
+    features = page_features(t.pages(), AS_OF)
+    checks = PAGE_CHECKS.subset(SLICE).results(features, "final_url")
+    scores = scoring.row_scores(checks.select(urls.host(C("final_url")).alias("host"), "checks"), ["host"])
+    return scores.groupBy("host").agg(
         F.count(F.lit(1)).alias("pages"), F.round(F.avg("overall_score"), 4).alias("avg_score"))
 
 
@@ -302,16 +301,14 @@ def check_webmcp(t):
 def full_audit_scores(t):
     """All 14 checks of every page, with the side files of its site, down to the scan scores."""
     pages = t.rich_pages()
-    checks = full_audit(pages, t.side_files(), AS_OF, site_of=F.concat(F.lit("site-"), C("page_id")))
-    return scoring.scan_scores(checks, "page_id")
+    return audit_scores(audit_rows(pages, t.side_files(), AS_OF, site_of=F.concat(F.lit("site-"), C("page_id"))))
 
 
 @query("selected_check_audit")
 def selected_check_audit(t):
     """The seven checks of the public audit, with the pass count and the band."""
-    checks = full_audit(
-        t.rich_pages(), t.side_files(), AS_OF, K.PUBLIC_AUDIT_CHECKS, site_of=F.concat(F.lit("site-"), C("page_id")))
-    return audit_summary(checks)
+    return audit_summary(audit_rows(
+        t.rich_pages(), t.side_files(), AS_OF, K.PUBLIC_AUDIT_CHECKS, site_of=F.concat(F.lit("site-"), C("page_id"))))
 
 
 @query("check_failure_isolation", """

@@ -102,27 +102,31 @@ class CheckRegistry:
                 out.register(check_id, *self._checks[check_id])
         return out
 
-    def run(self, features: DataFrame, key: str) -> DataFrame:
-        """Long table (key, check_id, category, severity, weight, score, status, issues).
+    def results(self, features: DataFrame, *carry: str, name: str = "checks") -> DataFrame:
+        """The columns ``carry`` and an array with one struct per check: check_id, category, severity, weight, score,
+        status, issues. Narrow: all checks are one projection.
 
-        All checks are evaluated in one narrow projection and unpivoted with one generator. A feature row with
-        ``error`` set yields status ``error`` and score 0 for every check.
+        A feature row with ``error`` set yields status ``error`` and score 0 for every check.
         """
         error = F.col("error") if "error" in features.columns else F.lit(None).cast("string")
-        entries = []
-        for check_id, (category, severity, weight, build) in self._checks.items():
-            result = build().result()
-            entries.append(
-                F.struct(
-                    F.lit(check_id).alias("check_id"), F.lit(category).alias("category"),
-                    F.lit(severity).alias("severity"), F.lit(weight).alias("weight"),
-                    F.when(error.isNull(), result).alias("result"),
-                )
+        entries = [
+            F.struct(
+                F.lit(check_id).alias("check_id"), F.lit(category).alias("category"), F.lit(severity).alias("severity"),
+                F.lit(weight).alias("weight"), F.when(error.isNull(), build().result()).alias("result"),
+            )
+            for check_id, (category, severity, weight, build) in self._checks.items()
+        ]
+
+        def finished(e: Column) -> Column:
+            score = F.coalesce(e["result"]["score"], F.lit(0))
+            return F.struct(
+                *[e[c].alias(c) for c in ("check_id", "category", "severity", "weight")], score.alias("score"),
+                F.when(e["result"].isNull(), F.lit("error")).otherwise(status_of(score)).alias("status"),
+                F.coalesce(e["result"]["issues"], F.array().cast(ISSUES)).alias("issues"),
             )
-        exploded = features.select(key, F.explode(F.array(*entries)).alias("c"))
-        score = F.coalesce("c.result.score", F.lit(0))
-        return exploded.select(
-            key, "c.check_id", "c.category", "c.severity", "c.weight", score.alias("score"),
-            F.when(F.col("c.result").isNull(), F.lit("error")).otherwise(status_of(score)).alias("status"),
-            F.coalesce("c.result.issues", F.array().cast(ISSUES)).alias("issues"),
-        )
+
+        return features.select(*carry, F.transform(F.array(*entries), finished).alias(name))
+
+    def run(self, features: DataFrame, key: str) -> DataFrame:
+        """``results`` as a long table with one row per check."""
+        return self.results(features, key).select(key, F.explode("checks").alias("c")).select(key, "c.*")

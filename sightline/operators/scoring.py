@@ -71,6 +71,38 @@ def scan_scores(checks: DataFrame, key: str = "scan_id", extra: tuple[Column, ..
     return out.withColumn("readiness_level", F.least(ceiling, passed)).drop("_gate1", "_gate2", "_gate3")
 
 
+def _in_category(name: str):
+    return lambda c: c["category"] == name
+
+
+def row_scores(rows: DataFrame, keep: list[str], checks: str = "checks") -> DataFrame:
+    """The columns ``keep`` and the scores of ``scan_scores`` from an array of check structs in one row, without a shuffle.
+
+    Each step names its columns, so that no expression is written out twice.
+    """
+    groups = {
+        "overall_score": lambda c: F.lit(True), **{k: _in_category(k) for k in K.CATEGORIES},
+        "current_readiness": lambda c: c["check_id"].isin(*K.CURRENT_CHECKS), "future_readiness": lambda c: c["check_id"].isin(*K.FUTURE_CHECKS),
+    }
+    zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("weight"))
+
+    def sums(condition) -> Column:
+        def add(s: Column, c: Column) -> Column:
+            use = condition(c) & (c["status"] != "error") & c["weight"].isNotNull()
+            weight = F.when(use, c["weight"]).otherwise(0)
+            return F.struct((s["total"] + clamp(c["score"]) * weight).cast("long").alias("total"), (s["weight"] + weight).cast("long").alias("weight"))
+
+        return F.aggregate(checks, zero, add)
+
+    gate = lambda ids: F.forall(checks, lambda c: ~c["check_id"].isin(*ids) | (c["status"] == "error") | (c["score"] >= K.GATE_PASS))
+    passed = F.coalesce(*[F.when(~gate(ids), F.lit(level - 1)) for level, ids in sorted(K.LEVEL_GATES.items())], F.lit(3))
+    summed = rows.select(*keep, *[sums(f).alias("_" + k) for k, f in groups.items()], passed.alias("_passed"))
+    mean = lambda k: F.when(C("_" + k)["weight"] > 0, clamp(round_half_up(C("_" + k)["total"] / C("_" + k)["weight"])))
+    whole = ("overall_score", "current_readiness", "future_readiness")
+    scored = summed.select(*keep, "_passed", *[(F.coalesce(mean(k), F.lit(0)) if k in whole else mean(k)).alias(k) for k in groups])
+    return scored.select(*keep, *groups, F.least(level_of(C("overall_score")), C("_passed")).alias("readiness_level"))
+
+
 def score_breakdown(checks: DataFrame, key: str = "scan_id") -> DataFrame:
     """Weight and contribution (in percent points of the whole) of every evaluated check.
 

@@ -38,7 +38,7 @@ def cost_by_engine(t):
 
 
 @query("attribution_counts", sql("""
-SELECT m.brand_name, count(*) AS total, count_if(is_own_domain) AS own, count_if(NOT is_own_domain AND source_type = 'structured') AS foreign_sources,
+SELECT m.brand_name, count(*) AS total, count_if(is_own_domain) AS own, count_if(NOT is_own_domain) AS foreign_sources,
   count(matched_page_id) AS matched, count_if(source_type = 'unstructured') AS unstructured
 FROM source_attributions s JOIN mentions m USING (mention_id) GROUP BY 1""", "source_attributions", "mentions"))
 def attribution_counts(t):

@@ -94,13 +94,13 @@ def string_distances(t):
     return p.join(n, "a").select("a", "b", F.levenshtein("n_name", "x").alias("distance"))
 
 
-@query("masked_payloads", """SELECT event_id, '{"email":"[REDACTED]","k":' || json_extract_string(props, '$.k') || ',"name":"[REDACTED]"}' AS payload FROM events""")
+@query("masked_payloads", """SELECT event_id, '{"email":"[REDACTED]","k":' || json_extract_string(props, '$.k') || ',"name":"[REDACTED]","list":[{"IP":"[REDACTED]","x":1},[{"deep":{"Email":"[REDACTED]"}}]],"note":"\\"ip\\":\\"' || user_id || '\\""}' AS payload FROM events""")
 def masked_payloads(t):
     """Personal fields of JSON payloads replaced."""
     from sightline.functions.json_text import mask_keys
 
     k = F.get_json_object("props", "$.k")
-    raw = F.concat(F.lit('{"email":"u'), "user_id", F.lit('@x.example","k":'), k, F.lit(',"name":{"first":"a"}}'))
+    raw = F.concat(F.lit('{"email":"u'), "user_id", F.lit('@x.example","k":'), k, F.lit(',"name":{"first":{"given":"a","family":"b"},"x":[1,{"y":2}]},"list":[{"IP":["1",{"a":1}],"x":1},[{"deep":{"Email":null}}]],"note":"\\"ip\\":\\"'), "user_id", F.lit('\\""}'))
     return t.raw("events").select("event_id", mask_keys(raw, ("email", "name", "ip")).alias("payload"))
 
 

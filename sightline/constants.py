@@ -203,7 +203,6 @@ SERVICE_RULES = (
 )
 
 # --- rate limits: requests per 60 s by endpoint group and plan -------------------------------------
-RATE_WINDOW_SECONDS = 60
 RATE_LIMITS = {
     "scan": {"anonymous": 5, "free": 10, "starter": 30, "pro": 60, "agency": 150, "enterprise": 300},
     "mutation": {"anonymous": 0, "free": 5, "starter": 15, "pro": 30, "agency": 60, "enterprise": 150},

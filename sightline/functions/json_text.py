@@ -6,6 +6,9 @@ values that may be a string or an array stay readable.
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,10 +49,29 @@ def canonical_json(text: Column) -> Column:
 
 
 def mask_keys(text: Column, keys: tuple[str, ...], mark: str = "[REDACTED]") -> Column:
-    """Replace the values of the given keys anywhere in a JSON text: strings, numbers, flat lists, objects."""
-    value = r'"(?:[^"\\]|\\.)*"|\[[^\[\]]*\]|\{[^{}]*\}|[^\s,}\]]+'
-    pattern = r'(?i)("(?:' + "|".join(keys) + r')"\s*:\s*)(?:' + value + ")"
-    return F.regexp_replace(text, pattern, rf'$1"{mark}"')
+    """Replace the values of the given keys (case ignored), whatever they hold, at any depth of a JSON text.
+
+    The text is parsed and written again without insignificant white space, so that the result is always valid. A text that
+    is no JSON, or nested too deeply to be read, is replaced as a whole.
+    """
+    wanted = frozenset(k.lower() for k in keys)
+
+    def masked(value):
+        if isinstance(value, dict):
+            return {k: mark if k.lower() in wanted else masked(v) for k, v in value.items()}
+        return [masked(v) for v in value] if isinstance(value, list) else value
+
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        out = []
+        for x in column.to_pylist():
+            try:
+                out.append(None if x is None else json.dumps(masked(json.loads(x)), ensure_ascii=False, separators=(",", ":")))
+            except (ValueError, RecursionError):
+                out.append(json.dumps(mark))
+        return pa.array(out, pa.string())
+
+    return run(text)
 
 
 def base64url(value: Column) -> Column:

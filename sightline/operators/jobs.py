@@ -83,26 +83,6 @@ def failure_step(threshold: int, window_us: int, cooldown_us: int) -> Step:
     return step
 
 
-def rate_step(window_us: int, default_limit: int) -> Step:
-    """Requests one by one: accepted while fewer than the limit were accepted in the window before."""
-
-    def step(state: list | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, list]:
-        accepted = deque(state or ())
-        limits = rows["max_requests"].tolist() if "max_requests" in rows else [default_limit] * len(rows)
-        allowed, remaining = [], []
-        for at, limit in zip(rows["at_us"].tolist(), limits):
-            while accepted and accepted[0] <= at - window_us:
-                accepted.popleft()
-            ok = len(accepted) < limit
-            if ok:
-                accepted.append(at)
-            allowed.append(ok)
-            remaining.append(max(0, limit - len(accepted)))
-        return rows.assign(allowed=allowed, remaining=remaining), list(accepted)
-
-    return step
-
-
 # --- alerts ---------------------------------------------------------------------------------------
 
 
@@ -181,16 +161,8 @@ def evaluate_alerts(
 # --- rate limits ------------------------------------------------------------------------------------
 
 
-def rate_decisions(requests: DataFrame, window_seconds: int = K.RATE_WINDOW_SECONDS) -> DataFrame:
-    """Replay a request log (client, request_id, ts, max_requests) through the sliding limit."""
-    rows = requests.select("client", "request_id", F.unix_micros(C("ts").cast("timestamp")).alias("at_us"), C("max_requests").cast("long").alias("max_requests"))
-    return fold_sorted(
-        rows, ["client"], ["at_us", "request_id"], rate_step(window_seconds * 1_000_000, 0),
-        "client string, request_id long, at_us long, max_requests long, allowed boolean, remaining long")
-
-
 def fixed_window_decisions(requests: DataFrame, window: str = "60 seconds") -> DataFrame:
-    """The same with fixed windows: position of a request within its client and window."""
+    """Fixed windows over a request log (client, request_id, ts, max_requests): position of a request within its client and window."""
     w = Window.partitionBy("client", "window").orderBy("ts", "request_id")
     rows = requests.withColumn("window", F.window("ts", window)).withColumn("_n", F.row_number().over(w))
     return rows.select("client", "request_id", (C("_n") <= C("max_requests")).alias("allowed"))

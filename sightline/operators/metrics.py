@@ -59,7 +59,7 @@ def attribution_counts(attributions: DataFrame, mentions: DataFrame, group: str)
     return attributions.join(mentions.select("mention_id", group), "mention_id").groupBy(group).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(C("is_own_domain")).alias("own"),
-        F.count_if(~C("is_own_domain") & (C("source_type") == "structured")).alias("foreign_sources"),
+        F.count_if(~C("is_own_domain")).alias("foreign_sources"),
         F.count_if(C("matched_page_id").isNotNull()).alias("matched"),
         F.count_if(C("source_type") == "unstructured").alias("unstructured"))
 

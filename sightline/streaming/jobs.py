@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sightline.operators.jobs import cooldown_step, failure_step, rate_step
+from sightline.operators.jobs import cooldown_step, failure_step
 from sightline.plans.answer_mining import mine_answers
 
 C = F.col
@@ -64,17 +64,9 @@ def backlog_alerts(gauges: DataFrame, threshold: int = 100, cooldown_seconds: in
         lambda last: (last,), lambda t: t[0], 10 * 1000 * cooldown_seconds)
 
 
-def rate_decisions(requests: DataFrame, window_seconds: int = 60, late: str = LATE) -> DataFrame:
-    """Sliding-limit decisions on a request stream (client, request_id, ts, max_requests)."""
-    step = rate_step(window_seconds * 1_000_000, 0)
-    rows = _timed(requests, late).select("client", "request_id", "ts", "at_us", C("max_requests").cast("long").alias("max_requests"))
-    return _stateful(
-        rows, ["client"], step, "client string, request_id long, at_us long, max_requests long, allowed boolean, remaining long",
-        "accepted array<long>", lambda s: (s,), lambda t: list(t[0]), 10 * 1000 * window_seconds)
-
-
 def failure_counts(failures: DataFrame, window: str = "10 minutes", slide: str = "5 minutes", late: str = "1 hour") -> DataFrame:
-    """The simple form: failures per queue and event-time window, emitted once the watermark has passed."""
+    """The simple form: failures per queue and event-time window. In append mode a window is emitted once the watermark
+    has passed it; with ``write_updates`` the open windows are there as well."""
     rows = failures.withColumn("ts", C("ts").cast("timestamp")).withWatermark("ts", late)
     counts = rows.groupBy("queue", F.window("ts", window, slide)).agg(F.count(F.lit(1)).alias("failures"))
     return counts.select("queue", C("window.start").alias("window_start"), "failures")
@@ -104,6 +96,24 @@ def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
     return query
 
 
+def write_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Process what is there and write the changed rows of each micro-batch to a folder of its own, which a replay
+    overwrites. A reader takes the latest batch of each key (``latest_updates``)."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])
+
+
 def mine_stream(
     answers: DataFrame, config: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None
 ) -> StreamingQuery:

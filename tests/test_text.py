@@ -99,6 +99,10 @@ def test_dates(spark):
 def test_json_helpers(spark):
     assert one(spark, canonical_json(F.col("j")), j='{ "a" : [1, 2] }') == '{"a":[1,2]}'
     assert one(spark, mask_keys(F.col("j"), ("email",)), j='{"x":{"Email":"a\\"b"},"n":1}') == '{"x":{"Email":"[REDACTED]"},"n":1}'
+    mask = mask_keys(F.col("j"), ("name", "ip"))
+    assert one(spark, mask, j='{"name":{"first":{"given":"Ada","family":"L"},"x":1}, "k": [1.5]}') == '{"name":"[REDACTED]","k":[1.5]}'
+    assert one(spark, mask, j='[{"a":[{"IP":[{"b":"1"}],"c":"\\"ip\\": 2"}]}]') == '[{"a":[{"IP":"[REDACTED]","c":"\\"ip\\": 2"}]}]'
+    assert one(spark, mask, j='{"name": "Ada') == '"[REDACTED]"' and one(spark, mask, j='[' * 100_000) == '"[REDACTED]"'
 
 
 # --- mentions, rankings, citations ---------------------------------------------------------------------

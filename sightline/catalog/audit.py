@@ -324,12 +324,12 @@ def check_failure_isolation(t):
 
 @query("site_info", r"""
 SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title,
-  array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), lambda h: trim(regexp_replace(h, '<[^>]+>', '', 'g'))), lambda h: h <> '')[1:10], '|') AS headings,
-  left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'),
-    '(?is)<nav.*?</nav>', '', 'g'), '(?is)<footer.*?</footer>', '', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 4000) AS body_text
+  array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), lambda h: trim(regexp_replace(h, '<[^>]+>', '', 'g'))), lambda h: h <> ''), '|') AS headings,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'),
+    '(?is)<nav.*?</nav>', '', 'g'), '(?is)<footer.*?</footer>', '', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS body_text
 FROM pages""")
 def site_info_query(t):
-    """Title, headings and body text for the artefact templates. The body excerpt of 4,000 characters is the feature."""
+    """Title, headings and body text for the artefact templates."""
     return site_info(t.pages()).select("page_id", "title", F.array_join("headings", "|").alias("headings"), "body_text")
 
 

@@ -155,8 +155,8 @@ def context_classes(t):
 _LISTS = r"""
 l0 AS (SELECT *, regexp_extract_all(text, '(?m)^[ \t]*\d{1,3}[.)]\s+(.+)$', 1) AS nu, regexp_extract_all(text, '(?m)^[ \t]*[-*+]\s+(.+)$', 1) AS bu,
     regexp_extract_all(text, '(?m)^#{1,4}\s+(.+)$', 1) AS he FROM answers),
-lists AS (SELECT *, CASE WHEN len(nu) BETWEEN 3 AND 20 THEN CASE WHEN regexp_matches(text, '(?i)\b(?:top|best)\s+\d{1,2}\b') THEN 'top-n' ELSE 'numbered' END
-    WHEN len(bu) BETWEEN 3 AND 20 THEN 'bullet' WHEN len(he) BETWEEN 3 AND 20 THEN 'headed' END AS list_format FROM l0),
+lists AS (SELECT *, CASE WHEN len(nu) >= 3 THEN CASE WHEN regexp_matches(text, '(?i)\b(?:top|best)\s+\d{1,2}\b') THEN 'top-n' ELSE 'numbered' END
+    WHEN len(bu) >= 3 THEN 'bullet' WHEN len(he) >= 3 THEN 'headed' END AS list_format FROM l0),
 items AS (SELECT *, list_transform(CASE list_format WHEN 'bullet' THEN bu WHEN 'headed' THEN he ELSE nu END,
     lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\*\*(.+?)\*\*', '\1', 'g'), '\*(.+?)\*', '\1', 'g'), '`(.+?)`', '\1', 'g'), '\[(.+?)\]\(.+?\)', '\1', 'g'))) AS its
   FROM lists WHERE list_format IS NOT NULL)

@@ -135,8 +135,7 @@ FUZZY_FLOOR_MEDIUM = 0.88
 MIN_CONFIDENCE = 0.7
 DEDUPE_RADIUS = 20
 CONTEXT_CHARS = 150
-MAX_MENTIONS = 50
-MIN_LIST_ITEMS, MAX_LIST_ITEMS = 3, 20
+MIN_LIST_ITEMS = 3
 
 # --- URLs ----------------------------------------------------------------------------------------
 TRACKING_KEYS_STRICT = (

@@ -18,7 +18,7 @@ _FOOTNOTE = r"\[\d+\][:.\s]+\s*https?://[^\s<>)]+"
 _INLINE = r"(?<![(<])\bhttps?://[^\s<>\"'\]\[)]+"
 # Leftmost match first, so that a URL inside a longer form is not seen twice.
 CITATION = f"{_MARKDOWN}|{_ANGLE}|{_FOOTNOTE}|{_INLINE}"
-CONTEXT, SNIPPET = 250, 500
+CONTEXT = 250
 
 
 def citation_items(text: Column) -> Column:
@@ -35,7 +35,7 @@ def citation_items(text: Column) -> Column:
         snippet = trim_ws(F.substring(text, start + 1, a + length + CONTEXT - start))
         return F.struct(
             raw.alias("raw_url"), urls.canonical(raw).alias("url"), urls.host(raw).alias("domain"), a.alias("position"),
-            F.substring(snippet, 1, SNIPPET).alias("snippet"),
+            snippet.alias("snippet"),
         )
 
     items = F.filter(F.zip_with(at, found, item), lambda i: i["url"].isNotNull())

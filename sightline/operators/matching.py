@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import urls
-from sightline.operators.skew import MAX_BROADCAST_ROWS, latest_per_key
+from sightline.operators.skew import latest_per_key
 
 C = F.col
 FUZZY_DISTANCE = 2
@@ -79,27 +79,25 @@ def match_pages(citation_urls: DataFrame, candidates: DataFrame, aliases: DataFr
     )
 
 
-def keyword_hits(
-    texts: DataFrame, keywords: DataFrame, key: str, text: str = "text", keyword: str = "keyword",
-    max_broadcast: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
+def keyword_hits(texts: DataFrame, keywords: DataFrame, key: str, text: str = "text", keyword: str = "keyword") -> DataFrame:
     """Rows (key, the columns of ``keywords``) where the lower-case text contains the keyword.
 
-    A keyword table proven small is broadcast and tested against every text. A larger one meets the texts over
-    the first three characters of each keyword (shorter keywords: over all of it), then the test decides.
+    Texts and keywords meet over the first three characters of each keyword (shorter keywords: over all of it); only keys
+    and these characters are exploded. The texts that met a keyword come back by key for the test that decides.
     """
-    small = keywords.limit(max_broadcast + 1).count() <= max_broadcast
-    body = F.lower(C(text))
-    if small:
-        pairs = texts.select(key, body.alias("_text")).join(
-            F.broadcast(keywords), F.expr(f"contains(_text, lower({keyword}))"))
-        return pairs.drop("_text")
     words = keywords.withColumn("_k", F.lower(keyword)).withColumn("_gram", F.substring("_k", 1, 3))
-    grams = lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_text") - n + 1, F.lit(1))), lambda i: F.substring(C("_text"), i, n))
-    source = texts.select(key, body.alias("_text"))
-    source = source.withColumn("_gram", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))))
-    return source.join(words, "_gram").filter(F.expr("contains(_text, _k)")).drop("_text", "_gram", "_k")
+    c = C("_chars")
+    parts = F.concat(_grams(c, 1), _grams(c, 2), _grams(c, 3))
+    chars = texts.select(key, F.split(F.lower(C(text)), "").alias("_chars"))
+    met = chars.select(key, F.explode(F.array_distinct(parts)).alias("_gram")).join(words, "_gram").drop("_gram")
+    own = texts.select(C(key).alias("_key"), F.lower(C(text)).alias("_text"))
+    return met.join(own, C(key) == C("_key")).filter(F.contains("_text", "_k")).drop("_key", "_text", "_k")
+
+
+def _grams(chars: Column, n: int) -> Column:
+    """The runs of ``n`` characters of a text, given as its characters."""
+    at = F.sequence(F.lit(0), F.size(chars) - n)
+    return F.when(F.size(chars) >= n, F.transform(at, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
 
 
 def keyword_mentions(posts: DataFrame, comments: DataFrame, keywords: DataFrame, sentiment) -> DataFrame:
@@ -110,14 +108,13 @@ def keyword_mentions(posts: DataFrame, comments: DataFrame, keywords: DataFrame,
     Comments need a known post.
     """
     active = keywords.filter(C("enabled") & (F.btrim("keyword") != "")).select("brand_id", "keyword")
-    excerpt = 2000  # the classifier reads this much
     post_text = F.concat_ws("\n\n", "title", F.coalesce("body", F.lit("")))
     items = posts.select(F.lit("post").alias("mention_type"), C("reddit_id").alias("mention_id"), post_text.alias("text")).unionByName(
         comments.join(posts.select(C("reddit_id").alias("post_id")).distinct(), "post_id", "left_semi").select(
             F.lit("comment").alias("mention_type"), C("reddit_id").alias("mention_id"), C("body").alias("text")))
     items = items.withColumn("item", F.concat_ws(":", "mention_type", "mention_id"))
     hits = keyword_hits(items, active, "item").groupBy("item", "brand_id").agg(F.min("keyword").alias("keyword"))
-    labels = items.select("item", "mention_type", "mention_id", sentiment(F.substring("text", 1, excerpt)).alias("sentiment"))
+    labels = items.select("item", "mention_type", "mention_id", sentiment(C("text")).alias("sentiment"))
     return hits.join(labels, "item").drop("item")
 
 

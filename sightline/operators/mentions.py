@@ -241,11 +241,12 @@ def relative_position(offset: Column, length: Column) -> Column:
 
 
 def add_kept(df: DataFrame, min_confidence: float = K.MIN_CONFIDENCE, radius: int = K.DEDUPE_RADIUS,
-             max_mentions: int = K.MAX_MENTIONS) -> DataFrame:
-    """Confidence filter, overlap dedupe and the first mentions of an answer, as array ``kept``."""
+             max_mentions: int | None = None) -> DataFrame:
+    """Confidence filter and overlap dedupe, as array ``kept``; with ``max_mentions`` only the first of an answer."""
     sure = F.filter("matches", lambda m: m["confidence"] >= min_confidence)
     usable = trim_ws(C("text")) != ""
-    return df.withColumn("kept", F.when(usable, F.slice(dedupe_matches(sure, radius), 1, max_mentions)).otherwise(_no_matches()))
+    kept = dedupe_matches(sure, radius)
+    return df.withColumn("kept", F.when(usable, kept if max_mentions is None else F.slice(kept, 1, max_mentions)).otherwise(_no_matches()))
 
 
 def mention_rows(kept: DataFrame, context_chars: int = K.CONTEXT_CHARS) -> DataFrame:

@@ -27,7 +27,7 @@ def plain_item(text: Column) -> Column:
 
 
 def add_list(answers: DataFrame) -> DataFrame:
-    """Add ``list_format`` and ``list_items`` of the best list with 3 to 20 items (numbered, bullet, headed)."""
+    """Add ``list_format`` and ``list_items`` of the best list with three items or more (numbered, bullet, headed)."""
     text = C("text")
     found = answers.withColumns(
         {
@@ -36,7 +36,7 @@ def add_list(answers: DataFrame) -> DataFrame:
             "_headed": F.regexp_extract_all(text, F.lit(HEADED), F.lit(1)),
         }
     )
-    fits = lambda c: F.size(c).between(K.MIN_LIST_ITEMS, K.MAX_LIST_ITEMS)
+    fits = lambda c: F.size(c) >= K.MIN_LIST_ITEMS
     best = (
         F.when(fits("_numbered"), F.struct(F.when(text.rlike(TOP_N), "top-n").otherwise("numbered").alias("f"), C("_numbered").alias("i")))
         .when(fits("_bullet"), F.struct(F.lit("bullet").alias("f"), C("_bullet").alias("i")))

@@ -101,5 +101,3 @@ def _null_safe(df: DataFrame, names: list[str]) -> DataFrame:
 def _on(left: DataFrame, names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(F.col("_r_" + n)) for n in names])
 
-
-MAX_BROADCAST_ROWS = 200_000  # a table up to this many rows may be broadcast, once counted

@@ -136,9 +136,9 @@ def test_short_names_need_their_case_and_word_bounds(spark):
     assert [r["position"] for r in got] == [3]
 
 
-def test_at_most_fifty_mentions(spark):
+def test_every_mention_is_kept(spark):
     text = " ".join(["Acme " + "z" * 30] * 60)
-    assert extract_mentions(*mine(spark, text, names=("Acme",))).count() == 50
+    assert extract_mentions(*mine(spark, text, names=("Acme",))).count() == 60
 
 
 @pytest.mark.parametrize(
@@ -211,8 +211,8 @@ def test_match_cascade_equals_brute_force(spark):
         assert got[u] == best, u
 
 
-def test_keyword_hits_agree_in_both_forms(spark):
-    texts = spark.createDataFrame([(1, "The Quick brown fox"), (2, "ox"), (3, ""), (4, "brownfox")], "k long, text string")
+def test_keyword_hits(spark):
+    texts = spark.createDataFrame([(1, "The Quick brown fox"), (2, "ox"), (3, ""), (4, "brownfox"), (5, None)], "k long, text string")
     words = spark.createDataFrame([("fox",), ("ox",), ("q",), ("brown f",)], "keyword string")
-    pairs = lambda n: {(r["k"], r["keyword"]) for r in keyword_hits(texts, words, "k", max_broadcast=n).collect()}
-    assert pairs(100) == pairs(1) == {(1, "fox"), (1, "ox"), (1, "q"), (1, "brown f"), (2, "ox"), (4, "fox"), (4, "ox")}
+    pairs = sorted((r["k"], r["keyword"]) for r in keyword_hits(texts, words, "k").collect())
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(1, "fox"), (1, "ox"), (1, "q"), (1, "brown f"), (2, "ox"), (4, "fox"), (4, "ox")}

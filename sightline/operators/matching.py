@@ -1,8 +1,8 @@
 """Matching citation URLs to known pages, and keyword matching between two tables.
 
-No step compares all pairs of a host. Near paths are found through their deletion variants: two strings within
-two edits share a string that results from deleting at most two characters from each. Equal variants meet in an
-equi-join, and the edit distance decides. Popular hosts spread over the variants of their paths.
+No step compares all pairs of a host. A page's path is cut into three segments; two edits leave one of them as it is, and
+it stands in the other path at one of a few places that follow from both lengths. Equal segments meet in an
+equi-join, and the edit distance decides. Popular hosts spread over the segments of their paths.
 """
 
 from __future__ import annotations
@@ -17,18 +17,38 @@ C = F.col
 FUZZY_DISTANCE = 2
 
 
-def deletion_variants(x: Column) -> Column:
-    """Hashes of all strings that result from deleting up to two characters."""
-    n = F.length(x)
-    one = lambda i: F.concat(F.substring(x, 1, i - 1), F.substring(x, i + 1, n))
-    two = lambda i, j: F.concat(
-        F.substring(x, 1, i - 1), F.substring(x, i + 1, j - i - 1), F.substring(x, j + 1, n))
-    positions = F.sequence(F.lit(1), n)
-    singles = F.transform(positions, lambda i: F.xxhash64(one(i)))
-    pairs = F.flatten(F.transform(
-        F.slice(positions, 1, n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.xxhash64(two(i, j)))))
-    short = F.when(n >= 2, F.concat(F.array(F.xxhash64(x)), singles, pairs)).otherwise(F.array(F.xxhash64(x), F.xxhash64(F.lit(""))))
-    return F.array_distinct(short)
+def _segments(n: Column) -> list[tuple[Column, Column]]:
+    """(start, length) of the three segments of a string of ``n`` characters."""
+    first = F.floor(n / 3)
+    second = F.floor((n - first) / 2)
+    return [(F.lit(0), first), (first, second), (first + second, n - first - second)]
+
+
+def _segment_hash(x: Column, n: Column, number: int, start: Column, length: Column) -> Column:
+    return F.xxhash64(n, F.lit(number), F.substring(x, (start + 1).cast("int"), length.cast("int")))
+
+
+def page_segments(x: Column) -> Column:
+    """Hashes of the three segments of a path, with its length."""
+    n = F.char_length(x)
+    return F.array(*[_segment_hash(x, n, i, *seg) for i, seg in enumerate(_segments(n))])
+
+
+def possible_segments(x: Column) -> Column:
+    """Hashes of the 19 places of a path where an unchanged segment of a path within two edits can be.
+
+    If the other path is ``d`` characters shorter, a segment with i segments before it moved by at most i characters, and by at
+    most the edits that are left from ``d``.
+    """
+    m, k = F.char_length(x), FUZZY_DISTANCE
+    found = []
+    for d in range(-k, k + 1):
+        n = m - d
+        for i, (start, length) in enumerate(_segments(n)):
+            for shift in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1):
+                inside = (n >= 0) & (start + shift >= 0) & (start + shift + length <= m)
+                found.append(F.when(inside, _segment_hash(x, n, i, start + shift, length)))
+    return F.array_distinct(F.filter(F.array(*found), lambda h: h.isNotNull()))
 
 
 def match_pages(citation_urls: DataFrame, candidates: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -61,8 +81,8 @@ def match_pages(citation_urls: DataFrame, candidates: DataFrame, aliases: DataFr
     hosts = open_paths.select("host").distinct()
     pages = known.join(hosts, "host", "left_semi").groupBy("host", C("path").alias("page_path")).agg(
         F.min_by("client_page_id", "candidate_order").alias("client_page_id"), F.min("candidate_order").alias("candidate_order"))
-    left = open_paths.select("host", "path", F.explode(deletion_variants(C("path"))).alias("_v"))
-    right = pages.select("host", "page_path", "client_page_id", "candidate_order", F.explode(deletion_variants(C("page_path"))).alias("_v"))
+    left = open_paths.select("host", "path", F.explode(possible_segments(C("path"))).alias("_v"))
+    right = pages.select("host", "page_path", "client_page_id", "candidate_order", F.explode(page_segments(C("page_path"))).alias("_v"))
     distance = F.levenshtein(C("path"), C("page_path"), FUZZY_DISTANCE)
     near = left.join(right, ["host", "_v"]).filter(
         (F.abs(F.length("path") - F.length("page_path")) <= FUZZY_DISTANCE) & (distance >= 0)

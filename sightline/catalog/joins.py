@@ -62,13 +62,10 @@ WHERE (l.mention_type = 'post' AND l.mention_id IN (SELECT reddit_id FROM posts
   OR (l.mention_type = 'comment' AND c.post_id IN (SELECT reddit_id FROM posts WHERE subreddit = 'sub2'))""", "brand_links", "posts", "comments"))
 def subreddit_mentions(t):
     """Links to a post of a subreddit, or to a comment whose post is in it."""
-    t.linked = linked_mentions(t)
-    t.linked.createOrReplaceTempView("sightline_links")
-    t.posts().createOrReplaceTempView("sightline_posts")
     return t.spark.sql("""
-        SELECT link_id FROM sightline_links
-        WHERE (mention_type = 'post' AND mention_id IN (SELECT reddit_id FROM sightline_posts WHERE subreddit = 'sub2'))
-           OR (mention_type = 'comment' AND post_id IN (SELECT reddit_id FROM sightline_posts WHERE subreddit = 'sub2'))""")
+        SELECT link_id FROM {links}
+        WHERE (mention_type = 'post' AND mention_id IN (SELECT reddit_id FROM {posts} WHERE subreddit = 'sub2'))
+           OR (mention_type = 'comment' AND post_id IN (SELECT reddit_id FROM {posts} WHERE subreddit = 'sub2'))""", links=linked_mentions(t), posts=t.posts())
 
 
 @query("unscheduled_projects", sql("""

@@ -80,7 +80,8 @@ def scan_usage(scans: DataFrame, users: DataFrame, month: str, day: str) -> Data
     ``scans`` (user_id, scanned_at), ``users`` (user_id, plan), ``month`` ``yyyy-MM``, ``day`` ``yyyy-MM-dd``.
     """
     at = C("scanned_at")
-    used = scans.filter(F.date_format(at, "yyyy-MM") == month).groupBy("user_id").agg(
+    first = F.to_timestamp(F.lit(f"{month}-01"))  # a half-open range reaches the scan
+    used = scans.filter((at >= first) & (at < F.add_months(F.lit(f"{month}-01").cast("date"), 1).cast("timestamp"))).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("_m"), F.count_if(F.date_format(at, "yyyy-MM-dd") == day).alias("_d"))
     j = users.join(used, "user_id", "left").withColumns({"_m": F.coalesce("_m", F.lit(0)), "_d": F.coalesce("_d", F.lit(0))})
     monthly, daily = plan_limits(2, C("plan")), plan_limits(3, C("plan"))

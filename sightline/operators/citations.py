@@ -21,9 +21,14 @@ CITATION = f"{_MARKDOWN}|{_ANGLE}|{_FOOTNOTE}|{_INLINE}"
 CONTEXT = 250
 
 
-def citation_items(text: Column) -> Column:
-    """Citations of a text in order: raw and canonical URL, host, offset, and the snippet around it."""
-    found = F.regexp_extract_all(text, F.lit(CITATION), F.lit(0))
+def with_citation_items(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds ``citation_items`` of a text. The matches are a column of their own first, as lambdas would search for them again."""
+    found = df.withColumn("_found", F.regexp_extract_all(C(text), F.lit(CITATION), F.lit(0)))
+    return found.withColumn(name, citation_items(C(text), C("_found"))).drop("_found")
+
+
+def citation_items(text: Column, found: Column) -> Column:
+    """Citations of a text in order: raw and canonical URL, host, offset, and the snippet around it. ``found``: the matches."""
     at = offsets(text, CITATION, lambda i: F.length(F.element_at(found, i)))
 
     def item(a: Column, m: Column) -> Column:
@@ -45,7 +50,8 @@ def citation_items(text: Column) -> Column:
 def extract_citations(answers: DataFrame, key: str = "snapshot_id", text: str = "text") -> DataFrame:
     """One row per citation of an answer, in document order. Repeated URLs stay."""
     carried = [c for c in answers.columns if c != text]
-    return explode_items(answers, carried, citation_items(C(text)), "c", "citation_no").select(*carried, "citation_no", "c.*")
+    items = with_citation_items(answers, text, "_items")
+    return explode_items(items, carried, "_items", "c", "citation_no").select(*carried, "citation_no", "c.*")
 
 
 def citation_urls(text: Column) -> Column:
@@ -67,8 +73,7 @@ def attribute_sources(
     without any source but with wording such as "experts say" give one row of type ``unstructured``.
     """
     base = answers.join(config.select("project_id", "domains"), "project_id", "left")
-    inline = F.coalesce(citation_items(C("text")), F.array())
-    base = base.withColumn("_inline", inline)
+    base = with_citation_items(base, "text", "_inline").withColumn("_inline", F.coalesce("_inline", F.array()))
     shape = "array<struct<raw_url:string,url:string,domain:string,position:int,snippet:string>>"
     if provider is not None:
         extra = provider.filter(urls.host(C("url")).isNotNull()).groupBy(key).agg(

@@ -2,7 +2,8 @@
 Parquet and reread as the next one's documents.
 
 1. ``language``: documents without a letter, or of which the best language contains less than a fifth of the n-grams, go.
-2. ``lines``: lines found in at least ten documents go from every document; documents stay, if only as an empty text.
+2. ``lines``: of lines found in at least ten documents only the first occurrence stays, so that of ten copies of a document
+   the first stays whole. Documents that lose all they have go.
 3. ``near_duplicates``: of each class of near-duplicates the document with the smallest id stays. Null ids stay.
 4. ``benchmark``: documents that hold a passage of a benchmark item go.
 5. ``pieces``: every text is encoded, and decoded again; ``text`` is the decoded one.
@@ -32,8 +33,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.filter((F.col(own)["lang_pred"] != language_id.UNDETERMINED) & (F.col(own)["score"] >= LEAST_SCORE)).select(*docs.columns)
 
 
-def without_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.apply_bitmaps(docs, line_dedup.dropped_lines(docs))
+def first_of_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.dropped_lines(docs, keep_first=True))
+    kept = kept.filter((F.col("n_dropped") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     changed = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
     return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns if c in kept.columns])
 
@@ -56,7 +58,7 @@ def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language", known_language),
-    ("lines", without_frequent_lines),
+    ("lines", first_of_frequent_lines),
     ("near_duplicates", one_of_each_group),
     ("benchmark", without_benchmark),
     ("pieces", as_pieces),

@@ -196,6 +196,14 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of the lists that hold more than one class, with their class and the list's largest."""
+    own = members.join(labels, F.col("rep") == F.col("node"), "left").select("v", "rep", "n", "h", "f", F.coalesce("label", "rep").alias("class"))
+    sizes = own.groupBy("v", "class").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("v").agg(F.max_by("class", F.struct("size", "class")).alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("v", "main")
+    return written(own.join(main, "v"), "mixed")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text, ...)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -227,10 +235,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # members of frequent lists that are still outside the list's largest class meet the list's other classes; a pair
     # counts in the list of its first common value only
     wide = hot.join(own.filter("h > 0").select(F.col("rep").alias("node"), F.col("frequent").alias("f")), F.col("rep") == F.col("node")).drop("node")
-    member = wide.join(labels, F.col("rep") == F.col("node"), "left").select("v", "rep", "n", "h", "f", F.coalesce("label", "rep").alias("class"))
-    sizes = member.groupBy("v", "class").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("v").agg(F.max_by("class", F.struct("size", "class")).alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("v", "main")
-    mixed = written(member.join(main, "v"), "mixed")
+    mixed = _mixed(wide, labels)
+    # first the members richest in frequent values of each class and of the largest one: this joins most classes with few pairs
+    best = F.max(F.struct("h", "rep", "n"))
+    heads = mixed.groupBy("v", "main", "class").agg(best.alias("x"))
+    chief = heads.filter("class = main").select("v", F.col("x").alias("y"))
+    bridge = heads.filter("class <> main").join(chief, "v").select(
+        F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.least("x.h", "y.h").alias("h"),
+    ).filter(_possible(F.col("h"))).select("a", "b").distinct()
+    bridge = written(bridge.join(pairs, ["a", "b"], "left_anti"), "bridge")
+    links = links.union(written(verified(bridge, docs), "links"))
+    pairs = pairs.union(bridge)
+    mixed = _mixed(wide, components(links))
     side = lambda df, x: df.select(F.col("v").alias("v" + x), *[F.col(c).alias(to + x) for c, to in (("rep", "r"), ("n", "n"), ("h", "h"), ("class", "c"), ("f", "f"))])
     bound = F.least("ha", "hb")
     can = (F.col("ca") != F.col("cb")) & (100 * bound >= 75 * (F.col("na") + F.col("nb") - bound)) & (F.col("va") == F.array_min(F.array_intersect("fa", "fb")))

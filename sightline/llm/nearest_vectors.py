@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by inner product, over robust-pruned directed graphs, one for each shard.
 
-Method. Vectors are dealt to shards by a hash of their content. A shard adds one coordinate to its vectors that makes all
-norms equal, which turns the largest inner product into the smallest distance. It inserts its vectors in batches of doubling size:
+Method. Vectors are dealt to shards by a hash of their content, and inside a shard to bands whose norms differ by a factor of
+two at most, so that one long vector cannot hide the distances of the others. A band of at most ``EXACT`` vectors is scanned. A
+larger one is a graph: it adds one coordinate to its vectors that makes all norms equal, which turns the largest inner product
+into the smallest distance (taken from differences, in double precision). It inserts its vectors in batches of doubling size:
 a greedy beam search over the graph so far proposes neighbours, and pruning keeps the nearest one and drops all that are
 closer to it than to the vector, relaxed by ``ALPHA``, until ``DEGREE`` diverse edges remain; reverse edges are added
-and pruned alike. Every query runs a beam search in every shard; found vectors are scored anew in double
+and pruned alike. Every query runs a beam search in every shard, longest band first, and leaves out only bands whose norm is too
+small to reach its results so far; found vectors are scored anew in double
 precision from the original numbers, and the best of all shards are kept.
 
 Scale. A shard holds at most about ``SHARD_ROWS`` distinct vectors, so a task's memory is bounded; the number of shards grows
@@ -30,6 +33,10 @@ DEGREE, ALPHA = 32, 1.2
 BUILD_BEAM, QUERY_BEAM, EXPAND = 64, 96, 4
 SHARDS, SHARD_ROWS = 12, 100_000
 BATCH = 512
+#: a band of at most so many vectors is scanned; a beam search would meet nearly all of them
+EXACT = 256
+#: numbers that a step of the pruning holds, about
+CELLS = 1 << 22
 
 
 def usable(vector: Column) -> Column:
@@ -37,18 +44,33 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def log_norms(vectors: np.ndarray) -> np.ndarray:
+    """Binary logarithm of each norm; no square overflows or vanishes."""
+    largest = np.abs(vectors).max(1)
+    return np.log2(largest) + np.log2(np.linalg.norm(vectors / largest[:, None], axis=1))
+
+
+def _scaled(vectors: np.ndarray, power: int | np.ndarray) -> np.ndarray:
+    """The vectors over a power of two, in two steps where one would leave the range of doubles."""
+    half = np.floor_divide(power, 2)
+    return np.ldexp(np.ldexp(vectors, -half), half - power)
+
+
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d = a - b
+    return np.einsum("...d,...d->...", d, d)
+
+
 class Graph:
-    """A directed graph over the vectors of one shard."""
+    """A directed graph over vectors of similar norm."""
 
     def __init__(self, vectors: np.ndarray):
         norms = np.einsum("nd,nd->n", vectors, vectors)
         lift = np.sqrt(np.maximum(norms.max() - norms, 0))
-        self.scale = float(np.sqrt(norms.max()))
-        self.x = np.column_stack([vectors, lift]).astype(np.float32) / np.float32(self.scale)
+        self.x = np.column_stack([vectors, lift]) / np.sqrt(norms.max())
         n = len(vectors)
         self.edges = np.full((n, DEGREE), -1, np.int32)
-        center = self.x.mean(0)
-        self.entry = int(np.argmin(((self.x - center) ** 2).sum(1)))
+        self.entry = int(np.argmin(_squared(self.x, self.x.mean(0))))
         order = np.random.default_rng(7).permutation(n)
         order = np.concatenate([[self.entry], order[order != self.entry]])
         done = 1
@@ -58,13 +80,12 @@ class Graph:
             done += size
 
     def _distance(self, points: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        other = self.x[ids]
-        return np.maximum(2 * (1 - np.einsum("md,mkd->mk", points, other)), 0)  # all norms are one
+        return _squared(points[:, None], self.x[ids])
 
     def search(self, points: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the ``beam`` nearest found for each point, nearest first; -1 and inf where fewer."""
         m = len(points)
-        ids, far = np.full((m, beam), -1, np.int64), np.full((m, beam), np.inf, np.float32)
+        ids, far = np.full((m, beam), -1, np.int64), np.full((m, beam), np.inf)
         open_, seen = np.zeros((m, beam), bool), np.zeros((m, len(self.x)), bool)
         ids[:, 0], open_[:, 0], seen[:, self.entry] = self.entry, True, True
         far[:, 0] = self._distance(points, np.full((m, 1), self.entry))[:, 0]
@@ -84,12 +105,12 @@ class Graph:
             owner, near = owner[fresh], near[fresh]
             seen[owner, near] = True
             if len(owner):
-                dist = np.maximum(2 * (1 - np.einsum("kd,kd->k", points[owner], self.x[near])), 0)
+                dist = _squared(points[owner], self.x[near])
                 rows, first, count = np.unique(owner, return_index=True, return_counts=True)
                 width = int(count.max())
                 place = np.arange(len(owner)) - np.repeat(first, count)
                 row = np.repeat(np.arange(len(rows)), count)
-                new_ids, new_far = np.full((len(rows), width), -1, np.int64), np.full((len(rows), width), np.inf, np.float32)
+                new_ids, new_far = np.full((len(rows), width), -1, np.int64), np.full((len(rows), width), np.inf)
                 new_ids[row, place], new_far[row, place] = near, dist
                 all_far = np.concatenate([far[rows], new_far], 1)
                 all_ids = np.concatenate([ids[rows], new_ids], 1)
@@ -102,20 +123,24 @@ class Graph:
 
     def _prune(self, points: np.ndarray, ids: np.ndarray, far: np.ndarray) -> np.ndarray:
         """At most DEGREE diverse neighbours of each point among its candidates (sorted by distance; -1 for none)."""
-        m = len(points)
-        out = np.full((m, DEGREE), -1, np.int32)
-        alive = (ids >= 0) & (ids != points[:, None])
-        rows = np.arange(m)
-        for k in range(DEGREE):
-            rows = rows[alive[rows].any(1)]
-            if not len(rows):
-                break
-            pick = alive[rows].argmax(1)
-            chosen = ids[rows, pick]
-            out[rows, k] = chosen
-            alive[rows, pick] = False
-            apart = self._distance(self.x[chosen], np.maximum(ids[rows], 0))
-            alive[rows] &= ALPHA * ALPHA * apart > far[rows]
+        out = np.full((len(points), DEGREE), -1, np.int32)
+        step = max(1, CELLS // (ids.shape[1] * self.x.shape[1]))
+        for lo in range(0, len(points), step):
+            own, to, dist = points[lo : lo + step], ids[lo : lo + step], far[lo : lo + step]
+            local = self.x[np.maximum(to, 0)] - self.x[own][:, None]  # seen from the point, no digits are lost
+            dots = local @ local.transpose(0, 2, 1)
+            norms = np.einsum("mkk->mk", dots)
+            alive = (to >= 0) & (to != own[:, None])
+            rows = np.arange(len(own))
+            for k in range(DEGREE):
+                rows = rows[alive[rows].any(1)]
+                if not len(rows):
+                    break
+                pick = alive[rows].argmax(1)
+                out[lo + rows, k] = to[rows, pick]
+                alive[rows, pick] = False
+                apart = np.maximum(norms[rows, pick][:, None] + norms[rows] - 2 * dots[rows, pick], 0)
+                alive[rows] &= ALPHA * ALPHA * apart >= dist[rows]  # where all distances tie, edges stay
         return out
 
     def _insert(self, points: np.ndarray) -> None:
@@ -124,7 +149,7 @@ class Graph:
         self.edges[points] = kept
         to, source = kept.ravel(), np.repeat(points, DEGREE)
         to, source = to[to >= 0].astype(np.int64), source[to >= 0]
-        dist = np.maximum(2 * (1 - np.einsum("kd,kd->k", self.x[to], self.x[source])), 0)
+        dist = _squared(self.x[to], self.x[source])
         order = np.lexsort((dist, to))
         to, source, dist = to[order], source[order], dist[order]
         nodes, first, count = np.unique(to, return_index=True, return_counts=True)
@@ -153,33 +178,64 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+class _Band:
+    """Vectors of a shard whose norms differ by a factor of two at most: a graph, or all of them if they are few."""
+
+    def __init__(self, members: np.ndarray, vectors: np.ndarray, log_norm: float):
+        self.members, self.norm = members, 2.0 ** min(log_norm, 1023)
+        x = _scaled(vectors, int(np.ceil(log_norm)))
+        self.x, self.graph = (x, None) if len(x) <= EXACT else (None, Graph(x))
+
+    def search(self, points: np.ndarray, top: int) -> list[np.ndarray]:
+        """Members near each point (of length one): all that can be among the first ``top``, or those that the graph finds."""
+        if self.graph is not None:
+            found, _ = self.graph.search(np.column_stack([points, np.zeros(len(points))]), max(QUERY_BEAM, 2 * top))
+            return [self.members[ids[ids >= 0]] for ids in found]
+        scores = points @ self.x.T
+        k = max(len(self.x) - top - 1, 0)  # one more, which may be the query's own
+        least = np.partition(scores, k, axis=1)[:, k] - 1e-9
+        return [self.members[s >= low] for s, low in zip(scores, least, strict=True)]
+
+
 class _Shard:
-    """Vectors of one (shard, length) as they stream in, then the graph over them."""
+    """Vectors of one (shard, length) as they stream in, then the bands over them."""
 
     def __init__(self):
-        self.vectors, self.ids, self.graph = [], [], None
+        self.vectors, self.ids, self.bands = [], [], None
 
     def add(self, batch: pa.RecordBatch, width: int) -> None:
         self.vectors.append(_matrix(batch.column("v"), width))
         self.ids += batch.column("ids").to_pylist()
 
+    def _split(self) -> None:
+        self.matrix = np.concatenate(self.vectors)
+        self.vectors = [self.matrix]
+        logs = log_norms(self.matrix)
+        number = np.floor(logs.max() - logs).astype(int)
+        members = [np.flatnonzero(number == k) for k in np.unique(number)]
+        self.bands = [_Band(m, self.matrix[m], float(logs[m].max())) for m in members]
+
     def answer(self, query_ids: np.ndarray, points: np.ndarray, top: int) -> list[tuple[int, int, float]]:
         if not self.vectors:
             return []
-        if self.graph is None:
-            self.matrix = np.concatenate(self.vectors)
-            self.vectors = [self.matrix]
-            self.graph = Graph(self.matrix)
-        lifted = np.column_stack([points, np.zeros(len(points))])
-        lifted = (lifted / np.maximum(np.linalg.norm(lifted, axis=1, keepdims=True), 1e-300)).astype(np.float32)
-        found, _ = self.graph.search(lifted, max(QUERY_BEAM, 2 * top))
-        rows = []
-        for q, point, ids in zip(query_ids, points, found, strict=True):
-            ids = ids[ids >= 0]
-            scores = (self.matrix[ids] * point).sum(1)
-            best = sorted((-s, i, k) for s, k in zip(scores, ids, strict=True) for i in self.ids[k] if i != q)[:top]
-            rows += [(int(q), int(i), float(-s)) for s, i, _ in best]
-        return rows
+        if self.bands is None:
+            self._split()
+        logs = log_norms(points)
+        lengths = 2.0 ** np.minimum(logs, 1023)
+        unit = _scaled(points, np.floor(logs).astype(int)[:, None])
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        best = [[] for _ in points]
+        for band in self.bands:
+            with np.errstate(over="ignore"):
+                bound = lengths * band.norm * (1 + 1e-9) + np.finfo(float).tiny  # no vector of the band scores more
+            left = [n for n, b in enumerate(best) if len(b) < top or not -b[-1][0] > bound[n]]
+            if not left:
+                continue
+            for n, ids in zip(left, band.search(unit[left], top), strict=True):
+                scores = (self.matrix[ids] * points[n]).sum(1)
+                new = [(-s, i) for s, k in zip(scores.tolist(), ids.tolist(), strict=True) for i in self.ids[k] if i != query_ids[n]]
+                best[n] = sorted(best[n] + new)[:top]
+        return [(int(q), i, -s) for q, found in zip(query_ids, best, strict=True) for s, i in found]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, shards: int = SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:

@@ -53,3 +53,32 @@ def test_every_vector_can_be_reached():
     ids, _ = graph.search(points, 16)
     assert np.mean(ids[:, 0] == np.arange(len(x))) > 0.99
     assert (graph.edges >= 0).sum(1).max() <= N.DEGREE
+
+
+def recall(spark, data, step):
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in N.nearest(vectors, vectors.filter(f"vec_id % {step} = 1"), 20, shards=1).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.arange(1, len(data), step)
+    scores = data[asked] @ data.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-scores, 1, kind="stable")[:, :20]
+    return np.mean([len(got[int(q)] & set(w.tolist())) / 20 for q, w in zip(asked, want, strict=True)])
+
+
+def test_recall_with_one_long_vector_in_a_large_shard(spark):
+    data = np.random.default_rng(5).normal(size=(20_000, 16))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    data[0] *= 10_000
+    assert recall(spark, data, 100) > 0.97
+
+
+def test_recall_with_norms_over_orders_of_magnitude(spark):
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(6000, 16))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    data[3000:] *= 10 ** rng.uniform(-150, 150, (3000, 1))
+    assert recall(spark, data[:3000] * 10 ** rng.uniform(-3, 3, (3000, 1)), 20) > 0.97
+    assert recall(spark, data, 60) > 0.97

@@ -134,9 +134,9 @@ def _lists_to_pairs(postings: DataFrame) -> DataFrame:
     lists = postings.groupBy("v").agg(F.array_sort(F.collect_set(F.struct("rep", "n", "h"))).alias("m")).filter(F.size("m") > 1)
     first = lists.select("m", F.posexplode("m").alias("i", "a"))
     pairs = first.select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
-    pairs = pairs.groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).agg(
-        F.count(F.lit(1)).alias("both"), *[F.first(f"{x}.{c}").alias(c + x) for x in "ab" for c in "nh"]
-    )
+    # by set, as an id may have several
+    keys = [F.col(f"{x}.{c}").alias(to + x) for x in "ab" for c, to in (("rep", ""), ("n", "n"), ("h", "h"))]
+    pairs = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("both"))
     left_out = [F.ceil(F.col(n) * 75 / 100) - 1 for n in ("na", "nb")]
     beyond = F.when((F.col("ha") > 0) & (F.col("hb") > 0), F.least("ha", "hb")).when(F.col("ha") > 0, left_out[1]).when(F.col("hb") > 0, left_out[0])
     bound = F.least("na", "nb", F.col("both") + F.coalesce(beyond, F.greatest(*left_out)))

@@ -65,3 +65,13 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(docs).collect())
     assert got == [(0, 2, 0, True), (3, 2, 3, True), (3, 2, 3, True), (5, 0, 5, True), (7, 2, 3, False)]
     assert near_dedup.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_sets_of_one_id_are_bounded_apart(spark):
+    # id 5 has a set of 10 and one of 100, which holds more values together with the 10 of id 9
+    short = [(v, 5, 10, 0) for v in range(2)]
+    long = [(v, 5, 100, 0) for v in range(2, 40)]
+    rows = short + long + [(v, 9, 10, 0) for v in range(40)]
+    for order in (rows, rows[::-1]):
+        postings = spark.createDataFrame(order, "v long, rep long, n int, h int")
+        assert {tuple(r) for r in near_dedup._lists_to_pairs(postings).collect()} == {(5, 9)}

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import archives, decontamination, language_id, line_dedup, near_dedup, nearest_vectors, sentence_pieces, sharding, tool_calls, url_reputation
+from sightline.llm import (
+    archives, decontamination, language_id, line_dedup, merkle_manifest, near_dedup, nearest_vectors, sentence_pieces, sharding,
+    tool_calls, url_reputation,
+)
 from sightline.llm.common import table
 from sightline.session import ensure_conf, ship_package
 
@@ -93,3 +96,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_calls.from_conversations(table(spark, sf_dir, "conversations"))
     return tool_calls.linked(calls, results, tool_calls.tool_table(spark))
+
+
+@query("op13_merkle_manifest", merkle_manifest.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle_manifest.manifest(merkle_manifest.leaves(docs, merkle_manifest.tampered_text()))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import (
-    archives, decontamination, language_id, line_dedup, merkle_manifest, near_dedup, nearest_vectors, sentence_pieces, sharding,
-    tool_calls, url_reputation,
+    archives, decontamination, language_id, line_dedup, merkle_manifest, near_dedup, nearest_vectors, sentence_pieces, sequence_packing,
+    sharding, tool_calls, url_reputation,
 )
 from sightline.llm.common import table
 from sightline.session import ensure_conf, ship_package
@@ -102,3 +102,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return merkle_manifest.manifest(merkle_manifest.leaves(docs, merkle_manifest.tampered_text()))
+
+
+@query("op12_minimum_bin_slack")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = sequence_packing.packed(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

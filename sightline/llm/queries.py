@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import (
-    archives, decontamination, language_id, line_dedup, merkle_manifest, near_dedup, nearest_vectors, sentence_pieces, sequence_packing,
+    archives, conversation_repair, decontamination, language_id, line_dedup, merkle_manifest, near_dedup, nearest_vectors, sentence_pieces, sequence_packing,
     sharding, tool_calls, url_reputation,
 )
 from sightline.llm.common import table
@@ -104,6 +104,12 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(merkle_manifest.leaves(docs, merkle_manifest.tampered_text()))
 
 
+@query("op11_generalised_lr_repair", conversation_repair.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(rows, conversation_repair.damaged(rows))
+
+
 @query("op12_minimum_bin_slack")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = sequence_packing.packed(table(spark, sf_dir, "documents"))

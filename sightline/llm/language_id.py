@@ -84,7 +84,9 @@ def fit(labelled: DataFrame, rows_per_language: int = 4000, share: float = 0.3,
     """Fit the filter to (doc_id, text, lang) rows; rows with a null in any of them are left out."""
     rows = labelled.select("doc_id", "text", "lang").filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     rate = rows.groupBy("lang").agg(F.least(F.lit(1.0), rows_per_language / F.count(F.lit(1))).alias("rate"))
-    chosen = rows.join(rate, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    # one entry for each language, as a scalar: rows are chosen in the scan, and no text moves
+    rates = rate.agg(F.map_from_entries(F.collect_list(F.struct("lang", "rate"))).alias("rates")).scalar()
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.try_element_at(rates, F.col("lang")) * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.llm.common import written
+
 SHARDS = 24
 FINE, WHOLE, PART = 512, 0.5, 64
 OVERHEAD = 8
@@ -32,7 +34,7 @@ def _pack(units: pd.DataFrame, shards: int) -> pd.DataFrame:
     """The shard of each unit and its first slot there."""
     need = units[["bytes", "tokens", "rows"]].to_numpy(np.float64)
     need /= np.maximum(need.sum(0) / shards, 1)
-    order = np.lexsort((units["unit"], -need.max(1)))
+    order = np.lexsort((units["part"], units["unit"], -need.max(1)))  # the same packing, however the rows arrive
     room, shard = np.ones((shards, 3)), np.zeros(len(units), np.int64)
     for i in order:
         shard[i] = k = int(np.argmax(room @ need[i]))
@@ -69,7 +71,8 @@ def pack(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         if own:
             yield _pack(pd.concat(own, ignore_index=True), shards)
 
-    shard_of = units.coalesce(1).mapInPandas(run, "unit long, part int, shard int, first long")
+    # written before rows take their places from it, so that a task that runs again finds the same packing
+    shard_of = written(units.coalesce(1).mapInPandas(run, "unit long, part int, shard int, first long"), "packing")
     within = Window.partitionBy("unit", "part").orderBy("doc_id", "h", "h2", "size")
     numbered = placed.withColumn("n", F.row_number().over(within)).join(shard_of, ["unit", "part"])
     return numbered.select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("first") + F.col("n") - 1).alias("slot"))

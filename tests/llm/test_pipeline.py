@@ -76,3 +76,14 @@ def test_empty_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{path}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_clashing_columns_and_repeated_rows(spark, folder, tmp_path):
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").filter("doc_id < 3 OR doc_id = 7")
+    extra = {"ids": F.lit("i"), "n_pieces": F.lit("n"), "n_lines": F.lit("l"), "n_dropped": F.lit("d"), "kept_text": F.lit("k"), "leak": F.lit("x"), "kept": F.lit("y")}
+    docs.union(docs).withColumns(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{path}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in rows) == [0, 0, 1, 1, 2, 2, 7, 7]  # rows of one id are one document
+    assert all([r[c] for c in extra] == list("inldkxy") and len(r.ids_) == r.n_pieces_ for r in rows)

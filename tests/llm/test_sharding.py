@@ -26,3 +26,19 @@ def test_empty_and_single(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert [(r.doc_id, r.size, r.slot) for r in sharding.pack(docs).collect()] == [(1, 9, 0)]
     assert sharding.pack(docs.limit(0)).collect() == []
+
+
+def test_same_packing_for_any_order_of_units():
+    units = pd.DataFrame([(-9, k, 500, 40, 7) for k in range(64)] + [(k, 0, 100 + k % 3, 9, 1 + k % 2) for k in range(400)], columns=["unit", "part", "bytes", "tokens", "rows"])
+    key = ["unit", "part"]
+    first = sharding._pack(units, 8).sort_values(key).reset_index(drop=True)
+    for seed in range(5):
+        again = sharding._pack(units.sample(frac=1, random_state=seed), 8).sort_values(key).reset_index(drop=True)
+        pd.testing.assert_frame_equal(first, again)
+
+
+def test_long_text_and_clashing_columns(spark):
+    rows = [(1, "word " * 400_000, "t"), (2, "b", "u"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tokens string")
+    got = {r.doc_id: (r.size, r.tokens) for r in sharding.pack(docs, 2).collect()}
+    assert got == {1: (2_000_008, 400_000), 2: (9, 1), 3: (8, 0)}

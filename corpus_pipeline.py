@@ -8,7 +8,8 @@ Parquet and reread as the next one's documents.
 4. ``benchmark``: documents that hold a passage of a benchmark item go.
 5. ``pieces``: every text is encoded, and decoded again; ``text`` is the decoded one.
 
-``n_chars`` follows the text. Further columns of the input are kept as they are.
+``n_chars`` follows the text. Further columns of the input are kept as they are; the last stage adds ``ids`` and ``n_pieces``, with a ``_``
+behind a name that is taken.
 """
 
 from __future__ import annotations
@@ -26,6 +27,21 @@ from sightline.session import ensure_conf, ship_package
 LEAST_SCORE = 0.2
 
 
+#: rows of a batch that a Python worker gets at once: texts, and the sets of pairs, can be long
+BATCH_ROWS = 256
+
+
+def small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with batches small enough for the memory beside an executor's heap."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@small_batches
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.filter(~language_id.held_out()))
     own = fresh(docs, "_language")
@@ -33,27 +49,34 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.filter((F.col(own)["lang_pred"] != language_id.UNDETERMINED) & (F.col(own)["score"] >= LEAST_SCORE)).select(*docs.columns)
 
 
+@small_batches
 def first_of_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.apply_bitmaps(docs, line_dedup.dropped_lines(docs, keep_first=True))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]  # apart, as their names may be those of the operator's columns
+    own = docs.select("doc_id", "text", F.struct(F.lit(0).alias("doc_id"), *others).alias("other_columns"))
+    kept = line_dedup.apply_bitmaps(own, line_dedup.dropped_lines(own, keep_first=True))
     kept = kept.filter((F.col("n_dropped") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    changed = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns if c in kept.columns])
+    changed = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return kept.select(*[changed.get(c, F.col("other_columns")[c]).alias(c) for c in docs.columns])
 
 
+@small_batches
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = near_dedup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@small_batches
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     leaks = decontamination.overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak")).distinct()
     return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak"]), "left_anti").select(*docs.columns)
 
 
+@small_batches
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     encode, decode = sentence_pieces.codec(spark, sentence_pieces.load_pieces())
-    coded = docs.withColumn("ids", encode(F.col("text").cast("string")))
-    return coded.withColumns({"text": decode("ids"), "n_pieces": F.size("ids").cast("long")})
+    ids, n_pieces = fresh(docs, "ids"), fresh(docs, "n_pieces")
+    coded = docs.withColumn(ids, encode(F.col("text").cast("string")))
+    return coded.withColumns({"text": decode(ids), n_pieces: F.size(ids).cast("long")})
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

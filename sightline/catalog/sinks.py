@@ -90,13 +90,35 @@ def content_versions(t):
     return S.next_versions(store, batch, ["scan_id", "kind"], ["event_id"]).select("scan_id", "kind", "event_id", "version")
 
 
-@query("fix_artefacts", """
-WITH f AS (SELECT 'llms_txt' AS artefact UNION ALL SELECT 'json_ld' UNION ALL SELECT 'agents_md') SELECT artefact, count(*) AS pages, count(*) AS valid FROM pages, f GROUP BY 1""")
+_LINE = "trim(regexp_replace(translate({}, '<>[]', '    '), '\\s+', ' ', 'g'))"
+_INFO = rf"""i AS (SELECT page_id, url, coalesce(nullif({_LINE.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, ''), host) AS name,
+  coalesce(nullif({_LINE.format("""regexp_extract(html, '(?i)<meta[^>]*name=["'']description["''][^>]*content=["'']([^"'']*)["'']', 1)""")}, ''), 'Pages published at ' || host) AS about,
+  regexp_extract(url, '^[A-Za-z]+://[^/?#]+') AS origin,
+  list_transform(list_filter(list_transform(regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), lambda h: trim(regexp_replace(h, '<[^>]+>', '', 'g'))), lambda h: h <> ''), lambda h: '- ' || {_LINE.format('h')}) AS items
+  FROM (SELECT *, lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host FROM pages))"""
+
+
+def _joined(*parts: str) -> str:
+    return "array_to_string([" + ", ".join(x if x.startswith(("'", "CASE")) or "||" in x or x == "about" else "'" + x + "'" for x in parts) + "], chr(10))"
+
+
+@query("fix_artefacts", f"""
+WITH {_INFO} SELECT page_id, 'llms_txt' AS artefact, {_joined("'# ' || name", "", "'> ' || about", "", "## Where to start", "",
+    "'- [Source page](' || url || '): the page that this list was made from'", "'- [Site root](' || origin || '/): entrance to everything else on the host'", "",
+    "## Subjects of the source page", "", "CASE WHEN len(items) > 0 THEN array_to_string(items, chr(10)) ELSE 'The source page has no headings.' END", "", "## Before publishing", "",
+    "Put the pages that readers need most under the first heading, one link a line, and say behind each link what it answers. Remove what is out of date.", "")} AS content, true AS valid FROM i
+UNION ALL SELECT page_id, 'agents_md', {_joined("'# ' || name || ': notes for software agents'", "", "about", "", "## What an agent finds here", "",
+    "CASE WHEN len(items) > 0 THEN array_to_string(items, chr(10)) ELSE 'The page has no headings.' END", "", "## Allowed actions", "",
+    "'- read ' || url || ' and the pages it links to on this host'", "- quote passages together with the address they came from", "- summarise, as long as the summary names its source", "",
+    "## Not allowed", "", "- keeping personal data found on a page", "- sending forms without the consent of the person who asked", "", "## To be completed by the owner", "",
+    "'- contact address for questions about ' || origin || '/'", "- link to the terms of use", "- endpoints beyond plain pages, with an example of each", "")}, true FROM i
+UNION ALL SELECT page_id, 'json_ld', '{{"@context":"https://schema.org","@graph":[{{"@type":"Organization","name":' || to_json(name) || ',"url":' || to_json(origin) || ',"description":' || to_json(about)
+  || '}},{{"@type":"WebSite","name":' || to_json(name) || ',"url":' || to_json(origin) || '}}]}}', true FROM i""")
 def fix_artefacts(t):
-    """Rule-made artefacts of every page, held to the bar of the checks."""
+    """Rule-made artefacts of every page, with their texts, held to the bar of the checks."""
     info = A.site_info(t.pages())
     made = A.llms_fix(info).unionByName(A.json_ld_fix(info)).unionByName(A.agents_fix(info))
-    return A.validate_artefacts(made).groupBy("artefact").agg(F.count(F.lit(1)).alias("pages"), F.count_if("valid").alias("valid"))
+    return A.validate_artefacts(made).select("page_id", "artefact", "content", "valid")
 
 
 @query("robots_fixes", sql(r"""

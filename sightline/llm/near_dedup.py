@@ -182,18 +182,45 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable from every linked node. Labels spread and jump until none changes."""
-    edges = written(links.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("w")), F.struct(F.col("b").alias("u"), F.col("a").alias("w")))).alias("e")).select("e.*").distinct(), "edges")
-    labels = written(edges.groupBy("u").agg(F.least(F.col("u"), F.min("w")).alias("label")).select(F.col("u").alias("node"), "label"), "labels")
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("w"), "label"), "w").groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", "label", F.least("label", "near").alias("best"))
-        jump = labels.select(F.col("node").alias("best"), F.col("label").alias("far"))
-        step = written(step.join(jump, "best").select("node", F.col("label").alias("old"), F.least("best", "far").alias("label")), "labels")
-        if not step.filter("old <> label").limit(1).count():
-            return step.select("node", "label")
-        labels = step.select("node", "label")
+def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(node, label): the smallest node reachable from every linked node. ``labels``: the classes of links already known.
+
+    Each round, every class takes the smallest class it is linked with, chains of these are followed to their ends, and links are
+    carried over to the classes; those inside a class go. So all links are joined in the first round only.
+    """
+    if labels is not None:
+        links = _carried(links, labels)
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links")
+    while links.limit(1).count():
+        down = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+        ends = links.select(F.col("a").alias("node")).distinct().join(down.select("node"), "node", "left_anti")
+        step = written(down.unionByName(ends.withColumn("label", F.col("node"))), "labels")
+        while True:
+            ahead = step.select(F.col("node").alias("via"), F.col("label").alias("far"))
+            jump = written(step.join(ahead, F.col("label") == F.col("via")).select("node", F.col("label").alias("old"), F.col("far").alias("label")), "labels")
+            step = jump.select("node", "label")
+            if not jump.filter("old <> label").limit(1).count():
+                break
+        labels = step if labels is None else written(_relabelled(labels, step), "labels")
+        links = written(_carried(links, step).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    if labels is None:
+        return links.select(F.col("a").alias("node"), F.col("a").alias("label"))  # no links, no rows
+    return labels
+
+
+def _carried(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links between the classes of their ends."""
+    for c in "ab":
+        own = labels.select(F.col("node").alias(c), F.col("label").alias("own"))
+        links = links.join(own, c, "left").withColumn(c, F.coalesce("own", c)).drop("own")
+    return links
+
+
+def _relabelled(labels: DataFrame, step: DataFrame) -> DataFrame:
+    """All nodes with the class that a step gives their class; the step's own nodes too."""
+    own = step.select(F.col("node").alias("label"), F.col("label").alias("now"))
+    known = labels.join(own, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
+    return known.unionByName(step.join(labels.select("node"), "node", "left_anti"))
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -229,8 +256,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.least("x.h", "y.h").alias("h"),
     ).filter(_possible(F.col("h"))).select("a", "b").distinct()
     pairs = written(_lists_to_pairs(rare).union(star).distinct(), "pairs")
-    links = written(verified(pairs, docs), "links")
-    labels = components(links)
+    labels = components(verified(pairs, docs))
 
     # members of frequent lists that are still outside the list's largest class meet the list's other classes; a pair
     # counts in the list of its first common value only
@@ -244,17 +270,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.least("x.h", "y.h").alias("h"),
     ).filter(_possible(F.col("h"))).select("a", "b").distinct()
     bridge = written(bridge.join(pairs, ["a", "b"], "left_anti"), "bridge")
-    links = links.union(written(verified(bridge, docs), "links"))
+    labels = components(verified(bridge, docs), labels)
     pairs = pairs.union(bridge)
-    mixed = _mixed(wide, components(links))
+    mixed = _mixed(wide, labels)
     side = lambda df, x: df.select(F.col("v").alias("v" + x), *[F.col(c).alias(to + x) for c, to in (("rep", "r"), ("n", "n"), ("h", "h"), ("class", "c"), ("f", "f"))])
     bound = F.least("ha", "hb")
     can = (F.col("ca") != F.col("cb")) & (100 * bound >= 75 * (F.col("na") + F.col("nb") - bound)) & (F.col("va") == F.array_min(F.array_intersect("fa", "fb")))
     rest = side(mixed.filter("class <> main"), "a").join(side(mixed, "b"), (F.col("va") == F.col("vb")) & can)
     rest = rest.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = written(verified(rest, docs), "links")
-    labels = components(links.union(more).distinct())
+    labels = components(verified(rest, docs), labels)
 
     found = table.select("doc_id", *keys).join(classes, keys, "left").join(labels, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))

@@ -75,3 +75,25 @@ def test_sets_of_one_id_are_bounded_apart(spark):
     for order in (rows, rows[::-1]):
         postings = spark.createDataFrame(order, "v long, rep long, n int, h int")
         assert {tuple(r) for r in near_dedup._lists_to_pairs(postings).collect()} == {(5, 9)}
+
+
+def test_components_of_random_links(spark):
+    rng = random.Random(5)
+    nodes = 300
+    links = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (2000, 1999)] * 2
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    want = {x: root(x) for x in parent if any(x in link and link[0] != link[1] for link in links)}
+    df = spark.createDataFrame(links, "a long, b long")
+    assert {r.node: r.label for r in near_dedup.components(df).collect()} == want
+    first = near_dedup.components(df.limit(90))
+    assert {r.node: r.label for r in near_dedup.components(df.subtract(df.limit(90)), first).collect()} == want
+    assert near_dedup.components(df.limit(0)).collect() == []

@@ -57,10 +57,9 @@ _BACKLOG_SQL = ORACLE["backlog_alerts"]
 
 @query("stream_backlog_alerts", _BACKLOG_SQL)
 def stream_backlog_alerts(t):
-    """The same on a stream of gauge readings."""
-    gauges = _stream(t, "events").select(
-        F.concat(F.lit("queue"), C("user_id") % 5).alias("queue"), "ts", F.floor("value").alias("waiting"))
-    return _run(t, S.backlog_alerts(gauges, 100, 6 * H))
+    """The same on a stream of gauge readings, shuffled in time."""
+    gauges = t.raw("events").select(F.concat(F.lit("queue"), C("user_id") % 5).alias("queue"), C("ts").cast("timestamp").alias("ts"), F.floor("value").alias("waiting"))
+    return _run(t, S.backlog_alerts(_shuffled(t, gauges), 100, 6 * H, "60 days"))
 
 
 @query("alert_outcomes", sql("""
@@ -86,16 +85,12 @@ def alert_outcomes(t):
     return J.evaluate_alerts(rules, metrics, datetime(2024, 1, 25)).select("rule_id", "outcome")
 
 
-def _requests(t):
-    return t.raw("events").select(
-        F.concat(F.lit("client"), C("user_id") % 12).alias("client"), C("event_id").alias("request_id"), "ts", F.lit(3).alias("max_requests"))
-
-
-@query("fixed_rate_decisions", """
-SELECT client, request_id, row_number() OVER (PARTITION BY client, time_bucket(INTERVAL 2 HOUR, ts) ORDER BY ts, request_id) <= 3 AS allowed
-FROM (SELECT 'client' || user_id % 12 AS client, event_id AS request_id, ts FROM events)""")
-def fixed_rate_decisions(t):
-    return J.fixed_window_decisions(_requests(t), "2 hours")
+@query("request_window_counts", """
+SELECT client, strftime(time_bucket(INTERVAL 2 HOUR, ts), '%Y-%m-%d %H') AS hour, count(*) AS requests, least(count(*), 3) AS accepted, greatest(count(*) - 3, 0) AS refused
+FROM (SELECT 'client' || user_id AS client, ts FROM events) GROUP BY 1, 2""")
+def request_window_counts(t):
+    requests = t.raw("events").select(F.concat(F.lit("client"), C("user_id")).alias("client"), "ts", F.lit(3).alias("max_requests"))
+    return J.window_counts(requests, "2 hours").select("client", F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "requests", "accepted", "refused")
 
 
 @query("rate_limits", "SELECT event_id, CASE WHEN event_type = 'click' THEN CASE user_id % 3 WHEN 0 THEN 10 WHEN 1 THEN 60 ELSE 5 END ELSE CASE user_id % 3 WHEN 0 THEN 60 WHEN 1 THEN 300 ELSE 60 END END AS max_requests FROM events")
@@ -218,6 +213,16 @@ def _run(t, stream):
     return t.spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def _shuffled(t, rows, parts=3):
+    """Rows (queue, ..., ts) as a stream of files in no order of time, and at the end a clock reading after the lateness allowed."""
+    path = f"{checkpoint_dir(t.spark)}/shuffled-{uuid4().hex}"
+    rows.repartition(parts, F.xxhash64(*rows.columns)).write.parquet(path)
+    clock = rows.agg(F.max("ts").alias("ts")).select((C("ts") + F.expr("INTERVAL 70 DAYS")).alias("ts"))
+    clock = clock.select(*[C("ts") if c == "ts" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    clock.coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _failure_stream(t):
     return _stream(t, "events").filter(C("event_type") == "error").select(
         F.concat(F.lit("queue"), C("user_id") % 5).alias("queue"), C("event_id").alias("job_id"), C("ts").cast("timestamp").alias("ts"))
@@ -225,8 +230,9 @@ def _failure_stream(t):
 
 @query("stream_failure_alerts", sql(f"WITH RECURSIVE {_FAIL.strip()} SELECT queue, job_id, failures FROM fired", "job_log"))
 def stream_failure_alerts(t):
-    """Failure alerts with managed state; equal to the batch result when all rows are in time."""
-    return _run(t, S.failure_alerts(_failure_stream(t), 5, 6 * H, 12 * H)).select("queue", "job_id", "failures")
+    """Failure alerts with managed state over micro-batches that are shuffled in time; equal to the batch result."""
+    failures = _failures(t).withColumn("ts", C("ts").cast("timestamp"))
+    return _run(t, S.failure_alerts(_shuffled(t, failures), 5, 6 * H, 12 * H, "60 days")).select("queue", "job_id", "failures")
 
 
 @query("stream_failure_counts", sql("""

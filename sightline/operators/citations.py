@@ -64,49 +64,53 @@ def citation_urls(text: Column) -> Column:
     return F.array_distinct(F.concat(links, inline))
 
 
-def attribute_sources(
-    answers: DataFrame, config: DataFrame, provider: DataFrame | None = None, key: str = "snapshot_id"
-) -> DataFrame:
-    """Sources per answer: citations in the text, provider citations not seen there, or an unstructured marker.
+SOURCES = "array<struct<raw_url:string,url:string,domain:string,position:int,snippet:string>>"
+
 
-    ``provider`` (key, url, title). The own-domain flag is true for an own domain and its subdomains. Answers
-    without any source but with wording such as "experts say" give one row of type ``unstructured``.
+def add_sources(answers: DataFrame, provider: DataFrame | None = None, key: str = "snapshot_id") -> DataFrame:
+    """Add ``sources`` and ``source_type``: citations in the text, then provider citations not seen there, or an unstructured marker.
+
+    ``provider`` (key, url, title): of several with one canonical URL the least (url, title) counts, in the order of these URLs. Answers without any source but with
+    wording such as "experts say" have one source of type ``unstructured``.
     """
-    base = answers.join(config.select("project_id", "domains"), "project_id", "left")
-    base = with_citation_items(base, "text", "_inline").withColumn("_inline", F.coalesce("_inline", F.array()))
-    shape = "array<struct<raw_url:string,url:string,domain:string,position:int,snippet:string>>"
+    base = with_citation_items(answers, "text", "_inline").withColumn("_inline", F.coalesce(C("_inline").cast(SOURCES), F.array().cast(SOURCES)))
+    sources = C("_inline")
     if provider is not None:
-        extra = provider.filter(urls.host(C("url")).isNotNull()).groupBy(key).agg(
-            F.collect_list(F.struct("url", F.coalesce("title", F.lit("")).alias("title"))).alias("_provider"))
-        base = base.join(extra, key, "left")
-        seen = F.transform("_inline", lambda c: c["url"])
         # the canonical text of a provider URL keeps its query; only the fragment goes
-        plain = F.transform(
-            F.coalesce(C("_provider"), F.array().cast("array<struct<url:string,title:string>>")),
-            lambda p: F.struct(
-                p["url"].alias("raw_url"),
-                F.regexp_replace(F.concat(urls.origin(p["url"]), urls.path(p["url"]), F.regexp_extract(p["url"], r"(\?.*)$", 1)), "#.*$", "").alias("url"),
-                urls.host(p["url"]).alias("domain"), F.length("text").alias("position"), p["title"].alias("snippet"),
-            ),
-        )
-        fresh = F.filter(plain.cast(shape), lambda p: ~F.array_contains(seen, p["url"]))
-        first = F.filter(F.transform(fresh, lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
-                         lambda x: F.array_position(F.transform(fresh, lambda q: q["url"]), x["p"]["url"]) == x["i"] + 1)
-        base = base.withColumn("_sources", F.concat(C("_inline").cast(shape), F.transform(first, lambda x: x["p"])))
-    else:
-        base = base.withColumn("_sources", C("_inline").cast(shape))
+        plain = F.regexp_replace(F.concat(urls.origin(C("url")), urls.path(C("url")), F.regexp_extract("url", r"(\?.*)$", 1)), "#.*$", "")
+        once = provider.filter(urls.host(C("url")).isNotNull()).groupBy(key, plain.alias("plain")).agg(
+            F.min(F.struct("url", F.coalesce("title", F.lit("")).alias("title"))).alias("p"))
+        extra = once.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+            "plain", C("p.url").alias("raw_url"), urls.host(C("p.url")).alias("domain"), C("p.title").alias("title")))).alias("_provider"))
+        base = base.join(extra, key, "left").withColumn("_seen", F.transform("_inline", lambda c: c["url"]))
+        fresh = F.filter("_provider", lambda p: ~F.array_contains("_seen", p["plain"]))
+        more = F.transform(fresh, lambda p: F.struct(
+            p["raw_url"].alias("raw_url"), p["plain"].alias("url"), p["domain"].alias("domain"), F.length("text").alias("position"), p["title"].alias("snippet")))
+        sources = F.concat(sources, F.coalesce(more.cast(SOURCES), F.array().cast(SOURCES)))
+    base = base.withColumn("sources", sources)
     marker = F.array(F.struct(
         F.lit(None).cast("string").alias("raw_url"), F.lit("").alias("url"), F.lit("").alias("domain"),
-        F.lit(None).cast("int").alias("position"), F.lit("").alias("snippet"))).cast(shape)
-    vague = (F.size("_sources") == 0) & contains_any(F.lower("text"), K.UNSTRUCTURED_MARKERS)
-    rows = base.withColumn("source_type", F.when(vague, "unstructured").otherwise("structured")).withColumn(
-        "_sources", F.when(vague, marker).otherwise(C("_sources")))
+        F.lit(None).cast("int").alias("position"), F.lit("").alias("snippet"))).cast(SOURCES)
+    vague = (F.size("sources") == 0) & contains_any(F.lower("text"), K.UNSTRUCTURED_MARKERS)
+    rows = base.withColumn("source_type", F.when(vague, "unstructured").otherwise("structured"))
+    return rows.withColumn("sources", F.when(C("source_type") == "unstructured", marker).otherwise(C("sources"))).drop("_inline", "_provider", "_seen")
+
+
+def source_rows(rows: DataFrame, key: str = "snapshot_id") -> DataFrame:
+    """One row per source of ``add_sources``. The own-domain flag is true for an own domain and its subdomains."""
     own = F.exists("domains", lambda d: (C("s.domain") == d) | C("s.domain").endswith(F.concat(F.lit("."), d)))
-    return explode_items(rows, [key, "project_id", "source_type", "domains"], "_sources", "s").select(
+    return explode_items(rows, [key, "project_id", "source_type", "domains"], "sources", "s").select(
         key, "project_id", "source_type", "s.url", "s.domain", "s.position",
         ((C("s.domain") != "") & F.coalesce(own, F.lit(False))).alias("is_own_domain"))
 
 
+def attribute_sources(
+    answers: DataFrame, config: DataFrame, provider: DataFrame | None = None, key: str = "snapshot_id"
+) -> DataFrame:
+    """The sources of answers, one row each."""
+    return source_rows(add_sources(answers.join(config.select("project_id", "domains"), "project_id", "left"), provider, key), key)
+
+
 # --- Reddit ---------------------------------------------------------------------------------------
 
 REDDIT = r"(?i)^(?:https?://)?(?:www\.|old\.|new\.|m\.)?reddit\.com/r/([^/]+)/comments/([^/]+)(?:/[^/]*(?:/([^/?#]+))?)?"

@@ -1,8 +1,8 @@
 """Periodic jobs over schedules, queues, deliveries and stored data.
 
-Rules that depend on what was decided before (cooldowns, sliding limits) are folds over time. In batch they run on
-a sorted stream per key (``fold_sorted``), holding only the state of one key; on streams the same steps run with
-managed state (``sightline.streaming``).
+Cooldowns depend on what was decided before. In batch a queue's time is cut into blocks that run in parallel: each block says, for
+every row that could be its first decision, which decisions follow and which is the last (``cooled_down``); only these
+ends are chained per queue. On streams the same rules run as steps with managed state (``sightline.streaming``).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from sightline import constants as K
 from sightline.functions import dates
 from sightline.functions.numbers import round_half_up
 from sightline.operators.skew import latest_per_key
+from sightline.session import shared_table
 
 C = F.col
 Step = Callable[[object, pd.DataFrame], tuple[pd.DataFrame, object]]
@@ -48,22 +49,93 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], step: Step, sc
 # --- steps ----------------------------------------------------------------------------------------
 
 
+def chain(at: np.ndarray, cooldown_us: int) -> np.ndarray:
+    """For each of the sorted times, the index of the first one at least a cooldown later (their number, if there is none)."""
+    return np.searchsorted(at, at + cooldown_us)
+
+
 def cooldown_step(cooldown_us: int) -> Step:
     """Keep the first row and then the first one at least a cooldown after the last kept."""
 
     def step(last: int | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, int | None]:
         at = rows["at_us"].to_numpy()
-        picked = []
+        after, picked = chain(at, cooldown_us), []
         i = 0 if last is None else int(np.searchsorted(at, last + cooldown_us))
         while i < len(at):
             picked.append(i)
             last = int(at[i])
-            i = max(i + 1, int(np.searchsorted(at, last + cooldown_us)))
+            i = int(after[i])
         return rows.iloc[picked], last
 
     return step
 
 
+#: a block of time lasts so many cooldowns
+BLOCK_COOLDOWNS = 16
+
+
+def cooled_down(df: DataFrame, cooldown_seconds: int, block_cooldowns: int = BLOCK_COOLDOWNS) -> DataFrame:
+    """Of the rows (queue, at_us, ...), per queue the first and then each first one at least a cooldown after the last kept.
+
+    Of one instant only the least row can be kept. A block's table has one entry for each row of its first cooldown (and the next row), with the decisions that
+    follow from it; a block holds at most one more decision than cooldowns. The chain over a queue's blocks reads
+    only (first time, last decision) of the entries, so a queue with most of all rows is as many tasks as it has blocks.
+    """
+    us = cooldown_seconds * 1_000_000
+    payload = [c for c in df.columns if c not in ("queue", "at_us")]
+    named = F.coalesce(F.concat(F.lit("="), C("queue")), F.lit(""))  # rows without a queue are a queue of their own
+    rows = df.withColumn("queue", named).groupBy("queue", "at_us").agg(F.min(F.struct(F.lit(0).alias("_"), *payload)).alias("_row"))
+    rows = rows.select("queue", "at_us", *[f"_row.{c}" for c in payload])
+    rows = rows.withColumn("block", F.floor(C("at_us") / (us * block_cooldowns)))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    fired = "array<struct<at_us: bigint" + "".join(f", {c}: {kinds[c]}" for c in payload) + ">>"
+    fields = ["at_us", *payload]
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, key = [], None
+
+        def out() -> pd.DataFrame:
+            own = pd.concat(held, ignore_index=True)
+            at = own["at_us"].to_numpy()
+            after, values = chain(at, us), list(zip(*(own[c].tolist() for c in fields), strict=True))
+            first = int(np.searchsorted(at, (key[1] * block_cooldowns + 1) * us))
+            found = []
+            for i in range(min(first + 1, len(at))):
+                way = [i]
+                while after[way[-1]] < len(at):
+                    way.append(int(after[way[-1]]))
+                found.append((key[0], key[1], int(at[i]), int(at[way[-1]]), [dict(zip(fields, values[k], strict=True)) for k in way]))
+            return pd.DataFrame(found, columns=["queue", "block", "first", "last", "fired"])
+
+        for pdf in batches:
+            for own_key, own in pdf.groupby(["queue", "block"], sort=False, dropna=False):
+                if held and own_key != key:
+                    yield out()
+                    held = []
+                key = own_key
+                held.append(own)
+        if held:
+            yield out()
+
+    by_block = rows.repartition("queue", "block").sortWithinPartitions("queue", "block", "at_us")
+    found = shared_table(by_block.mapInPandas(entries, f"queue string, block long, first long, last long, fired {fired}"), "cooldowns")
+
+    def choose(state: tuple | None, own: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
+        last, taken = state or (None, None)
+        picked = []
+        block, first, end = (own[c].to_numpy() for c in ("block", "first", "last"))
+        for i in range(len(own)):
+            if block[i] != taken and (last is None or first[i] >= last + us):
+                taken, last = int(block[i]), int(end[i])
+                picked.append(i)
+        return own.iloc[picked][["queue", "block", "first"]], (last, taken)
+
+    chosen = fold_sorted(found.select("queue", "block", "first", "last"), ["queue"], ["block", "first"], choose, "queue string, block long, first long")
+    return found.join(chosen, ["queue", "block", "first"]).select(
+        F.when(C("queue") != "", F.substr("queue", F.lit(2))).alias("queue"), F.explode("fired").alias("f")
+    ).select("queue", *[f"f.{c}" for c in fields])
+
+
 def failure_step(threshold: int, window_us: int, cooldown_us: int) -> Step:
     """Failures one by one: an alert when the window holds enough of them and the cooldown is over."""
 
@@ -103,18 +175,16 @@ def failures_in_window(failures: DataFrame, key: str, window_seconds: int) -> Da
 def failure_alerts(failures: DataFrame, threshold: int = 5, window_seconds: int = 600, cooldown_seconds: int = 600) -> DataFrame:
     """Alerts per queue: the windows at or over the threshold, thinned by the cooldown.
 
-    The counts are a distributed window; only rows over the threshold go through the sequential cooldown.
+    The counts are a distributed window; only rows over the threshold go through the cooldown.
     """
     hot = failures_in_window(failures.select("queue", "job_id", "ts"), "queue", window_seconds).filter(C("failures") >= threshold)
-    return fold_sorted(
-        hot.select("queue", "job_id", "at_us", "failures"), ["queue"], ["at_us", "job_id"], cooldown_step(cooldown_seconds * 1_000_000),
-        "queue string, job_id long, at_us long, failures long")
+    return cooled_down(hot.select("queue", "at_us", "job_id", "failures"), cooldown_seconds).select("queue", "job_id", "at_us", "failures")
 
 
 def backlog_alerts(gauges: DataFrame, threshold: int = 100, cooldown_seconds: int = 600) -> DataFrame:
     """Alerts for gauge readings (queue, ts, waiting) over a threshold, thinned by the cooldown."""
     hot = gauges.filter(C("waiting") > threshold).select("queue", F.unix_micros(C("ts").cast("timestamp")).alias("at_us"), "waiting")
-    return fold_sorted(hot, ["queue"], ["at_us"], cooldown_step(cooldown_seconds * 1_000_000), "queue string, at_us long, waiting long")
+    return cooled_down(hot, cooldown_seconds)
 
 
 def _visibility_drop() -> tuple[Column, Column]:
@@ -161,11 +231,12 @@ def evaluate_alerts(
 # --- rate limits ------------------------------------------------------------------------------------
 
 
-def fixed_window_decisions(requests: DataFrame, window: str = "60 seconds") -> DataFrame:
-    """Fixed windows over a request log (client, request_id, ts, max_requests): position of a request within its client and window."""
-    w = Window.partitionBy("client", "window").orderBy("ts", "request_id")
-    rows = requests.withColumn("window", F.window("ts", window)).withColumn("_n", F.row_number().over(w))
-    return rows.select("client", "request_id", (C("_n") <= C("max_requests")).alias("allowed"))
+def window_counts(requests: DataFrame, window: str = "60 seconds") -> DataFrame:
+    """Requests per client and fixed window of a log (client, ts, max_requests), and how many of them the limit accepts and refuses."""
+    counts = requests.groupBy("client", F.window("ts", window).alias("w")).agg(F.count(F.lit(1)).alias("requests"), F.max("max_requests").alias("limit"))
+    return counts.select(
+        "client", C("w.start").alias("window_start"), "requests", F.least("requests", "limit").cast("long").alias("accepted"),
+        F.greatest(C("requests") - C("limit"), F.lit(0)).cast("long").alias("refused"))
 
 
 def limit_of(group: Column, plan: Column) -> Column:

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.operators.citations import answer_cost, attribute_sources
+from sightline.operators.citations import add_sources, answer_cost, source_rows
 from sightline.operators.mentions import add_kept, add_matches, mention_rows
 from sightline.operators.rankings import add_competitor_counts, add_rankings, benchmark_rows, ranking_rows
+from sightline.session import shared_table
 
 C = F.col
 
@@ -31,21 +32,29 @@ def mined(answers: DataFrame, config: DataFrame) -> DataFrame:
     return add_competitor_counts(add_rankings(add_kept(add_matches(answers, config))))
 
 
-def mine_answers(answers: DataFrame, config: DataFrame, provider: DataFrame | None = None) -> Facts:
-    """The four fact tables and the cost per answer.
+def mined_answers(answers: DataFrame, config: DataFrame, provider: DataFrame | None = None) -> DataFrame:
+    """``mined`` with the sources of each answer: all that the fact tables are made of."""
+    return add_sources(mined(answers, config), provider)
+
+
+def facts(rows: DataFrame) -> Facts:
+    """The four fact tables and the cost per answer, from ``mined_answers``.
 
-    Sources are attached to the first mention of their answer; answers without a mention get none. Persist or
-    write ``mined`` first when several tables are needed from a large input.
+    Sources are attached to the first mention of their answer; answers without a mention get none.
     """
-    rows = mined(answers, config)
-    sources = attribute_sources(answers, config, provider)
-    first = rows.filter(F.size("kept") > 0).select("snapshot_id", F.element_at("kept", 1)["at"].alias("mention_position"))
+    cited = rows.filter(F.size("kept") > 0)
+    first = cited.withColumn("mention_position", F.element_at("kept", 1)["at"])
     return Facts(
         mentions=mention_rows(rows),
         rankings=ranking_rows(rows),
         benchmarks=benchmark_rows(rows),
-        attributions=sources.join(first, "snapshot_id"),
-        costs=answers.select(
+        attributions=source_rows(cited).join(first.select("snapshot_id", "mention_position"), "snapshot_id"),
+        costs=rows.select(
             "snapshot_id", "project_id", "ai_engine", "queried_at",
             answer_cost(C("model"), C("input_tokens"), C("output_tokens")).alias("cost_cents")),
     )
+
+
+def mine_answers(answers: DataFrame, config: DataFrame, provider: DataFrame | None = None) -> Facts:
+    """Facts of one mining pass: the mined rows are written once to the shared folder, and every table is read from there."""
+    return facts(shared_table(mined_answers(answers, config, provider), "mined"))

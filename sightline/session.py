@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that are right on one machine and on a large cluster alike. The number of shuffle
 # partitions is only a starting point: adaptive execution merges small partitions and splits
@@ -56,6 +57,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return existing
 
 
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read back from a new table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/sightline-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, if it is not installed there."""
     import shutil

@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from sightline.operators.jobs import cooldown_step, failure_step
-from sightline.plans.answer_mining import mine_answers
+from sightline.operators.jobs import Step, cooldown_step, failure_step
+from sightline.plans.answer_mining import facts, mined_answers
 
 C = F.col
 
@@ -27,41 +27,89 @@ def _timed(stream: DataFrame, late: str) -> DataFrame:
     return stream.withColumn("ts", C("ts").cast("timestamp")).withWatermark("ts", late).withColumn("at_us", F.unix_micros("ts"))
 
 
-def _stateful(stream: DataFrame, keys: list[str], step, schema: str, state_ddl: str, pack, unpack, idle_ms: int) -> DataFrame:
-    """Run a fold step per key with managed state; state of keys idle for ``idle_ms`` of event time is dropped."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        value = unpack(state.get) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("at_us", kind="stable")  # one micro-batch of one key
-        out, value = step(value, rows.drop(columns="ts"))
-        state.update(pack(value))
-        state.setTimeoutTimestamp(max(int(rows["at_us"].iloc[-1]) // 1000, state.getCurrentWatermarkMs()) + idle_ms)
-        if len(out):
-            yield out
-
-    return stream.groupBy(*keys).applyInPandasWithState(update, schema, state_ddl, "append", GroupStateTimeout.EventTimeTimeout)
+class OrderedFold(StatefulProcessor):
+    """Folds the rows of a key in event-time order, whatever order they arrive in.
+
+    Rows wait in buckets of event time; a timer releases a bucket once the watermark has passed its end, so nothing older can
+    come. Released rows are sorted by (at_us, tie) and folded; only the fold's value is kept on. Rows without a key are clock
+    readings: they move the watermark and are not folded. The value of a key that had no rows for ``idle_ms`` is dropped.
+    """
+
+    def __init__(self, step: Step, columns: list[str], kinds: list[str], value_ddl: str, bucket_ms: int, idle_ms: int) -> None:
+        self.step, self.columns, self.kinds, self.value_ddl, self.bucket_ms, self.idle_ms = step, columns, kinds, value_ddl, bucket_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        waiting = ", ".join(f"{c} array<{k}>" for c, k in zip(self.columns, self.kinds, strict=True))
+        self.waiting = handle.getMapState("waiting", "bucket long", waiting)
+        self.value = handle.getValueState("value", f"{self.value_ddl}, seen long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        if key[0] is not None:
+            new: dict[int, list[pd.DataFrame]] = {}
+            for pdf in rows:
+                for bucket, own in pdf.groupby(pdf["at_us"] // (1000 * self.bucket_ms)):
+                    new.setdefault(int(bucket), []).append(own)
+            for bucket, parts in new.items():
+                old = self.waiting.getValue((bucket,)) if self.waiting.containsKey((bucket,)) else [[] for _ in self.columns]
+                self.waiting.updateValue((bucket,), tuple([*o, *(x for own in parts for x in own[c].tolist())] for o, c in zip(old, self.columns, strict=True)))
+                self.handle.registerTimer((bucket + 1) * self.bucket_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        state = list(self.value.get()) if self.value.exists() else None
+        ready = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.bucket_ms <= now)
+        for bucket in ready:
+            held = self.waiting.getValue((bucket,))
+            self.waiting.removeKey((bucket,))
+            rows = pd.DataFrame(dict(zip(self.columns, map(list, held), strict=True))).sort_values(self.columns, kind="stable", ignore_index=True)
+            out, folded = self.step(None if state is None else tuple(state[:-1]), rows)
+            state = [*folded, int(rows["at_us"].iloc[-1]) // 1000]
+            if len(out):
+                yield out.assign(queue=key[0])
+        if ready:
+            self.value.update(tuple(state))
+            self.handle.registerTimer(state[-1] + self.idle_ms)
+        elif state is not None and state[-1] + self.idle_ms <= now and not any(True for _ in self.waiting.keys()):
+            self.value.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _ordered(rows: DataFrame, step: Step, columns: list[str], kinds: list[str], value_ddl: str, idle_seconds: int, schema: str) -> DataFrame:
+    fold = OrderedFold(step, columns, kinds, value_ddl, 60_000, 1000 * idle_seconds)
+    return rows.groupBy("queue").transformWithStateInPandas(fold, schema, "append", "eventtime")
 
 
 def failure_alerts(
     failures: DataFrame, threshold: int = 5, window_seconds: int = 600, cooldown_seconds: int = 600, late: str = LATE
 ) -> DataFrame:
-    """Alerts on a stream of terminal failures (queue, job_id, ts)."""
-    step = failure_step(threshold, window_seconds * 1_000_000, cooldown_seconds * 1_000_000)
+    """Alerts on a stream of terminal failures (queue, job_id, ts), equal to the batch result for rows that come within ``late`` of the newest.
+    Rows with a null queue only move the clock."""
+    fold = failure_step(threshold, window_seconds * 1_000_000, cooldown_seconds * 1_000_000)
+
+    def step(state: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
+        out, (recent, last) = fold(None if state is None else (list(state[0]), state[1]), rows)
+        return out, (recent, last)
+
     rows = _timed(failures, late).select("queue", "job_id", "ts", "at_us")
-    return _stateful(
-        rows, ["queue"], step, "queue string, job_id long, at_us long, failures long", "recent array<long>, last long",
-        lambda s: (s[0], s[1]), lambda t: (list(t[0]), t[1]), 10 * 1000 * max(window_seconds, cooldown_seconds))
+    return _ordered(
+        rows, step, ["at_us", "job_id"], ["long", "long"], "recent array<long>, last long", max(window_seconds, cooldown_seconds),
+        "queue string, job_id long, at_us long, failures long")
 
 
 def backlog_alerts(gauges: DataFrame, threshold: int = 100, cooldown_seconds: int = 600, late: str = LATE) -> DataFrame:
-    step = cooldown_step(cooldown_seconds * 1_000_000)
-    rows = _timed(gauges.filter(C("waiting") > threshold), late).select("queue", "ts", "at_us", "waiting")
-    return _stateful(
-        rows, ["queue"], step, "queue string, at_us long, waiting long", "last long",
-        lambda last: (last,), lambda t: t[0], 10 * 1000 * cooldown_seconds)
+    """Alerts on a stream of gauge readings (queue, ts, waiting). Rows with a null queue only move the clock."""
+    fold = cooldown_step(cooldown_seconds * 1_000_000)
+
+    def step(state: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
+        out, last = fold(None if state is None else state[0], rows)
+        return out, (last,)
+
+    rows = _timed(gauges.filter((C("waiting") > threshold) | C("queue").isNull()), late).select("queue", "ts", "at_us", "waiting")
+    return _ordered(rows, step, ["at_us", "waiting"], ["long", "long"], "last long", cooldown_seconds, "queue string, at_us long, waiting long")
 
 
 def failure_counts(failures: DataFrame, window: str = "10 minutes", slide: str = "5 minutes", late: str = "1 hour") -> DataFrame:
@@ -87,9 +135,17 @@ def stale_after(jobs: DataFrame, minutes: int = 30, late: str = "10 minutes") ->
 
 # --- running ------------------------------------------------------------------------------------------
 
+#: state on the executors' disks, so that it may outgrow their memory
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _keep_state(stream: DataFrame) -> None:
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
 
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process what is there and append it to a table, exactly once by checkpoint."""
+    _keep_state(stream)
     query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -103,6 +159,7 @@ def write_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+    _keep_state(stream)
     query = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
@@ -121,10 +178,10 @@ def mine_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch if prepare is None else prepare(batch)
-        rows = rows.persist()
-        for name, table in mine_answers(rows, config).tables().items():
+        store = f"{path}/mined/batch={batch_id}"
+        mined_answers(rows, config).write.mode("overwrite").parquet(store)
+        for name, table in facts(rows.sparkSession.read.parquet(store)).tables().items():
             table.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
-        rows.unpersist()
 
     query = answers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -1,8 +1,10 @@
 """Streams over files, run to the end with availableNow, against the batch results."""
 
+import random
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import jobs as J
@@ -25,15 +27,56 @@ def run(spark, stream, folder):
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+FAILURE = "queue string, job_id long, ts timestamp"
+
+
 def test_alert_state_spans_micro_batches(spark, tmp_path):
-    ddl = "queue string, job_id long, ts timestamp"
     first = [("q", i, T0 + timedelta(seconds=i)) for i in range(4)]
     second = [("q", 4, T0 + timedelta(seconds=4)), ("q", 5, T0 + timedelta(seconds=5)), ("q", 6, T0 + timedelta(seconds=700))]
-    got = run(spark, S.failure_alerts(stream_of(spark, [first, second], ddl, str(tmp_path))), str(tmp_path))
-    batch = J.failure_alerts(spark.createDataFrame(first + second, ddl))
+    clock = [(None, None, T0 + timedelta(hours=3))]
+    got = run(spark, S.failure_alerts(stream_of(spark, [first, second, clock], FAILURE, str(tmp_path))), str(tmp_path))
+    batch = J.failure_alerts(spark.createDataFrame(first + second, FAILURE))
     assert [(r["queue"], r["job_id"]) for r in got.collect()] == [(r["queue"], r["job_id"]) for r in batch.collect()] == [("q", 4)]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shuffled_micro_batches_equal_batch(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice("ppppq"), i, T0 + timedelta(seconds=rng.randrange(0, 9000))) for i in range(400)]
+    rows += [("p", 1000 + i, T0 + timedelta(seconds=77)) for i in range(3)]  # equal times
+    late = sorted(rows, key=lambda r: r[2] + timedelta(seconds=rng.randrange(0, 3500)))  # up to an hour late
+    parts = [late[i : i + 140] for i in range(0, len(late), 140)]
+    clock = [(None, None, T0 + timedelta(days=2))]
+    got = run(spark, S.failure_alerts(stream_of(spark, [*parts, clock], FAILURE, str(tmp_path)), 4, 120, 300), str(tmp_path))
+    batch = J.failure_alerts(spark.createDataFrame(rows, FAILURE), 4, 120, 300)
+    assert 5 < got.count() == batch.count()
+    key = lambda r: (r["queue"], r["at_us"])
+    assert sorted(map(key, got.collect())) == sorted(map(key, batch.collect()))
+
+
+def test_rows_wait_for_the_watermark(spark, tmp_path):
+    rows = [("q", i, T0 + timedelta(seconds=i)) for i in range(9)]
+    got = run(spark, S.failure_alerts(stream_of(spark, [rows], FAILURE, str(tmp_path))), str(tmp_path))
+    assert got.count() == 0  # an older row could still come
+
+
+@pytest.mark.parametrize(("cooldown", "block"), [(10, 1), (10, 3), (60, 16), (3600, 16)])
+def test_parallel_cooldown_equals_a_loop(spark, cooldown, block):
+    rng = random.Random(cooldown + block)
+    rows = [(rng.choice(["hot"] * 8 + ["b", "", None]), rng.randrange(0, 6_000) * 500_000, rng.randrange(50)) for _ in range(1500)]
+    rows += [("gap", 5_000_000, 1), ("gap", 400_000_000_000, 2)]
+    want = []
+    for queue in {r[0] for r in rows}:
+        last = None
+        for at, waiting in sorted(r[1:] for r in rows if r[0] == queue):
+            if last is None or at - last >= cooldown * 1_000_000:
+                last = at
+                want.append((queue, at, waiting))
+    df = spark.createDataFrame(rows, "queue string, at_us long, waiting long").repartition(5)
+    assert sorted(map(tuple, J.cooled_down(df, cooldown, block).collect()), key=str) == sorted(want, key=str)
+    assert J.cooled_down(df.limit(0), cooldown, block).collect() == []
+
+
 def test_repeats_are_dropped_and_late_rows_with_them(spark, tmp_path):
     ddl = "key string, ts timestamp"
     parts = [[("a", T0), ("a", T0 + timedelta(minutes=1))], [("b", T0 + timedelta(hours=9))], [("a", T0 + timedelta(minutes=2)), ("c", T0 + timedelta(hours=9))]]

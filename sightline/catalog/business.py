@@ -65,7 +65,7 @@ _PLANS = "(VALUES ('free', 0, 3, 1), ('starter', 1, 50, 10), ('pro', 2, NULL, NU
 
 @query("scan_usage", sql(f"""
 WITH u AS (SELECT c_custkey AS user_id, ['free','starter','pro','free'][c_custkey % 4 + 1] AS plan FROM customer),
-s AS (SELECT user_id % 300 AS user_id, count(*) AS m, count_if(strftime(scanned_at, '%Y-%m-%d') = '1997-05-28') AS d FROM scans WHERE strftime(scanned_at, '%Y-%m') = '1997-05' GROUP BY 1),
+s AS (SELECT user_id, count(*) AS m, count_if(strftime(scanned_at, '%Y-%m-%d') = '1997-05-28') AS d FROM scans WHERE strftime(scanned_at, '%Y-%m') = '1997-05' GROUP BY 1),
 j AS (SELECT u.user_id, plan, pm, pd, coalesce(m, 0) AS m, coalesce(d, 0) AS d FROM u JOIN {_PLANS} USING (plan) LEFT JOIN s USING (user_id))
 SELECT user_id, plan, m AS month_used, greatest(0, pm - m) AS month_remaining, CASE WHEN pm IS NULL THEN 0 ELSE least(100, floor(m * 100.0 / pm + 0.5)) END::BIGINT AS month_percentage,
   NOT (coalesce(m >= pm, false) OR coalesce(d >= pd, false)) AS allowed, CASE WHEN m >= pm THEN 'monthly_limit' WHEN d >= pd THEN 'daily_limit' ELSE 'ok' END AS reason,
@@ -73,7 +73,7 @@ SELECT user_id, plan, m AS month_used, greatest(0, pm - m) AS month_remaining, C
 def scan_usage(t):
     users = t.raw("customer").select(
         C("c_custkey").alias("user_id"), F.element_at(F.array(*[F.lit(p) for p in ("free", "starter", "pro", "free")]), (C("c_custkey") % 4 + 1).cast("int")).alias("plan"))
-    scans = t.scans().select((C("user_id") % 300).alias("user_id"), "scanned_at")
+    scans = t.scans().select("user_id", "scanned_at")
     out = B.scan_usage(scans, users, "1997-05", "1997-05-28")
     return out.select("user_id", "plan", C("monthly.used").alias("month_used"), C("monthly.remaining").alias("month_remaining"),
                       C("monthly.percentage").cast("long").alias("month_percentage"), "allowed", "reason", "upgrade_to")

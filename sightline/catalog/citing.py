@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sightline import constants as K
 from sightline.catalog import query
-from sightline.catalog.mining import config
+from sightline.catalog.mining import _sentiment_sql, config
 from sightline.catalog.views import bare_host, encoded_sql, host, sql
 from sightline.functions import urls
 from sightline.operators.citations import answer_cost, attribute_sources, citation_urls, extract_citations, link_reddit
@@ -145,11 +145,11 @@ def citation_mappings(t):
 
 @query("new_responses", sql("""
 SELECT citation_id, audit_id, model_name, query_text FROM citations c
-WHERE NOT EXISTS (SELECT 1 FROM citations d JOIN mappings m USING (citation_id) WHERE d.audit_id = c.audit_id AND d.model_name = c.model_name AND d.query_text = c.query_text AND cited_page_id = 0)""", "citations", "mappings"))
+WHERE NOT EXISTS (SELECT 1 FROM citations d JOIN mappings m USING (citation_id) WHERE d.audit_id = c.audit_id AND d.model_name = c.model_name AND d.query_text = c.query_text)""", "citations", "mappings"))
 def new_responses_query(t):
     """Responses whose (audit, model, query) has no mapping yet."""
     c = t.citations()
-    return new_responses(c, c.join(t.mappings().filter(C("cited_page_id") == 0).select("citation_id"), "citation_id", "left_semi")).select(
+    return new_responses(c, c.join(t.mappings().select("citation_id"), "citation_id", "left_semi")).select(
         "citation_id", "audit_id", "model_name", "query_text")
 
 
@@ -184,8 +184,7 @@ def merged_sentiment(t):
     return merge_sentiment(t.mentions(), labels).select("mention_id", "sentiment", "sentiment_source", "sentiment_confidence")
 
 
-@query("keyword_mentions", sql("""
-SELECT mention_type, mention_id, brand_id, min(keyword) AS keyword FROM
+@query("keyword_mentions", sql("SELECT mention_type, mention_id, brand_id, min(keyword) AS keyword, " + _sentiment_sql("lower(any_value(text))") + """ AS sentiment FROM
  (SELECT 'post' AS mention_type, reddit_id AS mention_id, title || chr(10) || chr(10) || body AS text FROM posts
   UNION ALL SELECT 'comment', reddit_id, body FROM comments WHERE post_id IN (SELECT reddit_id FROM posts))
  JOIN (SELECT c_custkey % 3 AS brand_id, ['that','des','und'][c_custkey % 3 + 1] AS keyword FROM customer GROUP BY 1, 2) ON contains(lower(text), keyword)
@@ -194,7 +193,7 @@ def keyword_mentions_query(t):
     words = F.array(F.lit("that"), F.lit("des"), F.lit("und"))
     k = C("c_custkey") % 3
     keywords = t.raw("customer").select(k.alias("brand_id"), F.element_at(words, (k + 1).cast("int")).alias("keyword"), F.lit(True).alias("enabled")).distinct()
-    return keyword_mentions(t.posts(), t.comments(), keywords, sentiment).drop("sentiment")
+    return keyword_mentions(t.posts(), t.comments(), keywords, sentiment)
 
 
 _TPL = "(VALUES ('de', 'intro', 'Was ist {{brand}}?'), ('en', 'intro', 'What is {{ brand }} in {{city}}?'), ('en', 'deep', 'Compare {{brand}}')) t(locale, template_key, content)"

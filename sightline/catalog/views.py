@@ -153,7 +153,7 @@ SELECT page_id AS cited_page_id, url, {bare_host('url')} AS domain, CASE WHEN pa
 _view("mappings", """
 SELECT o_orderkey AS citation_id, o_orderkey % n AS cited_page_id, o_orderkey % 10 AS position,
   ['exact','path','fuzzy','unmatched'][o_orderkey % 4 + 1] AS match_type
-FROM orders CROSS JOIN np WHERE o_orderkey % 4 <> 3
+FROM orders CROSS JOIN np WHERE o_orderkey % 4 <> 3 AND o_custkey % 200 % 9 <> 0
 """, "np")
 _view("source_attributions", f"""
 SELECT event_id AS attribution_id, event_id AS mention_id, user_id % 10 AS project_id, url, {bare_host('url')} AS domain,
@@ -172,7 +172,7 @@ SELECT user_id AS delivery_id, event_id AS attempt_id, ts AS attempted_at,
   CASE event_type WHEN 'error' THEN 500 WHEN 'view' THEN 404 ELSE 200 END AS http_status FROM events
 """)
 _view("posts", """
-SELECT 'p' || conv_id AS reddit_id, 'sub' || conv_id % 6 AS subreddit, substring(text, 1, 60) AS title, text AS body, (conv_id % 90)::INT AS score
+SELECT 'p' || conv_id AS reddit_id, 'sub' || conv_id % 6 AS subreddit, split_part(text, chr(10), 1) AS title, text AS body, (conv_id % 90)::INT AS score
 FROM conversations WHERE turn = 0
 """)
 _view("comments", """

@@ -7,6 +7,9 @@ equi-join, and the edit distance decides. Popular hosts spread over the segments
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,25 +102,55 @@ def match_pages(citation_urls: DataFrame, candidates: DataFrame, aliases: DataFr
     )
 
 
-def keyword_hits(texts: DataFrame, keywords: DataFrame, key: str, text: str = "text", keyword: str = "keyword") -> DataFrame:
-    """Rows (key, the columns of ``keywords``) where the lower-case text contains the keyword.
+#: distinct keywords in one automaton
+KEYWORD_BLOCK = 200_000
 
-    Texts and keywords meet over the first three characters of each keyword (shorter keywords: over all of it); only keys
-    and these characters are exploded. The texts that met a keyword come back by key for the test that decides.
-    """
-    words = keywords.withColumn("_k", F.lower(keyword)).withColumn("_gram", F.substring("_k", 1, 3))
-    c = C("_chars")
-    parts = F.concat(_grams(c, 1), _grams(c, 2), _grams(c, 3))
-    chars = texts.select(key, F.split(F.lower(C(text)), "").alias("_chars"))
-    met = chars.select(key, F.explode(F.array_distinct(parts)).alias("_gram")).join(words, "_gram").drop("_gram")
-    own = texts.select(C(key).alias("_key"), F.lower(C(text)).alias("_text"))
-    return met.join(own, C(key) == C("_key")).filter(F.contains("_text", "_k")).drop("_key", "_text", "_k")
 
+def keyword_hits(texts: DataFrame, keywords: DataFrame, key: str, text: str = "text", keyword: str = "keyword", block: int = KEYWORD_BLOCK) -> DataFrame:
+    """Rows (key, the columns of ``keywords``) where the lower-case text contains the keyword.
 
-def _grams(chars: Column, n: int) -> Column:
-    """The runs of ``n`` characters of a text, given as its characters."""
-    at = F.sequence(F.lit(0), F.size(chars) - n)
-    return F.when(F.size(chars) >= n, F.transform(at, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
+    The distinct keywords are dealt into blocks of at most ``block``, each an Aho-Corasick automaton that every task builds once; the texts
+    stream past it in their own partitions, once for each block, and only (key, word) pairs leave. Null and empty keywords hit nothing.
+    """
+    spark = texts.sparkSession
+    words = keywords.withColumn("_word", F.lower(keyword))
+    distinct = words.filter(C("_word") != "").select("_word").distinct()
+    own = texts.select(C(key).alias("_key"), F.lower(C(text)).alias("_text")).filter("_text IS NOT NULL")
+    kind = own.schema["_key"].dataType.simpleString()
+    blocks, held, hits = [], [], None
+    for row in distinct.toLocalIterator():  # one block at a time on the driver
+        held.append(row["_word"])
+        if len(held) == block:
+            blocks.append(spark.sparkContext.broadcast(held))
+            held = []
+    if held or not blocks:
+        blocks.append(spark.sparkContext.broadcast(held))
+    for sent in blocks:
+        found = own.mapInArrow(_searcher(sent), f"_key {kind}, _word string")
+        hits = found if hits is None else hits.unionByName(found)
+    return hits.join(words, "_word").drop("_word").withColumnRenamed("_key", key)
+
+
+def _searcher(sent):
+    """A function over batches (_key, _text) that gives (_key, _word) for each of the sent words that a text contains."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word in sent.value:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for batch in batches:
+            at, words = [], []
+            if sent.value:
+                for i, own in enumerate(batch.column("_text").to_pylist()):
+                    met = {word for _, word in automaton.iter(own)}
+                    at += [i] * len(met)
+                    words += met
+            yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(at, pa.int64())), pa.array(words, pa.string())], ["_key", "_word"])
+
+    return run
 
 
 def keyword_mentions(posts: DataFrame, comments: DataFrame, keywords: DataFrame, sentiment) -> DataFrame:
@@ -134,7 +167,8 @@ def keyword_mentions(posts: DataFrame, comments: DataFrame, keywords: DataFrame,
             F.lit("comment").alias("mention_type"), C("reddit_id").alias("mention_id"), C("body").alias("text")))
     items = items.withColumn("item", F.concat_ws(":", "mention_type", "mention_id"))
     hits = keyword_hits(items, active, "item").groupBy("item", "brand_id").agg(F.min("keyword").alias("keyword"))
-    labels = items.select("item", "mention_type", "mention_id", sentiment(C("text")).alias("sentiment"))
+    # sentiment only of the items that were hit
+    labels = items.join(hits.select("item").distinct(), "item", "left_semi").select("item", "mention_type", "mention_id", sentiment(C("text")).alias("sentiment"))
     return hits.join(labels, "item").drop("item")
 
 

@@ -61,20 +61,45 @@ def sitemap_urls(t):
     return s.select("site", F.size("s.urls").alias("urls"), F.size("s.indexes").alias("indexes"))
 
 
+def _sitemaps(t):
+    """Per site an index of four sitemaps; sitemap n lists every eleventh page from page 9 + n on."""
+    site = C("page_id") % 10
+    base = F.concat(F.lit("https://c"), site, F.lit(".example"))
+    loc = lambda *x: F.concat(F.lit("<loc> "), *x, F.lit(" </loc>"))
+    pages = t.raw("pages").select(site.alias("crawl_id"), base.alias("base"), F.floor(C("page_id") / 10).alias("i"))
+    entries = pages.filter((C("i") >= 9) & ((C("i") - 9) % 11 < 4)).withColumn("n", (C("i") - 9) % 11)
+    nested = entries.groupBy("crawl_id", "base", "n").agg(F.array_join(F.collect_list(F.concat(F.lit("<url>"), loc("base", F.lit("/p"), "i"), F.lit("</url>"))), "").alias("x"))
+    nested = nested.select("crawl_id", F.concat("base", F.lit("/sitemap-"), "n", F.lit(".xml")).alias("url"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("content"))
+    index = pages.select("crawl_id", "base").distinct().select(
+        "crawl_id", F.concat("base", F.lit("/sitemap.xml")).alias("url"),
+        F.concat(F.lit("<sitemapindex>"), *[F.concat(F.lit("<sitemap>"), loc("base", F.lit(f"/sitemap-{n}.xml")), F.lit("</sitemap>")) for n in range(4)], F.lit("</sitemapindex>")).alias("content"))
+    return index.unionByName(nested)
+
+
+_SEEDS = "seeds AS (SELECT crawl_id, url FROM cp WHERE i >= 9 AND (i - 9) % 11 < 3)"
+
+
+@query("sitemap_seeds", f"WITH {_PAGES}, {_SEEDS} SELECT crawl_id, url FROM seeds")
+def sitemap_seeds(t):
+    """Pages listed by the first three sitemaps of each site's index."""
+    files = _sitemaps(t)
+    return W.sitemap_seeds(files, files.filter(C("url").endswith("/sitemap.xml")))
+
+
 def _crawl(t):
     pages = crawl_pages(t)
     roots = pages.select("crawl_id", F.concat(F.lit("https://c"), "crawl_id", F.lit(".example/p0")).alias("url")).distinct()
-    seeds = roots.select("crawl_id", F.concat(F.lit("https://c"), "crawl_id", F.lit(".example/p9")).alias("url"))
+    seeds = W.sitemap_seeds(_sitemaps(t), roots.select("crawl_id", F.replace("url", F.lit("/p0"), F.lit("/sitemap.xml")).alias("url")))
     rules = W.crawler_rules(_robots(t), "spider").select(C("site").alias("crawl_id"), "disallow")
     return W.crawl_frontier(roots, W.internal_links(pages, ["crawl_id"]), pages.select("crawl_id", "url", "http_status"), rules, seeds)
 
 
-_BFS = f"""WITH RECURSIVE {_PAGES}, {_EDGES},
-st AS (SELECT crawl_id, link AS url FROM ce UNION SELECT crawl_id, url FROM ce UNION SELECT DISTINCT crawl_id, 'https://c' || crawl_id || '.example/p9' FROM cp),
+_BFS = f"""WITH RECURSIVE {_PAGES}, {_EDGES}, {_SEEDS},
+st AS (SELECT crawl_id, link AS url FROM ce UNION SELECT crawl_id, url FROM ce UNION SELECT crawl_id, url FROM seeds),
 stat AS (SELECT st.crawl_id, st.url, http_status, CASE WHEN split_part(st.url, '/', 4) LIKE 'p1' || st.crawl_id || '%' OR split_part(st.url, '/', 4) LIKE 'p2%' THEN 'blocked' WHEN http_status = 200 THEN 'completed' ELSE 'failed' END AS status
   FROM st LEFT JOIN cp USING (crawl_id, url)),
 bfs AS (SELECT DISTINCT crawl_id, 'https://c' || crawl_id || '.example/p0' AS url, 0 AS depth FROM cp
-  UNION SELECT DISTINCT crawl_id, 'https://c' || crawl_id || '.example/p9', 1 FROM cp
+  UNION SELECT crawl_id, url, 1 FROM seeds
   UNION SELECT b.crawl_id, link, depth + 1 FROM bfs b JOIN stat s ON s.crawl_id = b.crawl_id AND s.url = b.url AND status = 'completed' JOIN ce ON ce.crawl_id = b.crawl_id AND ce.url = b.url WHERE depth < 3),
 f AS (SELECT crawl_id, url, min(depth) AS depth FROM bfs GROUP BY 1, 2)
 """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from sightline import constants as K
@@ -13,6 +15,8 @@ from sightline.operators.mentions import (
 )
 from sightline.operators.rankings import add_competitor_counts, add_list, add_rankings, benchmark_rows, ranking_rows
 from sightline.plans.answer_mining import mine_answers, mined
+from sightline.session import checkpoint_dir
+from sightline.sources.readers import answers_of_days
 
 C = F.col
 
@@ -228,6 +232,18 @@ def competitor_benchmarks(t):
                        F.round("share_of_voice", 6).alias("share_of_voice"), "avg_sentiment", "avg_rank")
 
 
+@query("answers_on_event_days", sql("""
+SELECT snapshot_id, project_id, strftime(queried_at, '%Y-%m-%d') AS day, text FROM answers
+WHERE (project_id, strftime(queried_at, '%Y-%m-%d')) IN (SELECT user_id % 10, strftime(ts, '%Y-%m-%d') FROM events WHERE value > 90)""", "answers"))
+def answers_on_event_days(t):
+    """Answers stored by day; the days with large events prune the scan through the join."""
+    path = f"{checkpoint_dir(t.spark)}/answers-{uuid4().hex}"
+    t.answers().withColumn("day", F.to_date("queried_at")).repartition("day").write.partitionBy("day").parquet(path)
+    days = t.raw("events").filter(C("value") > 90).select((C("user_id") % 10).alias("project_id"), F.to_date("ts").alias("day"))
+    found = answers_of_days(t.spark.read.parquet(path), days)
+    return found.select("snapshot_id", "project_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "text")
+
+
 @query("answer_facts", _strategy_sql("SELECT 1").replace("SELECT 1", "").rstrip() + ",\n" + _RANKS_FULL.strip() + """
 SELECT 'mentions' AS fact, (SELECT count(*) FROM kept) AS n UNION ALL SELECT 'rankings', (SELECT count(*) FROM ranks)
 UNION ALL SELECT 'benchmarks', (SELECT count(*) FROM answers JOIN competitors USING (project_id)) UNION ALL SELECT 'costs', (SELECT count(*) FROM answers)

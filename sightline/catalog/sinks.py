@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from sightline.catalog import query
 from sightline.catalog.views import sql
 from sightline.operators import artefacts as A
+from sightline.session import checkpoint_dir
 from sightline.sources import sinks as S
 
 C = F.col
@@ -52,6 +54,20 @@ def upsert_keep_link(t):
     return S.upsert(old, new, ["id"], keep=("client_page_id",))
 
 
+@query("upsert_partitions", sql("""
+WITH o AS (SELECT cited_page_id AS id, domain, client_page_id FROM cited_pages), n AS (SELECT cited_page_id + 5 AS id, 'new' AS domain, cited_page_id AS client_page_id FROM cited_pages WHERE cited_page_id % 2 = 0)
+SELECT id, coalesce(n.domain, o.domain) AS domain, coalesce(o.client_page_id, n.client_page_id) AS client_page_id FROM o FULL JOIN n USING (id)""", "cited_pages"))
+def upsert_partitions(t):
+    """A stored table after a batch that came twice, read back."""
+    path = f"{checkpoint_dir(t.spark)}/keyed-{uuid4().hex}"
+    S.write_keyed(t.cited_pages().select(C("cited_page_id").alias("id"), "domain", "client_page_id"), path, ["id"], 8)
+    batch = t.cited_pages().filter(C("cited_page_id") % 2 == 0).select(
+        (C("cited_page_id") + 5).alias("id"), F.lit("new").alias("domain"), C("cited_page_id").alias("client_page_id"))
+    for _ in range(2):
+        S.upsert_keyed(path, batch, ["id"], ("client_page_id",), 8)
+    return t.spark.read.parquet(path).select("id", "domain", "client_page_id")
+
+
 @query("merged_json", """
 WITH p AS (SELECT user_id, event_type AS field, json_extract_string(props, '$.k') AS v, event_id FROM events),
 l AS (SELECT user_id, field, arg_max(v, event_id) AS v FROM p GROUP BY 1, 2),

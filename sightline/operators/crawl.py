@@ -22,11 +22,12 @@ HREF = r"""(?i)<a\s[^>]*href\s*=\s*["']([^"'#]+?)(?:#[^"']*)?["']"""
 def internal_links(pages: DataFrame, keys: list[str], url: str = "url", html: str = "html") -> DataFrame:
     """Same-origin link edges (keys, url, link), fragments dropped, each once."""
     refs = F.array_distinct(F.transform(F.regexp_extract_all(C(html), F.lit(HREF), F.lit(1)), trim_ws))
-    rejected = "^(?:" + "|".join(re.escape(x) for x in K.REJECT_SCHEMES) + ")"
-    kept = F.filter(refs, lambda r: (r != "") & ~F.lower(r).rlike(rejected))
-    rows = pages.select(*keys, url, F.explode_outer(kept).alias("ref")).filter(C("ref").isNotNull())
-    links = rows.withColumn("link", urls.resolve(C("ref"), C(url))).filter(urls.origin(C("link")) == urls.origin(C(url)))
-    return links.select(*keys, url, "link").distinct()
+    rows = pages.select(*keys, url, F.explode_outer(refs).alias("ref")).filter(C("ref").isNotNull())
+    rejected = F.lower("ref").rlike("^(?:" + "|".join(re.escape(x) for x in K.REJECT_SCHEMES) + ")")
+    links = rows.filter((C("ref") != "") & ~rejected).withColumn("link", urls.resolve(C("ref"), C(url)))
+    # a reference without a host of its own stays on the page's; the test would resolve it again
+    foreign = C("ref").rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|[/\\\\]{2})")
+    return links.filter(urls.origin(C(url)).isNotNull()).filter(~foreign | (urls.origin(C("link")) == urls.origin(C(url)))).select(*keys, url, "link").distinct()
 
 
 def crawler_rules(robots: DataFrame, agent: str, key: str = "site", content: str = "content") -> DataFrame:

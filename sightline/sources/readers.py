@@ -30,6 +30,13 @@ def read_answers(
     return df
 
 
+def answers_of_days(answers: DataFrame, days: DataFrame) -> DataFrame:
+    """The answers of wanted (project_id, day) rows. ``day`` partitions the answers, and the join itself prunes them: only the days
+    that ``days`` has left after its own filters are listed and read."""
+    wanted = days.select("project_id", "day").distinct()
+    return answers.join(wanted, ["project_id", "day"])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Split a scan with fewer input partitions than cores, before per-row work. A large table is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism

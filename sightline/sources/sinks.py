@@ -16,6 +16,7 @@ from sightline import constants as K
 from sightline.functions import json_text as J
 from sightline.operators.metrics import between
 from sightline.operators.skew import ordinal
+from sightline.session import shared_table
 
 C = F.col
 BOM = "\ufeff"
@@ -146,6 +147,36 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], keep: tuple[str
     return j.select(*keys, *[pick(c).alias(c) for c in values])
 
 
+#: partitions of a keyed table
+KEY_PARTITIONS = 64
+
+
+def _key_partition(keys: list[str], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias("key_part")
+
+
+def write_keyed(df: DataFrame, path: str, keys: list[str], parts: int = KEY_PARTITIONS) -> None:
+    """A new table, partitioned by a hash of its keys, for ``upsert_keyed``."""
+    df.withColumn("key_part", _key_partition(keys, parts)).repartition("key_part").write.partitionBy("key_part").parquet(path)
+
+
+def upsert_keyed(path: str, batch: DataFrame, keys: list[str], keep: tuple[str, ...] = (), parts: int = KEY_PARTITIONS) -> list[int]:
+    """``upsert`` of a batch into a table of ``write_keyed``; returns the partitions written.
+
+    Only partitions that hold a key of the batch are read, and dynamic partition overwrite replaces those alone. The new rows are written
+    aside first, so nothing is read from where it is replaced; a batch that runs again gives the same rows.
+    """
+    spark = batch.sparkSession
+    touched = sorted(r[0] for r in batch.select(_key_partition(keys, parts)).distinct().collect())  # at most ``parts`` numbers
+    if not touched:
+        return []
+    old = spark.read.parquet(path).filter(C("key_part").isin(touched)).drop("key_part")
+    new = shared_table(upsert(old, batch, keys, keep).withColumn("key_part", _key_partition(keys, parts)), "upsert")
+    out = new.repartition("key_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("key_part").parquet(path)
+    return touched
+
+
 def merge_json(target: DataFrame, patches: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Merge JSON objects per key, later patches winning, and count the keys of the result.
 

@@ -179,3 +179,63 @@ def test_templates_fall_back_and_report_open_fields(spark):
 def test_every_sql_twin_has_a_query():
     catalog.load()
     assert set(catalog.ORACLE) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 150
+
+
+def test_keyed_upsert_touches_only_its_partitions(spark, tmp_path):
+    from sightline.sources import sinks as S
+
+    path = f"{tmp_path}/keyed"
+    rows = [(i, f"v{i}", None if i % 3 else i) for i in range(200)]
+    S.write_keyed(spark.createDataFrame(rows, "id long, v string, link long"), path, ["id"], 16)
+    files = lambda: {r[0] for r in spark.read.parquet(path).select(F.input_file_name()).distinct().collect()}
+    table = lambda: sorted(map(tuple, spark.read.parquet(path).select("id", "v", "link").collect()))
+    before = files()
+    batch = spark.createDataFrame([(3, "new", 77), (4, "new", 78), (900, "added", 1)], "id long, v string, link long")
+    touched = S.upsert_keyed(path, batch, ["id"], ("link",), 16)
+    after = files()
+    untouched = {f for f in before if int(f.split("key_part=")[1].split("/")[0]) not in touched}
+    assert 1 <= len(touched) <= 3 and untouched and untouched <= after
+    want = sorted([r for r in rows if r[0] not in (3, 4)] + [(3, "new", 3), (4, "new", 78), (900, "added", 1)])
+    assert table() == want
+    S.upsert_keyed(path, batch, ["id"], ("link",), 16)  # a replay
+    assert table() == want
+    assert S.upsert_keyed(path, batch.limit(0), ["id"], ("link",), 16) == []
+
+
+def test_days_prune_answers_through_the_join(spark, tmp_path):
+    from sightline.sources.readers import answers_of_days
+
+    answers = spark.range(400).selectExpr("id AS snapshot_id", "id % 3 AS project_id", "date_add(DATE'2024-01-01', CAST(id % 40 AS INT)) AS day", "repeat('x', 50) AS text")
+    answers.write.partitionBy("day").parquet(f"{tmp_path}/answers")
+    days = spark.range(40).selectExpr("id % 3 AS project_id", "date_add(DATE'2024-01-01', CAST(id AS INT)) AS day", "id AS n")
+    days.write.parquet(f"{tmp_path}/days")
+    wanted = spark.read.parquet(f"{tmp_path}/days").filter("n IN (5, 6)")
+    found = answers_of_days(spark.read.parquet(f"{tmp_path}/answers"), wanted)
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.snapshot_id % 40 for r in found.collect()} <= {5, 6}
+
+
+def test_sitemap_indexes_are_followed_once(spark):
+    from sightline.operators.crawl import internal_links, sitemap_seeds
+
+    loc = lambda *urls: "".join(f"<url><loc> {u} </loc></url>" for u in urls)
+    index = "".join(f"<sitemap><loc>s{n}</loc></sitemap>" for n in range(5))
+    files = [(1, "root", index + loc("p0")), (1, "s0", loc("p1", "p2", "p1")), (1, "s1", "<sitemap><loc>s4</loc></sitemap>"), (1, "s3", loc("p9")), (1, "s4", loc("p8")), (2, "root", None), (2, "s0", loc("q"))]
+    df = spark.createDataFrame(files, "crawl_id long, url string, content string")
+    assert sorted(map(tuple, sitemap_seeds(df, df.filter("url = 'root'")).collect())) == [(1, "p0"), (1, "p1"), (1, "p2")]
+    pages = [(1, "https://a.example/x/y", '<a href="z">1</a><a href="//b.example/">2</a><a href="HTTPS://a.example/q#f">3</a><a href="mailto:m">4</a>'), (1, "no url", '<a href="z">1</a>')]
+    links = internal_links(spark.createDataFrame(pages, "crawl_id long, url string, html string"), ["crawl_id"])
+    assert sorted(r.link for r in links.collect()) == ["https://a.example/q", "https://a.example/x/z"]
+
+
+def test_keywords_in_several_blocks(spark):
+    from sightline.operators.matching import keyword_hits
+
+    texts = [(i, t) for i, t in enumerate(["The Thing and THAT", "", None, "çava über", "a" * 50_000 + "needle"])]
+    words = ["th", "that", "über", "needle", "", None, "aaaa", "nope"]
+    df = spark.createDataFrame(texts, "item long, text string")
+    keywords = spark.createDataFrame([(n, w) for n, w in enumerate(words)], "brand_id long, keyword string")
+    want = sorted((i, n) for i, t in texts for n, w in enumerate(words) if t and w and w in t.lower())
+    for block in (1, 3, 100):
+        assert sorted((r["item"], r.brand_id) for r in keyword_hits(df, keywords, "item", block=block).collect()) == want
+    assert keyword_hits(df, keywords.limit(0), "item").collect() == []

@@ -172,18 +172,18 @@ def check_semantic_quality(t):
 
 
 @query("check_citation_readiness", f"""
-SELECT page_id, (CASE WHEN page_id % 6 = 1 THEN 8 + 10 + 5 + 4 ELSE 0 END
+SELECT *, {_STATUS} FROM (SELECT page_id, (CASE WHEN page_id % 6 = 1 THEN 8 + 10 + 5 + 4 ELSE 0 END
   + CASE WHEN page_id % 4 = 1 THEN 4 + 0 ELSE 0 END + CASE WHEN page_id % 7 = 0 AND page_id % 6 <> 1 THEN 10 ELSE 0 END
   + CASE WHEN page_id % 3 = 1 THEN 5 + 4 + 3 + 6 ELSE 0 END
   + CASE WHEN page_id % 2 = 0 THEN 5 ELSE 0 END
   + CASE WHEN numbers >= 5 THEN 5 WHEN numbers >= 2 THEN 3 ELSE 0 END
   + CASE WHEN page_id % 4 = 0 THEN 4 + CASE WHEN page_id % 7 = 0 THEN 2 ELSE 0 END ELSE 0 END)::INT AS score
-FROM (SELECT page_id, len(regexp_extract_all({_text("regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1)")}, '\\b\\d[\\d.,]*\\b')) AS numbers FROM pages)""")
+FROM (SELECT page_id, len(regexp_extract_all({_text("regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1)")}, '\\b\\d[\\d.,]*\\b')) AS numbers FROM pages))""")
 def check_citation_readiness(t):
-    return _check(t, "citation-readiness", t.rich_pages()).drop("status")
+    return _check(t, "citation-readiness", t.rich_pages())
 
 
-@query("check_content_freshness", """
+@query("check_content_freshness", f"""SELECT *, {_STATUS} FROM (
 WITH d AS (SELECT page_id,
     CASE WHEN page_id % 6 = 1 THEN make_timestamp(2023, page_id % 9 + 1, 15, 0, 0, 0) END AS ld,
     CASE WHEN page_id % 7 = 0 THEN make_timestamp(2022, 3, page_id % 28 + 1, 10, 0, 0) END AS meta,
@@ -193,9 +193,9 @@ a AS (SELECT *, date_diff('second', greatest(ld, meta, seen), TIMESTAMP '2024-02
 SELECT page_id, ((ld IS NOT NULL)::INT * 10 + (meta IS NOT NULL)::INT * 8 + (seen IS NOT NULL)::INT * 7
   + CASE WHEN age <= 90 THEN 30 WHEN age <= 365 THEN 22 WHEN age <= 730 THEN 14 WHEN age <= 1095 THEN 6 ELSE 0 END
   + CASE channels WHEN 3 THEN 15 WHEN 2 THEN 10 WHEN 1 THEN 5 ELSE 0 END
-  + CASE WHEN seen IS NOT NULL THEN 10 WHEN channels > 0 THEN 3 ELSE 0 END)::INT AS score FROM a""")
+  + CASE WHEN seen IS NOT NULL THEN 10 WHEN channels > 0 THEN 3 ELSE 0 END)::INT AS score FROM a)""")
 def check_content_freshness(t):
-    return _check(t, "content-freshness", t.rich_pages()).drop("status")
+    return _check(t, "content-freshness", t.rich_pages())
 
 
 @query("rendering_classes")

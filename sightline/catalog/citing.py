@@ -137,10 +137,18 @@ def citation_job(t):
     return extract_and_match(responses, t.client_pages()).match_counts
 
 
-@query("citation_mappings", sql(f"""WITH {_CITED.strip()} SELECT snapshot_id AS citation_id, curl AS url, position FROM citations_x""", "answers"))
+@query("citation_mappings", sql(f"""WITH {_CITED.strip()},
+w AS (SELECT DISTINCT curl AS url, {bare_host('curl')} AS h, {_N_PATH.replace('url', 'curl')} AS p FROM citations_x),
+k AS (SELECT client_page_id, url AS kurl, {bare_host('url')} AS h, {_N_PATH} AS p FROM client_pages),
+pairs AS (SELECT w.url, CASE WHEN kurl = w.url THEN 0 WHEN k.p = w.p THEN 1 ELSE 2 END AS cls, levenshtein(k.p, w.p) AS d
+  FROM w JOIN k USING (h) WHERE kurl = w.url OR k.p = w.p OR levenshtein(k.p, w.p) <= 2),
+best AS (SELECT url, min((cls, CASE WHEN cls = 2 THEN d ELSE 0 END)) AS b FROM pairs GROUP BY 1)
+SELECT snapshot_id AS citation_id, curl AS url, position, CASE WHEN b IS NULL THEN 'unmatched' ELSE ['exact','path','fuzzy'][b[1] + 1] END AS match_type,
+  (CASE WHEN b IS NULL THEN 0 WHEN b[1] = 0 THEN 100 WHEN b[1] = 1 THEN 80 ELSE 70 - 10 * b[2] END)::INT AS match_confidence
+FROM citations_x LEFT JOIN best ON best.url = curl""", "answers", "client_pages"))
 def citation_mappings(t):
     responses = t.answers().select(C("snapshot_id").alias("citation_id"), C("text").alias("raw_response"))
-    return extract_and_match(responses, t.client_pages()).mappings.select("citation_id", "url", "position")
+    return extract_and_match(responses, t.client_pages()).mappings.select("citation_id", "url", "position", "match_type", "match_confidence")
 
 
 @query("new_responses", sql("""

@@ -67,9 +67,10 @@ WITH m AS (SELECT project_id, count_if(mentioned_at BETWEEN TIMESTAMP '2024-01-2
   count_if(mention_type = 'citation' AND mentioned_at >= TIMESTAMP '2024-01-24 12:00:00') AS cites FROM mentions GROUP BY 1),
 r AS (SELECT s_suppkey AS rule_id, s_suppkey % 10 AS project_id, ['visibility_drop','new_citation','competitor_gain','other'][s_suppkey % 4 + 1] AS type, CASE WHEN s_suppkey % 3 = 0 THEN 5.0 END AS threshold,
   CASE WHEN s_suppkey % 5 = 0 THEN TIMESTAMP '2024-01-24 20:00:00' WHEN s_suppkey % 5 = 1 THEN TIMESTAMP '2024-01-24 10:00:00' END AS last FROM supplier WHERE s_suppkey % 7 <> 0)
-SELECT rule_id, CASE WHEN date_diff('second', last, TIMESTAMP '2024-01-25') < 21600 THEN 'cooled_down'
+SELECT rule_id, outcome, CASE WHEN outcome = 'fired' THEN CASE type WHEN 'visibility_drop' THEN -floor((prev - cur) * 100.0 / prev + 0.5) WHEN 'new_citation' THEN cites ELSE project_id - 4.0 END END::DOUBLE AS value FROM (
+SELECT *, CASE WHEN date_diff('second', last, TIMESTAMP '2024-01-25') < 21600 THEN 'cooled_down'
   WHEN CASE type WHEN 'visibility_drop' THEN prev > 0 AND (prev - cur) * 100.0 / prev >= coalesce(threshold, 20) WHEN 'new_citation' THEN cites > 0 WHEN 'competitor_gain' THEN project_id - 4.0 >= coalesce(threshold, 3) ELSE false END THEN 'fired' ELSE 'quiet' END AS outcome
-FROM r JOIN m USING (project_id)""", "mentions"))
+FROM r JOIN m USING (project_id))""", "mentions"))
 def alert_outcomes(t):
     p = period("mentioned_at", datetime(2024, 1, 20), datetime(2024, 1, 25))
     metrics = t.mentions().groupBy("project_id").agg(
@@ -82,7 +83,7 @@ def alert_outcomes(t):
         k.alias("rule_id"), (k % 10).alias("project_id"), F.element_at(kinds, (k % 4 + 1).cast("int")).alias("type"), F.when(k % 3 == 0, 5.0).alias("threshold"),
         F.lit(None).cast("int").alias("cooldown_minutes"),
         F.when(k % 5 == 0, F.lit(datetime(2024, 1, 24, 20))).when(k % 5 == 1, F.lit(datetime(2024, 1, 24, 10))).alias("last_fired_at"), (k % 7 != 0).alias("enabled"))
-    return J.evaluate_alerts(rules, metrics, datetime(2024, 1, 25)).select("rule_id", "outcome")
+    return J.evaluate_alerts(rules, metrics, datetime(2024, 1, 25)).select("rule_id", "outcome", "value")
 
 
 @query("request_window_counts", """

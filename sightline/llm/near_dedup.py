@@ -225,7 +225,7 @@ def _relabelled(labels: DataFrame, step: DataFrame) -> DataFrame:
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of the lists that hold more than one class, with their class and the list's largest."""
-    own = members.join(labels, F.col("rep") == F.col("node"), "left").select("v", "rep", "n", "h", "f", F.coalesce("label", "rep").alias("class"))
+    own = members.join(labels, F.col("rep") == F.col("node"), "left").select("v", "rep", "n", "h", F.coalesce("label", "rep").alias("class"))
     sizes = own.groupBy("v", "class").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("v").agg(F.max_by("class", F.struct("size", "class")).alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("v", "main")
     return written(own.join(main, "v"), "mixed")
@@ -260,8 +260,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # members of frequent lists that are still outside the list's largest class meet the list's other classes; a pair
     # counts in the list of its first common value only
-    wide = hot.join(own.filter("h > 0").select(F.col("rep").alias("node"), F.col("frequent").alias("f")), F.col("rep") == F.col("node")).drop("node")
-    mixed = _mixed(wide, labels)
+    members = hot.select("v", "rep", "n", "h")
+    mixed = _mixed(members, labels)
     # first the members richest in frequent values of each class and of the largest one: this joins most classes with few pairs
     best = F.max(F.struct("h", "rep", "n"))
     heads = mixed.groupBy("v", "main", "class").agg(best.alias("x"))
@@ -272,7 +272,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bridge = written(bridge.join(pairs, ["a", "b"], "left_anti"), "bridge")
     labels = components(verified(bridge, docs), labels)
     pairs = pairs.union(bridge)
-    mixed = _mixed(wide, labels)
+    # the values themselves only for members of lists that still hold several classes
+    mixed = _mixed(members, labels)
+    frequent = own.filter("h > 0").select(F.col("rep").alias("node"), F.col("frequent").alias("f"))
+    mixed = mixed.join(frequent, F.col("rep") == F.col("node")).drop("node")
     side = lambda df, x: df.select(F.col("v").alias("v" + x), *[F.col(c).alias(to + x) for c, to in (("rep", "r"), ("n", "n"), ("h", "h"), ("class", "c"), ("f", "f"))])
     bound = F.least("ha", "hb")
     can = (F.col("ca") != F.col("cb")) & (100 * bound >= 75 * (F.col("na") + F.col("nb") - bound)) & (F.col("va") == F.array_min(F.array_intersect("fa", "fb")))

@@ -13,6 +13,7 @@ from sightline.functions.arrays import explode_items
 from sightline.operators.mentions import (
     add_matches, brand_config, contextual_matches, exact_matches, extract_mentions, fuzzy_matches, mention_type, sentiment, tokenize,
 )
+from sightline.operators.near_names import near_names
 from sightline.operators.rankings import add_competitor_counts, add_list, add_rankings, benchmark_rows, ranking_rows
 from sightline.plans.answer_mining import mine_answers, mined
 from sightline.session import checkpoint_dir
@@ -113,14 +114,53 @@ def fuzzy_query(t):
     return _match_rows(add_matches(t.answers(), config(t), {"fuzzy": fuzzy_matches}))
 
 
-@query("fuzzy_long_name_matches")
+def _near_sql(names: str, columns: str) -> str:
+    """Near matches of ``nm`` (project_id, name) by comparing all words and groups; the similarity letter by letter."""
+    return _strategy_sql(f"""
+, nm AS ({names}),
+plain AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY token_no) AS rn FROM tokens WHERE NOT is_url),
+groups AS (SELECT snapshot_id, project_id, 1 AS words, token AS text, position FROM plain
+  UNION ALL SELECT a.snapshot_id, a.project_id, 2, a.token || ' ' || b.token, a.position FROM plain a JOIN plain b ON b.snapshot_id = a.snapshot_id AND b.rn = a.rn + 1),
+low AS (SELECT DISTINCT project_id, words, text, regexp_replace(lower(text), '[^\x00-\x7F]', '#', 'g') AS a FROM groups),
+cand AS (SELECT *, levenshtein(a, b) AS distance FROM (
+  SELECT DISTINCT project_id, words, text, a, name, lower(name) AS b, length(string_split(name, ' ')) AS n FROM low JOIN nm USING (project_id)
+  WHERE length(name) > 2 AND abs(length(a) - length(name)) <= CASE words WHEN 1 THEN 2 ELSE 3 END)
+  WHERE (words = 1 OR (words = n AND length(b) > 4)) AND a <> b AND levenshtein(a, b) <= CASE WHEN length(b) <= 4 THEN 1 WHEN length(b) <= 7 THEN 2 ELSE 3 END),
+ab AS (SELECT DISTINCT a, b, greatest(0, greatest(length(a), length(b)) // 2 - 1) AS reach FROM cand WHERE length(b) > 4),
+walk AS (SELECT a, b, reach, 0 AS i, []::INT[] AS mine, []::INT[] AS theirs FROM ab
+  UNION ALL SELECT a, b, reach, i + 1, CASE WHEN place IS NULL THEN mine ELSE list_append(mine, i::INT) END, CASE WHEN place IS NULL THEN theirs ELSE list_append(theirs, place::INT) END
+  FROM (SELECT *, list_min(list_filter(range(greatest(0, i - reach), least(length(b), i + reach + 1)), lambda j: substring(b, j::INT + 1, 1) = substring(a, i::INT + 1, 1) AND NOT list_contains(theirs, j::INT))) AS place FROM walk WHERE i < length(a))),
+met AS (SELECT a, b, len(mine) AS m, len(list_filter(range(1, len(mine) + 1), lambda k: substring(a, mine[k] + 1, 1) <> substring(b, list_sort(theirs)[k] + 1, 1))) / 2 AS swaps,
+    len(list_filter(range(1, 5), lambda k: k <= length(a) AND k <= length(b) AND substring(a, 1, k::INT) = substring(b, 1, k::INT))) AS prefix FROM walk WHERE i = length(a)),
+jw AS (SELECT a, b, jaro + prefix * 0.1::DOUBLE * (1 - jaro) AS jw FROM (SELECT *, CASE WHEN m = 0 THEN 0 ELSE (m / length(a) + m / length(b) + (m - swaps) / m) / 3 END AS jaro FROM met)),
+hit AS (SELECT project_id, words, text, name, CASE WHEN length(b) <= 4 THEN 1 - distance / greatest(length(a), length(b)) ELSE jw END * 0.9 AS confidence
+  FROM cand LEFT JOIN jw USING (a, b) WHERE length(b) <= 4 OR jw >= CASE WHEN length(b) <= 7 THEN 0.88 ELSE 0.85 END)
+SELECT {columns} FROM groups JOIN hit USING (project_id, words, text)""")
+
+
+@query("fuzzy_long_name_matches", _near_sql(
+    "SELECT project_id, unnest(['mentre', 'of the']) AS name FROM projects", "snapshot_id, position, text AS matched_text, round(confidence, 6) AS confidence"))
 def fuzzy_long_query(t):
-    """Names that use the Jaro-Winkler rule, one of them of two words (no SQL twin: DuckDB's function differs)."""
+    """Names that use the Jaro-Winkler rule, one of them of two words."""
     names = t.projects().select(
         "project_id", F.lit("long").alias("brand"), F.explode(F.array(*[F.lit(n) for n in ("mentre", "of the")])).alias("name"))
     return _match_rows(add_matches(t.answers(), brand_config(names, t.brand_domains()), {"fuzzy": fuzzy_matches}))
 
 
+@query("near_names", _near_sql("""
+SELECT DISTINCT project_id, unnest([word, word || ' ' || next]) AS name FROM (
+  SELECT item_id % 10 AS project_id, words[k] AS word, words[k + 1] AS next FROM (SELECT *, unnest(range(1, len(words))) AS k FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]{3,}') AS words FROM benchmark)))""",
+    "snapshot_id, name, position, text AS matched_text, round(confidence, 6) AS confidence"))
+def near_names_query(t):
+    """Words and pairs of words of all benchmark items, as names of ten projects, in the answers of these projects."""
+    words = t.raw("benchmark").select("item_id", F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("w"))
+    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.slice("w", k, 2)))
+    names = explode_items(words, ["item_id"], pairs, "pair").select(
+        (C("item_id") % 10).alias("project_id"), F.explode(F.array(C("pair")[0], F.array_join("pair", " "))).alias("name"))
+    return near_names(t.answers(), names).select(
+        "snapshot_id", "name", "position", "matched_text", F.round("confidence", 6).alias("confidence"))
+
+
 @query("domain_matches", _strategy_sql("SELECT snapshot_id, position, matched_text, confidence FROM contextual"))
 def contextual_query(t):
     return _match_rows(add_matches(t.answers(), config(t), {"contextual": contextual_matches}))

@@ -117,7 +117,7 @@ def _token_offset(i: Column, text: Column) -> Column:
     return before + F.instr(piece, text) - 1
 
 
-def _edit_cap(name: Column) -> Column:
+def edit_cap(name: Column) -> Column:
     return F.when(F.length(name) <= 4, 1).when(F.length(name) <= 7, 2).otherwise(3)
 
 
@@ -130,7 +130,7 @@ def fuzzy_matches(df: DataFrame, floor: float = K.FUZZY_FLOOR) -> Column:
     shape = "array<struct<text:string,at:int,len:int,distance:int>>"
 
     def candidates(name: Column) -> Column:
-        cap, n = _edit_cap(name), F.size(F.split(name, r"\s+"))
+        cap, n = edit_cap(name), F.size(F.split(name, r"\s+"))
         count = F.size("_tokens") - n + 1
         near = lambda text: (F.lower(text) != name) & F.levenshtein(F.lower(text), name, 3).between(0, cap)
         joined = lambda g: F.array_join(F.transform(g, lambda t: t["text"]), " ")
@@ -268,12 +268,12 @@ def mention_rows(kept: DataFrame, context_chars: int = K.CONTEXT_CHARS) -> DataF
 
 
 def extract_mentions(answers: DataFrame, config: DataFrame, **options) -> DataFrame:
-    """Answers -> mentions: strategies, confidence filter, dedupe, first 50 by offset."""
+    """Answers -> mentions: strategies, confidence filter, dedupe, one row per mention."""
     return mention_rows(add_kept(add_matches(answers, config), **options))
 
 
-def tokenize(answers: DataFrame, key: str = "snapshot_id") -> DataFrame:
-    """One row per token with its offset and a flag for tokens inside URLs; markdown marks are stripped.
+def token_spans(text: Column | str) -> Column:
+    """The tokens of a text as array<struct<token, at, is_url>>; markdown marks are stripped.
 
     Running lengths over the pieces of a text give the offsets in linear time, which array expressions cannot,
     so this one is an Arrow function over whole texts.
@@ -294,8 +294,13 @@ def tokenize(answers: DataFrame, key: str = "snapshot_id") -> DataFrame:
         return out
 
     @F.pandas_udf("array<struct<token:string,at:int,is_url:boolean>>")
-    def token_spans(texts: pd.Series) -> pd.Series:
+    def spans_of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [] if t is None else spans(t))
 
+    return spans_of(text)
+
+
+def tokenize(answers: DataFrame, key: str = "snapshot_id") -> DataFrame:
+    """One row per token with its offset and a flag for tokens inside URLs."""
     rows = explode_items(answers, [key], token_spans("text"), "t", "token_no")
     return rows.select(key, "token_no", "t.token", C("t.at").alias("position"), "t.is_url")

@@ -86,6 +86,34 @@ def alert_outcomes(t):
     return J.evaluate_alerts(rules, metrics, datetime(2024, 1, 25)).select("rule_id", "outcome", "value")
 
 
+@query("stream_rule_alerts", """
+WITH RECURSIVE o AS (SELECT user_id % 10 AS project_id, ts, event_type <> 'error' AS is_mention, event_type = 'signup' AS is_citation, CASE WHEN event_type = 'view' THEN event_id % 9 + 1 END AS rank FROM events),
+c AS (SELECT project_id, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS e, count_if(is_mention) AS mentions, count_if(is_citation) AS cites, avg(rank) AS rank FROM o GROUP BY 1, 2),
+m AS (SELECT coalesce(c.project_id, p.project_id) AS project_id, coalesce(c.e, p.e + INTERVAL 6 HOUR) AS e, coalesce(c.mentions, 0) AS cur, coalesce(p.mentions, 0) AS prev, coalesce(c.cites, 0) AS cites, c.rank - p.rank AS loss
+  FROM c FULL JOIN c p ON p.project_id = c.project_id AND p.e + INTERVAL 6 HOUR = c.e),
+r AS (SELECT s_suppkey AS rule_id, s_suppkey % 10 AS project_id, ['visibility_drop','new_citation','competitor_gain','other'][s_suppkey // 10 % 4 + 1] AS type, CASE WHEN s_suppkey % 3 = 0 THEN 1.0 END AS threshold,
+  CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 5 * 500 ELSE 360 END AS minutes, CASE WHEN s_suppkey % 5 = 1 THEN TIMESTAMP '2024-01-02' END AS given FROM supplier WHERE s_suppkey % 7 <> 0),
+t AS (SELECT rule_id, project_id, type, e, minutes, given, row_number() OVER (PARTITION BY rule_id ORDER BY e) AS rn,
+  CASE type WHEN 'visibility_drop' THEN prev > 0 AND (prev - cur) * 100.0 / prev >= coalesce(threshold, 20) WHEN 'new_citation' THEN cites > 0 WHEN 'competitor_gain' THEN coalesce(loss >= coalesce(threshold, 3), false) ELSE false END AS fires,
+  CASE type WHEN 'visibility_drop' THEN -floor((prev - cur) * 100.0 / prev + 0.5) WHEN 'new_citation' THEN cites ELSE loss END::DOUBLE AS value FROM m JOIN r USING (project_id)),
+walk AS (SELECT t.*, given AS last, coalesce(e - given < to_minutes(minutes), false) AS cooling FROM t WHERE rn = 1
+  UNION ALL SELECT n.*, CASE WHEN w.fires AND NOT w.cooling THEN w.e ELSE w.last END, coalesce(n.e - CASE WHEN w.fires AND NOT w.cooling THEN w.e ELSE w.last END < to_minutes(n.minutes), false)
+  FROM walk w JOIN t n ON n.rule_id = w.rule_id AND n.rn = w.rn + 1)
+SELECT rule_id, project_id, type, strftime(e, '%Y-%m-%d %H') AS period_end, CASE WHEN cooling THEN 'cooled_down' WHEN fires THEN 'fired' ELSE 'quiet' END AS outcome, CASE WHEN fires AND NOT cooling THEN round(value, 6) END AS value FROM walk""")
+def stream_rule_alerts(t):
+    """Alert rules on periods of six hours, as their events arrive in files of no order."""
+    kind, k = C("event_type"), C("s_suppkey")
+    rows = t.raw("events").select(
+        (C("user_id") % 10).alias("project_id"), C("ts").cast("timestamp").alias("ts"), (kind != "error").alias("is_mention"), (kind == "signup").alias("is_citation"),
+        F.when(kind == "view", C("event_id") % 9 + 1).cast("double").alias("rank"))
+    kinds = F.array(*[F.lit(x) for x in ("visibility_drop", "new_citation", "competitor_gain", "other")])
+    rules = t.raw("supplier").select(
+        k.alias("rule_id"), (k % 10).alias("project_id"), F.get(kinds, F.floor(k / 10) % 4).alias("type"), F.when(k % 3 == 0, 1.0).alias("threshold"),
+        F.when(k % 2 == 0, k % 5 * 500).cast("int").alias("cooldown_minutes"), F.when(k % 5 == 1, F.lit(datetime(2024, 1, 2))).alias("last_fired_at"), (k % 7 != 0).alias("enabled"))
+    out = _run(t, S.rule_alerts(_shuffled(t, rows), rules, "6 hours", "60 days"))
+    return out.select("rule_id", "project_id", "type", F.date_format("period_end", "yyyy-MM-dd HH").alias("period_end"), "outcome", F.round("value", 6).alias("value"))
+
+
 @query("request_window_counts", """
 SELECT client, strftime(time_bucket(INTERVAL 2 HOUR, ts), '%Y-%m-%d %H') AS hour, count(*) AS requests, least(count(*), 3) AS accepted, greatest(count(*) - 3, 0) AS refused
 FROM (SELECT 'client' || user_id AS client, ts FROM events) GROUP BY 1, 2""")

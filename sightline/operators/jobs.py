@@ -206,6 +206,20 @@ RULE_TYPES: dict[str, Callable[[], tuple[Column, Column]]] = {
 }
 
 
+def rule_columns(types: dict[str, Callable[[], tuple[Column, Column]]] | None = None) -> tuple[Column, Column]:
+    """Whether the rule of a row fires on the metrics beside it, and the value it would report; unknown types never fire."""
+    fires, value = F.lit(False), F.lit(None).cast("double")
+    for name, build in (RULE_TYPES if types is None else types).items():
+        condition, measured = build()
+        fires = F.when(C("type") == name, condition).otherwise(fires)
+        value = F.when(C("type") == name, measured.cast("double")).otherwise(value)
+    return fires, value
+
+
+def cooldown_minutes() -> Column:
+    return F.coalesce("cooldown_minutes", F.lit(K.ALERT_COOLDOWN_MINUTES))
+
+
 def evaluate_alerts(
     rules: DataFrame, metrics: DataFrame, as_of: datetime, types: dict[str, Callable[[], tuple[Column, Column]]] | None = None
 ) -> DataFrame:
@@ -215,19 +229,36 @@ def evaluate_alerts(
     (project_id, current_mentions, previous_mentions, current_rank, previous_rank, new_citations).
     """
     j = rules.filter("enabled").join(metrics, "project_id")
-    fires, value = F.lit(False), F.lit(None).cast("double")
-    for name, build in (RULE_TYPES if types is None else types).items():
-        condition, measured = build()
-        fires = F.when(C("type") == name, condition).otherwise(fires)
-        value = F.when(C("type") == name, measured.cast("double")).otherwise(value)
-    minutes = F.coalesce("cooldown_minutes", F.lit(K.ALERT_COOLDOWN_MINUTES))
+    fires, value = rule_columns(types)
     age = F.lit(as_of).cast("timestamp").cast("long") - C("last_fired_at").cast("timestamp").cast("long")
-    cooling = F.coalesce(age < minutes * 60, F.lit(False))
+    cooling = F.coalesce(age < cooldown_minutes() * 60, F.lit(False))
     return j.select(
         "rule_id", "project_id", "type", F.when(cooling, "cooled_down").when(fires, "fired").otherwise("quiet").alias("outcome"),
         F.when(~cooling & fires, value).alias("value"))
 
 
+def _twice(period: str) -> str:
+    count, unit = period.split()
+    return f"{2 * int(count)} {unit}"
+
+
+def period_metrics(observations: DataFrame, period: str = "1 day") -> DataFrame:
+    """Metrics of each project at the end of each period, beside those of the period before; of batches and of streams.
+
+    ``observations``: (project_id, ts, is_mention, is_citation, rank), the rank null where a row has none. A row counts in two
+    windows of twice the period: in the later half of one it is current, in the earlier half of the next previous. Periods
+    without rows in either half have no metrics.
+    """
+    rows = observations.withColumn("w", F.window("ts", _twice(period), period))
+    now = C("ts") >= C("w.start") + F.expr(f"INTERVAL {period}")
+    halves = rows.select(
+        "project_id", "w", (now & C("is_mention")).alias("current"), (~now & C("is_mention")).alias("previous"),
+        F.when(now, C("rank")).alias("rank_now"), F.when(~now, C("rank")).alias("rank_before"), (now & C("is_citation")).alias("cited"))
+    return halves.groupBy("project_id", "w").agg(
+        F.count_if("current").alias("current_mentions"), F.count_if("previous").alias("previous_mentions"),
+        F.avg("rank_now").alias("current_rank"), F.avg("rank_before").alias("previous_rank"), F.count_if("cited").alias("new_citations"))
+
+
 # --- rate limits ------------------------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from sightline.operators.jobs import Step, cooldown_step, failure_step
+from sightline.operators.jobs import Step, cooldown_minutes, cooldown_step, failure_step, period_metrics, rule_columns
 from sightline.plans.answer_mining import facts, mined_answers
 
 C = F.col
@@ -112,6 +112,57 @@ def backlog_alerts(gauges: DataFrame, threshold: int = 100, cooldown_seconds: in
     return _ordered(rows, step, ["at_us", "waiting"], ["long", "long"], "last long", cooldown_seconds, "queue string, at_us long, waiting long")
 
 
+class RuleCooldown(StatefulProcessor):
+    """Outcomes of a rule, period by period: a rule that fired stays silent until its cooldown is over.
+
+    The periods of a micro-batch all end after those of earlier ones, as the aggregation before releases them by watermark;
+    so it is enough to go through the rows of a micro-batch by time. State is the time of the last alert.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "fired_us long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        due = pd.concat(rows).sort_values("end_us", kind="stable", ignore_index=True)
+        known = self.last.get()[0] if self.last.exists() else None
+        outcomes = []
+        for end, fires, cooldown, given in zip(due["end_us"], due["fires"], due["cooldown_us"], due["given_us"], strict=True):
+            last = known if known is not None else None if pd.isna(given) else int(given)
+            cooling = last is not None and end - last < cooldown
+            if fires and not cooling:
+                known = int(end)
+            outcomes.append("cooled_down" if cooling else "fired" if fires else "quiet")
+        if known is not None:
+            self.last.update((known,))
+        due["outcome"] = outcomes
+        due["value"] = due["value"].where(due["outcome"] == "fired").astype("float64")
+        yield due[["rule_id", "project_id", "type", "end_us", "outcome", "value"]]
+
+    def close(self) -> None:
+        pass
+
+
+def rule_alerts(observations: DataFrame, rules: DataFrame, period: str = "1 day", late: str = LATE) -> DataFrame:
+    """(rule_id, project_id, type, period_end, outcome, value): each enabled rule of a project at the end of each period.
+
+    ``observations`` is a stream (project_id, ts, is_mention, is_citation, rank), ``rules`` a table as in ``evaluate_alerts``. One
+    watermark serves both stateful operators: it closes a period, whose metrics meet the rules, and the cooldown of
+    each rule follows. A rule's own ``last_fired_at`` holds until it fires here. Rows with a null project
+    only move the clock.
+    """
+    metrics = period_metrics(observations.withColumn("ts", C("ts").cast("timestamp")).withWatermark("ts", late), period)
+    fires, value = rule_columns()
+    # a plain equality would let the optimizer drop rows without a project before they can move the clock
+    own = rules.filter("enabled AND project_id IS NOT NULL").withColumnRenamed("project_id", "rule_project")
+    tried = metrics.join(own, C("project_id").eqNullSafe(C("rule_project"))).select(
+        "rule_id", "project_id", "type", F.unix_micros("w.end").alias("end_us"), fires.alias("fires"), value.alias("value"),
+        (cooldown_minutes().cast("long") * 60_000_000).alias("cooldown_us"), F.unix_micros(C("last_fired_at").cast("timestamp")).alias("given_us"))
+    kinds = {f.name: f.dataType.simpleString() for f in tried.schema.fields}
+    out = tried.groupBy("rule_id").transformWithStateInPandas(
+        RuleCooldown(), f"rule_id {kinds['rule_id']}, project_id {kinds['project_id']}, type string, end_us long, outcome string, value double", "append", "none")
+    return out.select("rule_id", "project_id", "type", F.timestamp_micros("end_us").alias("period_end"), "outcome", "value")
+
+
 def failure_counts(failures: DataFrame, window: str = "10 minutes", slide: str = "5 minutes", late: str = "1 hour") -> DataFrame:
     """The simple form: failures per queue and event-time window. In append mode a window is emitted once the watermark
     has passed it; with ``write_updates`` the open windows are there as well."""

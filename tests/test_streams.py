@@ -111,3 +111,34 @@ def test_another_sentiment_classifier(spark):
     keywords = spark.createDataFrame([(1, "acme", True), (1, " ", True), (2, "acme", False)], "brand_id long, keyword string, enabled boolean")
     got = {r["mention_id"]: (r["brand_id"], r["sentiment"]) for r in keyword_mentions(posts, comments, keywords, loud).collect()}
     assert got == {"p1": (1, "positive"), "c1": (1, "neutral")}
+
+
+OBSERVED = "project_id long, ts timestamp, is_mention boolean, is_citation boolean, rank double"
+RULES = "rule_id long, project_id long, type string, threshold double, cooldown_minutes int, last_fired_at timestamp, enabled boolean"
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_streamed_rules_equal_a_loop_over_batch_metrics(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice([1, 1, 1, 2, None]), T0 + timedelta(seconds=rng.randrange(0, 80_000)), rng.random() < 0.6, rng.random() < 0.1, rng.choice([None, 1.0, 9.0])) for _ in range(300)]
+    rules = [
+        (10, 1, "visibility_drop", None, 90, None, True), (11, 1, "visibility_drop", 1.0, 0, None, True), (12, 1, "new_citation", None, None, T0 - timedelta(minutes=200), True),
+        (13, 2, "competitor_gain", 0.5, 120, None, True), (14, 1, "unheard", None, None, None, True), (15, 1, "new_citation", None, None, None, False),
+        (16, 9, "new_citation", None, None, None, True), (17, None, "new_citation", None, None, None, True)]
+    late = sorted(rows, key=lambda r: r[1] + timedelta(seconds=rng.randrange(0, 3500)))
+    clock = [(None, T0 + timedelta(days=3), None, None, None)]
+    stream = stream_of(spark, [late[:100], late[100:170], late[170:], clock], OBSERVED, str(tmp_path))
+    static = spark.createDataFrame(rules, RULES)
+    got = run(spark, S.rule_alerts(stream, static, "1 hour"), str(tmp_path)).collect()
+
+    metrics = J.period_metrics(spark.createDataFrame(rows, OBSERVED), "1 hour").withColumn("end", F.col("w.end")).drop("w")
+    want, ends = [], sorted(r["end"] for r in metrics.select("end").distinct().collect())
+    fired = {r[0]: r[5] for r in rules}
+    for end in ends:
+        now = [(*r[:5], fired[r[0]], r[6]) for r in rules]
+        for r in J.evaluate_alerts(spark.createDataFrame(now, RULES), metrics.filter(F.col("end") == F.lit(end)), end).collect():
+            want.append((r["rule_id"], r["type"], end, r["outcome"], r["value"]))
+            if r["outcome"] == "fired":
+                fired[r["rule_id"]] = end
+    assert sorted((r["rule_id"], r["type"], r["period_end"], r["outcome"], r["value"]) for r in got) == sorted(want)
+    assert {w[3] for w in want} == {"fired", "quiet", "cooled_down"} and not {15, 16, 17} & {w[0] for w in want}

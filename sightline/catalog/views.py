@@ -33,7 +33,18 @@ SELECT page_id, url AS final_url,
     || CASE WHEN page_id % 3 = 0 THEN '<meta name="description" content="' || repeat('d', (page_id % 200)::INT) || '">' ELSE '' END
     || CASE WHEN page_id % 4 = 0 THEN '<meta property="og:title" content="t"><meta property="og:type" content="article">' ELSE '' END
     || CASE WHEN page_id % 5 = 0 THEN '<meta name="robots" content="noindex,follow">' ELSE '' END
-    || '</head>'), '<footer>', '<h3>Question ' || page_id || '?</h3><footer>') AS html
+    || CASE WHEN page_id % 7 = 0 THEN '<meta property="article:published_time" content="2022-03-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') || 'T10:00:00Z">' ELSE '' END
+    || CASE WHEN page_id % 6 = 0 THEN '' ELSE '<script type="application/ld+json">' || CASE page_id % 6
+      WHEN 1 THEN '{"@context":"https://schema.org","@type":"Article","headline":"h' || page_id || '","author":"a","datePublished":"2023-0' || page_id % 9 + 1 || '-15"}'
+      WHEN 2 THEN '{"@context":"https://schema.org","@graph":[{"@type":"Organization","name":"n","url":"' || url || '"},{"@type":"WebSite","name":"n"},{"@type":"WebPage"}]}'
+      WHEN 3 THEN '{broken'
+      WHEN 4 THEN '{"@context":"https://schema.org","@type":["FAQPage","WebPage"],"name":"f","mainEntity":[{"@type":"Question","name":"Question ' || page_id
+        || '?","acceptedAnswer":{"@type":"Answer","text":"short"}},{"@type":"Question","name":"Unseen?","acceptedAnswer":{"@type":"Answer","text":"<p>A long answer with more than fifty characters of text in it.</p>"}}]}'
+      ELSE '[{"@type":"Person"},{"@type":"Person","name":"p"}]' END || '</script>' END
+    || '</head>'), '<footer>', '<h3>Question ' || page_id || '?</h3>'
+    || CASE WHEN page_id % 3 = 1 THEN '<blockquote>q</blockquote><cite>c</cite><time datetime="2023-11-05">x</time>' ELSE '' END
+    || CASE WHEN page_id % 4 = 1 THEN '<a href="https://other.example.org/x">o</a><a rel="author" href="/me">me</a>' ELSE '' END
+    || '<footer>') AS html
 FROM pages
 """)
 

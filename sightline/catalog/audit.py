@@ -76,15 +76,23 @@ def _page_sql(body: str) -> str:
 SLICE = ("performance", "meta-tags", "content-structure")
 
 
-@query("host_audit", _page_sql(f"""
-SELECT {host('url')} AS host, count(*) AS pages, round(avg(floor((3 * p.score + 11 * m.score + 10 * s.score) / 24.0 + 0.5)), 4) AS avg_score
-FROM pages JOIN perf p USING (page_id) JOIN meta m USING (page_id) JOIN structure s USING (page_id) GROUP BY 1"""))
+SLICE_SCORES = """
+slice_scores AS (SELECT page_id, url, floor((3 * p.score + 11 * m.score + 10 * s.score) / 24.0 + 0.5)::BIGINT AS score
+  FROM pages JOIN perf p USING (page_id) JOIN meta m USING (page_id) JOIN structure s USING (page_id))"""
+
+
+def slice_scores(t, key):
+    """Overall scores of the test pages by three checks, beside a column of the page id or the final URL."""
+    checks = PAGE_CHECKS.subset(SLICE).results(page_features(t.pages(), AS_OF), "page_id", "final_url")
+    scored = checks.select(key, "checks")
+    return scoring.row_scores(scored, scored.columns[:1])
+
+
+@query("host_audit", f"""WITH {_PAGE_FACTS.strip()}, {SLICE_SCORES}
+SELECT {host('url')} AS host, count(*) AS pages, round(avg(score), 4) AS avg_score FROM slice_scores GROUP BY 1""")
 def host_audit(t):
     """Flagship: pages -> facts -> three checks -> overall score -> average per host."""
-    features = page_features(t.pages(), AS_OF)
-    checks = PAGE_CHECKS.subset(SLICE).results(features, "final_url")
-    scores = scoring.row_scores(checks.select(urls.host(C("final_url")).alias("host"), "checks"), ["host"])
-    return scores.groupBy("host").agg(
+    return slice_scores(t, urls.host(C("final_url")).alias("host")).groupBy("host").agg(
         F.count(F.lit(1)).alias("pages"), F.round(F.avg("overall_score"), 4).alias("avg_score"))
 
 
@@ -242,10 +250,17 @@ def _gate_sql(level: int) -> str:
 _FUTURE = "check_id IN (" + ", ".join(f"'{i}'" for i in K.FUTURE_CHECKS) + ")"
 
 
-@query("rendering_classes", sql(f"""WITH {_RICH_FACTS.strip()}
-SELECT 'static' AS rendering, count(*) AS pages FROM (SELECT page_id, sum(length(script)) AS chars FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS script FROM raw) GROUP BY 1) WHERE chars < 500""", "rich_pages"))
+@query("rendering_classes", _page_sql("""
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'static' WHEN 1 THEN CASE WHEN words >= 50 THEN 'ssr' ELSE 'partial-hydration' END
+  WHEN 2 THEN 'partial-hydration' WHEN 3 THEN 'csr-spa' ELSE 'unknown' END AS rendering FROM facts"""))
 def rendering_classes(t):
-    return page_features(t.rich_pages(), AS_OF).groupBy(rendering_class().alias("rendering")).agg(F.count(F.lit(1)).alias("pages"))
+    """Pages as they are, with a framework's scripts, as a framework's shell, as an empty root, and with a script from elsewhere."""
+    kind, shell = C("page_id") % 5, '<html><body><div id="{}">wait</div><script src="{}"></script></body></html>'
+    with_script = lambda src: F.replace(C("html"), F.lit("</head>"), F.lit(f'<script src="{src}"></script></head>'))
+    html = (
+        F.when(kind == 1, with_script("/_next/static/a.js")).when(kind == 2, shell.format("page", "/_nuxt/a.js"))
+        .when(kind == 3, shell.format("app", "/a.js")).when(kind == 4, with_script("/a.js")).otherwise(C("html")))
+    return page_features(t.pages().withColumn("html", html), AS_OF).select("page_id", rendering_class().alias("rendering"))
 
 
 # --- side files -----------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.catalog import query
+from sightline.catalog.audit import _PAGE_FACTS, SLICE_SCORES, slice_scores
 from sightline.catalog.views import encoded_sql, sql
 from sightline.operators import crawl as W
 
@@ -24,7 +25,7 @@ def crawl_pages(t):
         site.alias("crawl_id"), F.concat(base, F.lit("/p"), i).alias("url"), html.alias("html"), status.alias("http_status"), "page_id")
 
 
-_PAGES = "cp AS (SELECT page_id % 10 AS crawl_id, page_id // 10 AS i, 'https://c' || page_id % 10 || '.example/p' || page_id // 10 AS url, CASE WHEN page_id % 17 = 13 THEN 404 ELSE 200 END AS http_status, html FROM pages)"
+_PAGES = "cp AS (SELECT page_id % 10 AS crawl_id, page_id // 10 AS i, 'https://c' || page_id % 10 || '.example/p' || page_id // 10 AS url, CASE WHEN page_id % 17 = 13 THEN 404 ELSE 200 END AS http_status, html, page_id FROM pages)"
 _EDGES = f"""ce AS (SELECT DISTINCT crawl_id, url, link FROM (
   SELECT crawl_id, url, 'https://c' || crawl_id || '.example/p' || unnest([i * 2 + 1, i * 2 + 2, i * 3 + 5]) AS link FROM cp
   UNION ALL SELECT crawl_id, url, 'https://c' || crawl_id || '.example' || {encoded_sql("ref")} FROM (SELECT crawl_id, url, unnest(regexp_extract_all(html, '<a href="(/[^"#]+)"', 1)) AS ref FROM cp)))"""
@@ -112,14 +113,15 @@ def crawl_frontier(t):
 
 
 @query("crawl_statistics", _BFS + """, r AS (SELECT crawl_id, url, count(*) AS one, count_if(status = 'completed') AS done FROM f JOIN stat USING (crawl_id, url) GROUP BY 1, 2),
-sc AS (SELECT cp.crawl_id, url, length(html) % 101 AS score, row_number() OVER (PARTITION BY cp.crawl_id ORDER BY length(html) % 101, url) AS rn FROM cp JOIN r USING (crawl_id, url)),
+""" + f"{_PAGE_FACTS.strip()}, {SLICE_SCORES}" + """,
+sc AS (SELECT cp.crawl_id, cp.url, score, row_number() OVER (PARTITION BY cp.crawl_id ORDER BY score, cp.url) AS rn FROM cp JOIN r USING (crawl_id, url) JOIN slice_scores USING (page_id)),
 g AS (SELECT crawl_id, avg(score) AS avg_score, string_agg(url, ' ' ORDER BY rn) FILTER (rn <= 5) AS weakest FROM sc GROUP BY 1)
 SELECT crawl_id, sum(one)::BIGINT AS found, sum(done)::BIGINT AS scanned, any_value(avg_score) AS avg_score, any_value(weakest) AS weakest FROM r LEFT JOIN g USING (crawl_id) GROUP BY 1""")
 def crawl_statistics(t):
-    """Crawl totals with the mean and the weakest pages; a page's score stands for its audit."""
+    """Crawl totals with the mean and the weakest pages by their audit scores."""
     crawled = _crawl(t)
     pages = crawl_pages(t)
-    scores = t.raw("pages").select("page_id", (F.char_length("html") % 101).alias("score"))
+    scores = slice_scores(t, C("page_id")).select("page_id", C("overall_score").alias("score"))
     of_page = pages.select("page_id", "crawl_id", "url").join(scores, "page_id").join(crawled.select("crawl_id", "url"), ["crawl_id", "url"], "left_semi")
     stats = W.crawl_stats(crawled, of_page)
     return stats.select("crawl_id", "found", "scanned", "avg_score", F.array_join("weakest", " ").alias("weakest"))

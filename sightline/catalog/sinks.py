@@ -7,9 +7,11 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+from sightline import constants as K
 from sightline.catalog import query
 from sightline.catalog.views import sql
 from sightline.operators import artefacts as A
+from sightline.operators.scoring import level_of
 from sightline.session import checkpoint_dir
 from sightline.sources import sinks as S
 
@@ -29,11 +31,25 @@ def csv_export(t):
 
 
 @query("bi_extract", sql("""
-SELECT scan_id, domain, strftime(scanned_at, '%Y%m%d') AS scan_date, split_part(locale, '-', 2) AS locale_country, score AS readiness_score, coalesce(n, 0) AS fix_count
-FROM scans LEFT JOIN (SELECT l_orderkey AS scan_id, count(*) AS n FROM lineitem GROUP BY 1) USING (scan_id)""", "scans"))
+WITH rivals AS (SELECT DISTINCT 'site' || c_custkey % 200 || '.example' AS domain, 'rival' || c_custkey // 200 % 2 || '.example' AS competitor_domain FROM customer WHERE c_custkey % 5 <> 0),
+held AS (SELECT 'site' || c_custkey % 200 || '.example' AS domain, count(*) AS n FROM customer WHERE c_nationkey < 12 GROUP BY 1)
+SELECT scan_id, domain, strftime(scanned_at, '%Y%m%d') AS scan_date, split_part(locale, '-', 2) AS locale_country, split_part(locale, '-', 1) AS locale_language, competitor_domain, status,
+  score AS readiness_score, (CASE WHEN score <= 20 THEN 0 WHEN score <= 50 THEN 1 WHEN score <= 75 THEN 2 ELSE 3 END)::INT AS readiness_level,
+  coalesce(c.n, 0) AS citation_count, coalesce(f.n, 0) AS fix_count, coalesce(r.n, 0) AS competitor_count, coalesce(held.n, 0) AS locale_count
+FROM scans LEFT JOIN rivals USING (domain) LEFT JOIN (SELECT l_orderkey AS scan_id, count(*) AS n FROM lineitem GROUP BY 1) f USING (scan_id)
+  LEFT JOIN (SELECT event_id AS scan_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) c USING (scan_id)
+  LEFT JOIN (SELECT domain, count(*) AS n FROM rivals GROUP BY 1) r USING (domain) LEFT JOIN held USING (domain)""", "scans"))
 def bi_extract(t):
-    fixes = t.raw("lineitem").select(C("l_orderkey").alias("scan_id"))
-    return S.bi_extract(t.scans(), {"fix_count": (fixes, "scan_id")}, ["scan_id", "domain", "scan_date", "locale_country", "readiness_score", "fix_count"])
+    """All thirteen fields; a scan has a row for each competitor of its domain."""
+    domain = F.concat(F.lit("site"), C("c_custkey") % 200, F.lit(".example")).alias("domain")
+    rivals = t.raw("customer").filter(C("c_custkey") % 5 != 0).select(
+        domain, F.concat(F.lit("rival"), F.floor(C("c_custkey") / 200) % 2, F.lit(".example")).alias("competitor_domain")).distinct()
+    scans = t.scans().withColumn("readiness_level", level_of(C("score"))).join(rivals, "domain", "left")
+    return S.bi_extract(scans, {
+        "fix_count": (t.raw("lineitem").select(C("l_orderkey").alias("scan_id")), "scan_id"),
+        "citation_count": (t.raw("events").filter(C("event_type") == "click").select(C("event_id").alias("scan_id")), "scan_id"),
+        "competitor_count": (rivals, "domain"), "locale_count": (t.raw("customer").filter(C("c_nationkey") < 12).select(domain), "domain"),
+    }, list(K.BI_FIELDS))
 
 
 @query("insert_absent", sql("SELECT queue, job_id FROM (SELECT queue, min(job_id) AS job_id FROM job_log WHERE state = 'failed' GROUP BY queue, job_id // 3) j WHERE NOT EXISTS (SELECT 1 FROM job_log k WHERE k.queue = j.queue AND k.job_id // 3 = j.job_id // 3 AND k.state = 'completed')", "job_log"))
@@ -82,14 +98,15 @@ def merged_json(t):
 
 
 @query("event_fan_out", """
-SELECT event_id, n_nationkey AS endpoint_id, '{"id":"' || event_id || '","type":"' || event_type || '","createdAt":"' || strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z","data":' || replace(props, ' ', '') || '}' AS payload
-FROM events JOIN nation ON n_nationkey % 3 <> 0 AND CASE event_type WHEN 'click' THEN n_nationkey % 2 = 0 WHEN 'error' THEN true ELSE false END""")
+SELECT event_id, s_suppkey AS endpoint_id, '{"id":"' || event_id || '","type":"' || event_type || '","createdAt":"' || strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z","data":' || replace(props, ' ', '') || '}' AS payload
+FROM events JOIN supplier ON s_suppkey // 2 = user_id AND s_suppkey % 3 <> 0 AND CASE event_type WHEN 'click' THEN s_suppkey % 2 = 0 WHEN 'error' THEN true WHEN 'view' THEN s_suppkey % 5 = 0 ELSE false END""")
 def event_fan_out(t):
-    k = C("n_nationkey")
-    endpoints = t.raw("nation").select(
-        k.alias("endpoint_id"), F.when(k % 2 == 0, F.array(F.lit("click"), F.lit("error"))).otherwise(F.array(F.lit("error"))).alias("events"), (k % 3 != 0).alias("is_active"))
-    events = t.raw("events").select("event_id", "event_type", C("ts").alias("created_at"), C("props").alias("data"))
-    return S.fan_out(events, endpoints).select("event_id", "endpoint_id", "payload")
+    """Every event to the endpoints of its user; two suppliers stand for the endpoints of each."""
+    k = C("s_suppkey")
+    kinds = F.concat(F.array(F.lit("error"), F.lit("error")), *[F.when(k % n == 0, F.array(F.lit(x))).otherwise(F.array().cast("array<string>")) for n, x in ((2, "click"), (5, "view"))])
+    endpoints = t.raw("supplier").select(k.alias("endpoint_id"), F.floor(k / 2).alias("user_id"), kinds.alias("events"), (k % 3 != 0).alias("is_active"))
+    events = t.raw("events").select("event_id", "user_id", "event_type", C("ts").alias("created_at"), C("props").alias("data"))
+    return S.fan_out(events, endpoints, ("user_id",)).select("event_id", "endpoint_id", "payload")
 
 
 @query("content_versions", """

@@ -195,17 +195,18 @@ def merge_json(target: DataFrame, patches: DataFrame, key: str, order: list[str]
 # --- events and content -----------------------------------------------------------------------------------
 
 
-def fan_out(events: DataFrame, endpoints: DataFrame) -> DataFrame:
+def fan_out(events: DataFrame, endpoints: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """One delivery row per event and active endpoint subscribed to its type, with the JSON envelope.
 
     ``events`` (event_id, event_type, created_at, data JSON text), ``endpoints`` (endpoint_id, events array,
-    is_active). The subscription list is exploded, so this is an equi-join on the type.
+    is_active). The subscription list is exploded, so this is an equi-join on the type, and on the columns of
+    ``scope`` that both sides have: without a scope each event goes to all endpoints of its type.
     """
-    subscribed = endpoints.filter("is_active").select("endpoint_id", F.explode(F.array_distinct("events")).alias("event_type"))
+    subscribed = endpoints.filter("is_active").select("endpoint_id", *scope, F.explode(F.array_distinct("events")).alias("event_type"))
     envelope = F.to_json(F.struct(
         C("event_id").cast("string").alias("id"), C("event_type").alias("type"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("createdAt"), F.parse_json("data").alias("data")))
-    return events.join(subscribed, "event_type").select(
+    return events.join(subscribed, ["event_type", *scope]).select(
         "event_id", "endpoint_id", "event_type", envelope.alias("payload"), F.lit("pending").alias("status"))
 
 

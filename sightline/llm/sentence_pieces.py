@@ -7,7 +7,7 @@ bytes' pieces. Decoding joins pieces, turns markers into spaces and removes the
 itself, where a text holds it, is written as bytes, so every text decodes to itself.
 
 No piece crosses from a non-space to a space (checked when the model is loaded; otherwise a text is one unit), so a lattice
-splits into words. The distinct words of a batch go through one vectorised Viterbi; a bounded cache keeps words between
+splits into words. The distinct words of a slice of a batch go through one vectorised Viterbi; a bounded cache keeps words between
 batches. A model of merge ranks has no log scores: with ``scores="zipf"`` a piece of rank r gets -ln(r + 2.7), with ``"file"`` the
 numbers in the file are used as they are.
 
@@ -17,10 +17,12 @@ A null text has null ids, an empty one none.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ UNKNOWN_PENALTY = 10.0
 #: words of more bytes go through the lattice one by one
 LONG_WORD = 256
 CACHE_WORDS = 300_000
+#: bytes of text that are encoded at a time; a longer text is a slice of its own
+SLICE_BYTES = 1 << 20
 
 
 @dataclass
@@ -222,6 +226,14 @@ def encode_words(model: Pieces, words: list[str]) -> dict[str, bytes]:
     return found
 
 
+def in_slices(column: pa.Array, sizes: np.ndarray, most: int, code: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """``code`` of a column, applied to runs of rows whose sizes add up to about ``most`` (one row at least), so that what it holds
+    at a time depends on the longest row but not on how many rows a batch has."""
+    groups = (np.cumsum(sizes) - sizes) // most
+    bounds = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(column)]
+    return pa.concat_arrays([code(column.slice(lo, hi - lo)) for lo, hi in zip(bounds, bounds[1:])])
+
+
 def codec(spark: SparkSession, model: Pieces):
     """(encode, decode) column functions: text -> ids and ids -> text."""
     sent = spark.sparkContext.broadcast(model)
@@ -230,12 +242,16 @@ def codec(spark: SparkSession, model: Pieces):
 
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
+        text = text.cast(pa.string())
+        return in_slices(text, pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64), SLICE_BYTES, encode_some)
+
+    def encode_some(text: pa.Array) -> pa.Array:
         model = sent.value
         edge = re.escape(model.isolated)
         pattern = re.compile(f"{MARK}|[{edge}]| *[^ {MARK}{edge}]+| +" if edge else f"{MARK}| *[^ {MARK}]+| +")
         if not model.splits:
             pattern = re.compile(f"{MARK}|[^{MARK}]+")
-        words = [None if x is None else pattern.findall(" " + x) if x else [] for x in text.cast(pa.string()).to_pylist()]
+        words = [None if x is None else pattern.findall(" " + x) if x else [] for x in text.to_pylist()]
         fresh = {w for own in words if own for w in own if w not in cache}
         if len(cache) + len(fresh) > CACHE_WORDS:
             cache.clear()
@@ -251,6 +267,9 @@ def codec(spark: SparkSession, model: Pieces):
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
+        return in_slices(ids, pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64), SLICE_BYTES // 4, decode_some)
+
+    def decode_some(ids: pa.Array) -> pa.Array:
         texts = sent.value.texts
         if not pieces:
             size = np.array([len(x) for x in texts])

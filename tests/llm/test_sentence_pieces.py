@@ -74,9 +74,10 @@ def test_trie_finds_its_keys_only():
     assert [look(k) for k in (b"c", b"ac", b"\xff", b"abcd")] == [-1] * 4
 
 
-@pytest.mark.parametrize("scores", ["zipf", "file"])
-def test_round_trip(spark, monkeypatch, scores):
+@pytest.mark.parametrize(("scores", "slice_bytes"), [("zipf", 1), ("zipf", 100), ("file", 1 << 20)])
+def test_round_trip(spark, monkeypatch, scores, slice_bytes):
     monkeypatch.setattr(P, "CACHE_WORDS", 4)
+    monkeypatch.setattr(P, "SLICE_BYTES", max(4, slice_bytes))
     encode, decode = P.codec(spark, P.load_pieces(scores=scores))
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*TEXTS, None, TEXTS[0]])], "doc_id long, text string, ids int").repartition(2)
     got = {r.doc_id: r for r in docs.select("doc_id", "text", encode("text").alias("e")).withColumn("d", decode("e")).collect()}

@@ -42,9 +42,12 @@ citations_x AS (SELECT *, {canonical_sql('raw_url')} AS curl, {host('raw_url')}
 """
 
 
+_SNIPPET = """trim(left(trim(substring(text, greatest(0, position - 250)::INT + 1,
+  (position + CASE WHEN starts_with(m, 'http') THEN length(raw_url) ELSE length(m) END + 250 - greatest(0, position - 250))::INT), e' \\n\\t\\r'), 500))"""
+
+
 @query("text_citations", sql(f"""WITH {_CITED.strip()}
-SELECT snapshot_id, curl AS url, domain, position, trim(left(trim(substring(text, greatest(0, position - 250)::INT + 1,
-  (position + CASE WHEN starts_with(m, 'http') THEN length(raw_url) ELSE length(m) END + 250 - greatest(0, position - 250))::INT), e' \\n\\t\\r'), 500)) AS snippet FROM citations_x""", "answers"))
+SELECT snapshot_id, curl AS url, domain, position, {_SNIPPET} AS snippet FROM citations_x""", "answers"))
 def text_citations(t):
     return extract_citations(t.answers()).select("snapshot_id", "url", "domain", "position", F.btrim("snippet").alias("snippet"))
 
@@ -143,12 +146,12 @@ k AS (SELECT client_page_id, url AS kurl, {bare_host('url')} AS h, {_N_PATH} AS
 pairs AS (SELECT w.url, CASE WHEN kurl = w.url THEN 0 WHEN k.p = w.p THEN 1 ELSE 2 END AS cls, levenshtein(k.p, w.p) AS d
   FROM w JOIN k USING (h) WHERE kurl = w.url OR k.p = w.p OR levenshtein(k.p, w.p) <= 2),
 best AS (SELECT url, min((cls, CASE WHEN cls = 2 THEN d ELSE 0 END)) AS b FROM pairs GROUP BY 1)
-SELECT snapshot_id AS citation_id, curl AS url, position, CASE WHEN b IS NULL THEN 'unmatched' ELSE ['exact','path','fuzzy'][b[1] + 1] END AS match_type,
+SELECT snapshot_id AS citation_id, curl AS url, position, {_SNIPPET} AS context_snippet, CASE WHEN b IS NULL THEN 'unmatched' ELSE ['exact','path','fuzzy'][b[1] + 1] END AS match_type,
   (CASE WHEN b IS NULL THEN 0 WHEN b[1] = 0 THEN 100 WHEN b[1] = 1 THEN 80 ELSE 70 - 10 * b[2] END)::INT AS match_confidence
 FROM citations_x LEFT JOIN best ON best.url = curl""", "answers", "client_pages"))
 def citation_mappings(t):
     responses = t.answers().select(C("snapshot_id").alias("citation_id"), C("text").alias("raw_response"))
-    return extract_and_match(responses, t.client_pages()).mappings.select("citation_id", "url", "position", "match_type", "match_confidence")
+    return extract_and_match(responses, t.client_pages()).mappings.withColumn("context_snippet", F.btrim("context_snippet"))
 
 
 @query("new_responses", sql("""

@@ -18,16 +18,34 @@ from sightline.sources import sinks as S
 C = F.col
 
 
+def _scan_export(t):
+    reg = S.ExporterRegistry()
+    rows = lambda: t.scans().select(
+        F.concat(F.lit('a "quoted" '), "domain").alias("label"), "scanned_at", "score", F.struct("locale").alias("details"))
+    reg.register("scans", rows, ["label", "scanned_at", "score", "details"], ["label", "score"], "scanned_at")
+    return reg.export("scans", ["label", "scanned_at", "score", "details"], datetime(1996, 1, 1), datetime(1996, 12, 31))
+
+
 @query("csv_export", sql("""
 SELECT '"' || 'a ""quoted"" ' || domain || '",' || strftime(scanned_at, '%Y-%m-%dT%H:%M:%S.000Z') || ',' || score || ',"{""locale"":""' || locale || '""}"' AS value
 FROM scans WHERE scanned_at BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'""", "scans"))
 def csv_export(t):
     """CSV lines of an export: allowed columns, a date range, quotes, ISO dates and JSON."""
-    reg = S.ExporterRegistry()
-    rows = lambda: t.scans().select(
-        F.concat(F.lit('a "quoted" '), "domain").alias("label"), "scanned_at", "score", F.struct("locale").alias("details"))
-    reg.register("scans", rows, ["label", "scanned_at", "score", "details"], ["label", "score"], "scanned_at")
-    return S.csv_lines(reg.export("scans", ["label", "scanned_at", "score", "details"], datetime(1996, 1, 1), datetime(1996, 12, 31)))
+    return S.csv_lines(_scan_export(t))
+
+
+@query("csv_files", sql("""
+SELECT 'a "quoted" ' || domain AS label, strftime(scanned_at, '%Y-%m-%dT%H:%M:%S.000Z') AS scanned_at, score::VARCHAR AS score, '{"locale":"' || locale || '"}' AS details
+FROM scans WHERE scanned_at BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31' UNION ALL SELECT chr(65279) || 'label', 'scanned_at', 'score', 'details' || chr(13) || chr(10)""", "scans"))
+def csv_files(t):
+    """The export as files, read back: the rows through the CSV reader, the header file as it stands, with byte-order mark and line end."""
+    path = f"{checkpoint_dir(t.spark)}/csv-{uuid4().hex}"
+    columns = ["label", "scanned_at", "score", "details"]
+    S.write_csv(_scan_export(t), path)
+    rows = t.spark.read.option("lineSep", "\r\n").option("escape", '"').schema(", ".join(f"{c} string" for c in columns)).csv(f"{path}/part=1")
+    head = t.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/part=0").select(F.decode("content", "utf-8").alias("value"))
+    header = head.select(*[F.split_part("value", F.lit(","), F.lit(k + 1)).alias(c) for k, c in enumerate(columns)])
+    return rows.unionByName(header)
 
 
 @query("bi_extract", sql("""

@@ -137,13 +137,17 @@ def cooled_down(df: DataFrame, cooldown_seconds: int, block_cooldowns: int = BLO
 
 
 def failure_step(threshold: int, window_us: int, cooldown_us: int) -> Step:
-    """Failures one by one: an alert when the window holds enough of them and the cooldown is over."""
+    """Failures instant by instant: an alert, for the first row, when the window holds enough of them and the cooldown is over.
+    The rows of an instant come together and all count."""
 
     def step(state: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
         recent, last = (deque(), None) if state is None else (deque(state[0]), state[1])
         picked, counts = [], []
-        for i, at in enumerate(rows["at_us"].tolist()):
-            recent.append(at)
+        times = rows["at_us"].to_numpy()
+        starts = np.flatnonzero(np.append(True, times[1:] != times[:-1])).tolist()
+        for i, end in zip(starts, [*starts[1:], len(times)], strict=True):
+            at = int(times[i])
+            recent.extend([at] * (end - i))
             while recent[0] <= at - window_us:
                 recent.popleft()
             if len(recent) >= threshold and (last is None or at - last >= cooldown_us):

@@ -27,60 +27,57 @@ def _timed(stream: DataFrame, late: str) -> DataFrame:
     return stream.withColumn("ts", C("ts").cast("timestamp")).withWatermark("ts", late).withColumn("at_us", F.unix_micros("ts"))
 
 
+#: rows wait for the watermark in windows of this length
+WAIT_SECONDS = 60
+
+
 class OrderedFold(StatefulProcessor):
-    """Folds the rows of a key in event-time order, whatever order they arrive in.
+    """Folds the rows of a key in event-time order, micro-batch by micro-batch.
 
-    Rows wait in buckets of event time; a timer releases a bucket once the watermark has passed its end, so nothing older can
-    come. Released rows are sorted by (at_us, tie) and folded; only the fold's value is kept on. Rows without a key are clock
-    readings: they move the watermark and are not folded. The value of a key that had no rows for ``idle_ms`` is dropped.
+    The rows of a micro-batch all come after those of earlier ones, as the windows before release them by watermark; so it is
+    enough to sort a micro-batch by (at_us, tie). State is the fold's value. Rows without a key are clock
+    readings: they moved the watermark and are not folded. The value of a key that had no rows for ``idle_ms`` is dropped.
     """
 
-    def __init__(self, step: Step, columns: list[str], kinds: list[str], value_ddl: str, bucket_ms: int, idle_ms: int) -> None:
-        self.step, self.columns, self.kinds, self.value_ddl, self.bucket_ms, self.idle_ms = step, columns, kinds, value_ddl, bucket_ms, idle_ms
+    def __init__(self, step: Step, columns: list[str], value_ddl: str, idle_ms: int) -> None:
+        self.step, self.columns, self.value_ddl, self.idle_ms = step, columns, value_ddl, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        waiting = ", ".join(f"{c} array<{k}>" for c, k in zip(self.columns, self.kinds, strict=True))
-        self.waiting = handle.getMapState("waiting", "bucket long", waiting)
         self.value = handle.getValueState("value", f"{self.value_ddl}, seen long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        if key[0] is not None:
-            new: dict[int, list[pd.DataFrame]] = {}
-            for pdf in rows:
-                for bucket, own in pdf.groupby(pdf["at_us"] // (1000 * self.bucket_ms)):
-                    new.setdefault(int(bucket), []).append(own)
-            for bucket, parts in new.items():
-                old = self.waiting.getValue((bucket,)) if self.waiting.containsKey((bucket,)) else [[] for _ in self.columns]
-                self.waiting.updateValue((bucket,), tuple([*o, *(x for own in parts for x in own[c].tolist())] for o, c in zip(old, self.columns, strict=True)))
-                self.handle.registerTimer((bucket + 1) * self.bucket_ms)
-        return iter(())
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if key[0] is None:
+            return
+        due = pd.concat([own[self.columns] for own in rows]).sort_values(self.columns, kind="stable", ignore_index=True)
+        state = self.value.get() if self.value.exists() else None
+        if state is not None:
+            self.handle.deleteTimer(state[-1] + self.idle_ms)
+        out, folded = self.step(None if state is None else tuple(state[:-1]), due)
+        seen = int(due["at_us"].iloc[-1]) // 1000
+        self.value.update((*folded, seen))
+        self.handle.registerTimer(seen + self.idle_ms)
+        if len(out):
+            yield out.assign(queue=key[0])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = timerValues.getCurrentWatermarkInMs()
-        state = list(self.value.get()) if self.value.exists() else None
-        ready = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.bucket_ms <= now)
-        for bucket in ready:
-            held = self.waiting.getValue((bucket,))
-            self.waiting.removeKey((bucket,))
-            rows = pd.DataFrame(dict(zip(self.columns, map(list, held), strict=True))).sort_values(self.columns, kind="stable", ignore_index=True)
-            out, folded = self.step(None if state is None else tuple(state[:-1]), rows)
-            state = [*folded, int(rows["at_us"].iloc[-1]) // 1000]
-            if len(out):
-                yield out.assign(queue=key[0])
-        if ready:
-            self.value.update(tuple(state))
-            self.handle.registerTimer(state[-1] + self.idle_ms)
-        elif state is not None and state[-1] + self.idle_ms <= now and not any(True for _ in self.waiting.keys()):
-            self.value.clear()
+        self.value.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def _ordered(rows: DataFrame, step: Step, columns: list[str], kinds: list[str], value_ddl: str, idle_seconds: int, schema: str) -> DataFrame:
-    fold = OrderedFold(step, columns, kinds, value_ddl, 60_000, 1000 * idle_seconds)
-    return rows.groupBy("queue").transformWithStateInPandas(fold, schema, "append", "eventtime")
+def _ordered(rows: DataFrame, step: Step, columns: list[str], value_ddl: str, idle_seconds: int, schema: str) -> DataFrame:
+    """The fold of each queue's rows (queue, ts, and ``columns`` with at_us first).
+
+    Rows wait in windows of event time, by queue and window on all executors; a window is released once the watermark has passed
+    its end, so nothing older can come. Only the released rows of a queue meet in the fold.
+    """
+    windows = rows.groupBy("queue", F.window("ts", f"{WAIT_SECONDS} seconds").alias("w")).agg(F.collect_list(F.struct(*columns)).alias("waiting"))
+    released = windows.select("queue", F.window_time("w").alias("ts"), F.inline("waiting"))
+    fold = OrderedFold(step, columns, value_ddl, 1000 * (idle_seconds + WAIT_SECONDS))
+    return released.groupBy("queue").transformWithStateInPandas(fold, schema, "append", "eventtime")
 
 
 def failure_alerts(
@@ -96,7 +93,7 @@ def failure_alerts(
 
     rows = _timed(failures, late).select("queue", "job_id", "ts", "at_us")
     return _ordered(
-        rows, step, ["at_us", "job_id"], ["long", "long"], "recent array<long>, last long", max(window_seconds, cooldown_seconds),
+        rows, step, ["at_us", "job_id"], "recent array<long>, last long", max(window_seconds, cooldown_seconds),
         "queue string, job_id long, at_us long, failures long")
 
 
@@ -109,7 +106,7 @@ def backlog_alerts(gauges: DataFrame, threshold: int = 100, cooldown_seconds: in
         return out, (last,)
 
     rows = _timed(gauges.filter((C("waiting") > threshold) | C("queue").isNull()), late).select("queue", "ts", "at_us", "waiting")
-    return _ordered(rows, step, ["at_us", "waiting"], ["long", "long"], "last long", cooldown_seconds, "queue string, at_us long, waiting long")
+    return _ordered(rows, step, ["at_us", "waiting"], "last long", cooldown_seconds, "queue string, at_us long, waiting long")
 
 
 class RuleCooldown(StatefulProcessor):

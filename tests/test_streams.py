@@ -54,6 +54,20 @@ def test_shuffled_micro_batches_equal_batch(spark, tmp_path, seed):
     assert sorted(map(key, got.collect())) == sorted(map(key, batch.collect()))
 
 
+def test_rows_wait_outside_of_python(spark, tmp_path):
+    rows = [("q", i, T0 + timedelta(minutes=i // 2)) for i in range(600)]  # pairs of equal times
+    clock = [(None, None, T0 + timedelta(days=2))]
+    alerts = S.failure_alerts(stream_of(spark, [rows[::3], rows[1::3], rows[2::3], clock], FAILURE, str(tmp_path)), 4, 120, 3600, "1 day")
+    query = S.write_available(alerts, f"{tmp_path}/out", f"{tmp_path}/state")
+    # a timer and a state call of Python for each minute took most of the time
+    metrics = [op["customMetrics"] for p in query.recentProgress for op in p["stateOperators"]]
+    timers = [m["numRegisteredTimers"] for m in metrics if "numRegisteredTimers" in m]
+    assert timers and sum(timers) <= 4
+    got = spark.read.parquet(f"{tmp_path}/out").select("queue", "job_id", "at_us", "failures").collect()
+    batch = J.failure_alerts(spark.createDataFrame(rows, FAILURE), 4, 120, 3600)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, batch.select("queue", "job_id", "at_us", "failures").collect())) != []
+
+
 def test_rows_wait_for_the_watermark(spark, tmp_path):
     rows = [("q", i, T0 + timedelta(seconds=i)) for i in range(9)]
     got = run(spark, S.failure_alerts(stream_of(spark, [rows], FAILURE, str(tmp_path))), str(tmp_path))

@@ -232,8 +232,8 @@ def send_list(t):
 
 
 def _stream(t, table):
-    """The test table as a file stream."""
-    return t.spark.readStream.schema(t.raw(table).schema).option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", 64).parquet(t.path)
+    """The test table as a file stream. As a pattern, the path may be a file or a folder of files."""
+    return t.spark.readStream.schema(t.raw(table).schema).option("maxFilesPerTrigger", 64).parquet(f"{t.path}/{table}.[p]arquet")
 
 
 def _run(t, stream):

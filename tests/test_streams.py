@@ -7,9 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sightline.catalog.jobs import _stream
 from sightline.operators import jobs as J
 from sightline.operators.matching import keyword_mentions
 from sightline.sources.readers import read_answers
+from sightline.sources.derived import TestTables
 from sightline.streaming import jobs as S
 
 T0 = datetime(2024, 1, 1)
@@ -156,3 +158,15 @@ def test_streamed_rules_equal_a_loop_over_batch_metrics(spark, tmp_path, seed):
                 fired[r["rule_id"]] = end
     assert sorted((r["rule_id"], r["type"], r["period_end"], r["outcome"], r["value"]) for r in got) == sorted(want)
     assert {w[3] for w in want} == {"fired", "quiet", "cooled_down"} and not {15, 16, 17} & {w[0] for w in want}
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_is_a_stream_as_a_file_and_as_a_folder(spark, tmp_path, files):
+    rows = spark.range(30).withColumnRenamed("id", "event_id")
+    path = tmp_path / "sf" / "events.parquet"
+    rows.repartition(files).write.parquet(str(path if files > 1 else tmp_path / "one"))
+    spark.range(5).write.parquet(str(tmp_path / "sf" / "pages.parquet"))
+    if files == 1:
+        next((tmp_path / "one").glob("part-*")).rename(path)
+    stream = _stream(TestTables(spark, str(tmp_path / "sf")), "events")
+    assert run(spark, stream, str(tmp_path)).count() == 30

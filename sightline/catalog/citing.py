@@ -156,11 +156,11 @@ def citation_mappings(t):
 
 @query("new_responses", sql("""
 SELECT citation_id, audit_id, model_name, query_text FROM citations c
-WHERE NOT EXISTS (SELECT 1 FROM citations d JOIN mappings m USING (citation_id) WHERE d.audit_id = c.audit_id AND d.model_name = c.model_name AND d.query_text = c.query_text)""", "citations", "mappings"))
+WHERE NOT EXISTS (SELECT 1 FROM citations d JOIN earlier_mappings m USING (citation_id) WHERE d.audit_id = c.audit_id AND d.model_name = c.model_name AND d.query_text = c.query_text)""", "citations", "earlier_mappings"))
 def new_responses_query(t):
     """Responses whose (audit, model, query) has no mapping yet."""
     c = t.citations()
-    return new_responses(c, c.join(t.mappings().select("citation_id"), "citation_id", "left_semi")).select(
+    return new_responses(c, c.join(t.earlier_mappings().select("citation_id"), "citation_id", "left_semi")).select(
         "citation_id", "audit_id", "model_name", "query_text")
 
 

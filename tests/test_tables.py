@@ -17,6 +17,7 @@ from sightline.operators import series as S
 from sightline.operators.prompts import render_templates
 from sightline.operators.skew import latest_per_key, ordinal, previous_row, previous_values, top_k_per_key
 from sightline.sources import sinks
+from sightline.sources.derived import TestTables
 
 C = F.col
 T0 = datetime(2024, 1, 1)
@@ -239,3 +240,10 @@ def test_keywords_in_several_blocks(spark):
     for block in (1, 3, 100):
         assert sorted((r["item"], r.brand_id) for r in keyword_hits(df, keywords, "item", block=block).collect()) == want
     assert keyword_hits(df, keywords.limit(0), "item").collect() == []
+
+
+def test_each_citation_but_every_fourth_is_mapped(spark):
+    t = TestTables(spark, "/root/testdata/sf0.001")
+    mapped, citations = t.mappings().select("citation_id"), t.citations().select("citation_id")
+    assert mapped.count() == citations.filter("citation_id % 4 <> 3").count() == mapped.distinct().count()
+    assert 0 < t.earlier_mappings().join(mapped, "citation_id").count() < mapped.count()

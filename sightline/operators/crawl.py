@@ -48,7 +48,14 @@ def sitemap_urls(xml: Column) -> Column:
     """Struct of page URLs and nested sitemap URLs of a sitemap text."""
     every = F.regexp_extract_all(xml, F.lit(r"(?i)<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))
     nested = F.regexp_extract_all(xml, F.lit(r"(?i)<sitemap>\s*<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))
-    return F.struct(F.filter(every, lambda u: ~F.array_contains(nested, u)).alias("urls"), nested.alias("indexes"))
+    # bound as members of arrays, so that the text is searched once and not per URL; a text of one kind needs no comparison
+    found = F.array(F.struct(every.alias("every"), nested.alias("nested")))
+    with_pages = F.transform(found, lambda f: F.struct(f["every"].alias("every"), f["nested"].alias("nested"), F.array_except(f["every"], f["nested"]).alias("pages")))
+    parsed = F.transform(with_pages, lambda f: F.struct(
+        F.when(F.size(f["nested"]) == 0, f["every"]).when(F.size(f["pages"]) == 0, f["pages"]).otherwise(
+            F.filter(f["every"], lambda u: F.array_contains(f["pages"], u))).alias("urls"),
+        f["nested"].alias("indexes")))
+    return parsed[0]
 
 
 #: sitemaps of an index that are followed

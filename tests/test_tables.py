@@ -1,6 +1,7 @@
 """Helpers against hot keys, sinks, paging, crawl and jobs on small tables."""
 
 import random
+import time
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -247,3 +248,18 @@ def test_each_citation_but_every_fourth_is_mapped(spark):
     mapped, citations = t.mappings().select("citation_id"), t.citations().select("citation_id")
     assert mapped.count() == citations.filter("citation_id % 4 <> 3").count() == mapped.distinct().count()
     assert 0 < t.earlier_mappings().join(mapped, "citation_id").count() < mapped.count()
+
+
+def test_a_sitemap_is_searched_once(spark):
+    row = lambda *x: spark.createDataFrame([("".join(x),)], "x string").repartition(1).select(W.sitemap_urls(C("x")).alias("s")).first()["s"]
+    assert tuple(row("<sitemap><loc>a</loc></sitemap>", "<url><loc> b </loc></url>" * 2, "<url><loc>a</loc></url>")) == (["b", "b"], ["a"])
+    assert tuple(row("<sitemap><loc>a</loc></sitemap><sitemap> <loc>b</loc></sitemap>")) == ([], ["a", "b"])
+    started = time.monotonic()
+    assert len(row("<urlset>", *[f"<url><loc>https://a.example/p{i}</loc></url>" for i in range(20_000)], "</urlset>")["urls"]) == 20_000
+    assert time.monotonic() - started < 30  # a search of the whole text for each URL takes minutes
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    rows = F.pandas_udf(lambda x: x.map(lambda _: len(x)), "long")
+    texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("t"))
+    assert texts.select(rows("t").alias("n")).agg(F.max("n")).first()[0] < 1000

@@ -1,10 +1,12 @@
 """Near matches of many names in many texts through a deletion-neighbourhood index.
 
 Two strings within k edits have the same string left after at most k characters of each are deleted, and that holds for
-their first characters as well. So names and the distinct word groups of the texts meet on hashes of their first eight
-characters with up to k of them deleted; only pairs that meet are measured. The work follows hits, not names x words, and a
-key has 93 hashes at most whatever its length. Pairs are then led back to the places of their words: frequent words that are
-near no name never leave the join's hash test, and the places of those that are near one spread by project and word.
+their first characters as well. So short names (two edits at most) and the distinct word groups of the texts meet on hashes of
+their first eight characters with up to two of them deleted. A longer name admits three edits, of which its first or its last
+characters, four or five of each, have one at most; there it is enough to delete one character of one end. Only pairs that
+meet are measured. The work follows hits, not names x words, and a key has 77 hashes at most whatever its length. Pairs are
+then led back to the places of their words: frequent words that are near no name never leave the join's hash test, and the
+places of those that are near one spread by project and word.
 
 ``operators/mentions.py`` has the form for a handful of names per project, which stays inside the row of an answer.
 """
@@ -21,20 +23,54 @@ from sightline.operators.mentions import edit_cap, token_spans
 
 C = F.col
 HEAD, MOST_EDITS = 8, 3
-#: sets of up to three of the first eight places, as bits
-_DELETIONS = [m for m in range(1 << HEAD) if m.bit_count() <= MOST_EDITS]
+#: names up to this length admit two edits
+SHORT = 7
+#: least and largest length of names, and how many characters of each end they meet on (two ends fit into a name)
+ENDS = ((8, 9, 4), (10, (1 << 31) - 8, 5))
 
 
-def neighbourhood(text: Column, edits: Column) -> Column:
-    """Hashes of the first characters of a text that is not empty, with up to ``edits`` of them deleted."""
-    size = F.least(F.length(text), F.lit(HEAD))
-    letters = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(text, i, F.lit(1)))
-    fitting = F.filter(
-        F.array(*[F.lit(m) for m in _DELETIONS]), lambda m: (F.bit_count(m) <= edits) & (m < F.call_function("shiftleft", F.lit(1), size)))
-    rest = lambda own, m: F.filter(own, lambda _, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 0)
-    # the letters are bound as the only member of an array, so that they are cut once and not per deletion
-    hashes = F.transform(F.array(letters), lambda own: F.transform(fitting, lambda m: F.xxhash64(rest(own, m))))
-    return F.array_distinct(hashes[0])
+def _kept(text: Column, mask: int, size: int) -> Column:
+    """The first ``size`` characters of a text without the places that are bits of ``mask``."""
+    stay = [i for i in range(size) if not mask >> i & 1]
+    starts = [i for i in stay if i - 1 not in stay]
+    ends = [i for i in stay if i + 1 not in stay]
+    return F.concat(*[F.substring(text, a + 1, b - a + 1) for a, b in zip(starts, ends, strict=True)])
+
+
+def neighbourhood(text: Column, edits: Column, most: int = MOST_EDITS) -> Column:
+    """Hashes of the first characters of a text that is not empty, with up to ``edits`` of them deleted, and no more than ``most``."""
+    masks = [m for m in range(1 << HEAD) if m.bit_count() <= most]
+    hashes = [F.when((edits >= m.bit_count()) & (F.length(text) >= m.bit_length()), F.xxhash64(_kept(text, m, HEAD))) for m in masks]
+    return F.array_compact(F.array_distinct(F.array(*hashes)))
+
+
+def _ends(text: Column, size: int, longer: bool) -> list[Column]:
+    """Hashes of both ends of a text, of ``size`` characters, with one deleted; and of the ends as they are or, if ``longer``, of those of one
+    character more with one deleted. Ends within one edit, one of them in the longer form, share a hash."""
+    out = []
+    for side, own in enumerate((text, F.reverse(text))):
+        left = [_kept(own, 1 << i, size) for i in range(size)]
+        left += [_kept(own, 1 << i, size + 1) for i in range(size + 1)] if longer else [_kept(own, 0, size)]
+        out += [F.xxhash64(F.lit(size), F.lit(side), x) for x in left]
+    return out
+
+
+def _hashes(text: Column, edits: Column, wider: int) -> Column:
+    """Hashes of the head of a text, if it can be short, and of its ends by the classes of ENDS, each ``wider`` at both sides."""
+    n, none = F.length(text), F.array().cast("array<bigint>")
+    short = F.when(n <= SHORT + min(wider, 2), neighbourhood(text, edits, 2)).otherwise(none)
+    long = [F.when(n.between(least - wider, most + wider), F.array(*_ends(text, size, wider > 0))).otherwise(none) for least, most, size in ENDS]
+    return F.array_distinct(F.concat(short, *long))
+
+
+def name_hashes(name: Column) -> Column:
+    """Hashes on which a name meets all word groups within its edits."""
+    return _hashes(name, edit_cap(name), 0)
+
+
+def group_hashes(low: Column) -> Column:
+    """Hashes on which a word group meets all names that it can be near to, of whatever length they are."""
+    return _hashes(low, F.lit(2), MOST_EDITS)
 
 
 def word_groups(answers: DataFrame, sizes: DataFrame, key: str = "snapshot_id") -> DataFrame:
@@ -61,10 +97,8 @@ def near_pairs(groups: DataFrame, names: DataFrame, floor: float = K.FUZZY_FLOOR
     characters in length. Names over four characters need a similarity as well. Equal strings are exact matches, not near.
     """
     cap = edit_cap(C("name"))
-    # a group must reach as far as the longest name that it can be near to
-    reach = edit_cap(F.rpad("low", F.length("low") + MOST_EDITS, "."))
-    left = groups.withColumn("h", F.explode(neighbourhood(C("low"), reach)))
-    right = names.withColumn("h", F.explode(neighbourhood(C("name"), cap)))
+    left = groups.withColumn("h", F.explode(group_hashes(C("low"))))
+    right = names.withColumn("h", F.explode(name_hashes(C("name"))))
     distance = F.levenshtein("low", "name", MOST_EDITS)
     longest = F.when(C("words") == 1, 2).otherwise(MOST_EDITS)
     met = left.join(right, ["project_id", "words", "h"]).filter(
@@ -72,10 +106,10 @@ def near_pairs(groups: DataFrame, names: DataFrame, floor: float = K.FUZZY_FLOOR
     pairs = met.select("project_id", "words", "low", "name").distinct()
     n = F.length("name")
     least = F.when(n <= 7, max(K.FUZZY_FLOOR_MEDIUM, floor)).otherwise(floor)
-    scored = pairs.withColumn("similarity", F.when(n > 4, jaro_winkler(C("low"), C("name"))))
-    sure = scored.filter((n <= 4) | (C("similarity") >= least))
-    share = F.when(n <= 4, 1 - distance / F.greatest(F.length("low"), n)).otherwise(C("similarity"))
-    return sure.select("project_id", "words", "low", "name", (share * 0.9).alias("confidence"))
+    share = F.when(n <= 4, 1 - distance / F.greatest(F.length("low"), n)).otherwise(jaro_winkler(C("low"), C("name")))
+    # as the only member of an array it is computed once, and not again by the filter
+    scored = explode_items(pairs, ["project_id", "words", "low", "name"], F.array(share), "share")
+    return scored.filter((n <= 4) | (C("share") >= least)).select("project_id", "words", "low", "name", (C("share") * 0.9).alias("confidence"))
 
 
 def near_names(answers: DataFrame, names: DataFrame, floor: float = K.FUZZY_FLOOR, key: str = "snapshot_id") -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from sightline.functions.similarity import jaro_winkler
-from sightline.operators.near_names import near_names, neighbourhood
+from sightline.operators.near_names import group_hashes, name_hashes, near_names, neighbourhood
 
 TEXTS = "snapshot_id long, project_id long, text string"
 NAMES = "project_id long, name string"
@@ -89,3 +89,20 @@ def test_empty_tables(spark):
     names = spark.createDataFrame([(1, "acme")], NAMES)
     assert near_names(answers, names).count() == 1
     assert near_names(answers.limit(0), names).collect() == near_names(answers, names.limit(0)).collect() == []
+
+
+def test_names_and_groups_share_one_of_few_hashes(spark):
+    rng = random.Random(15)
+    rows = []
+    for _ in range(1500):
+        name = "".join(rng.choice("abcdé😀") for _ in range(rng.randrange(3, 18)))
+        low = changed(rng, name, rng.randrange(1, 4))
+        cap = 1 if len(name) <= 4 else 2 if len(name) <= 7 else 3
+        if low and edits(name, low) <= cap:
+            rows.append((name, low))
+    df = spark.createDataFrame(rows, "name string, low string")
+    assert df.filter(F.arrays_overlap(name_hashes(F.col("name")), group_hashes(F.col("low")))).count() == len(rows) > 1000
+    most = df.select(F.max(F.size(group_hashes(F.concat("name", "low")))), F.max(F.size(name_hashes(F.col("name"))))).first()
+    assert most[0] <= 77 and most[1] <= 37
+    long = df.filter(F.length("low") > 9).select(F.max(F.size(group_hashes(F.col("low")))).alias("n")).first()["n"]
+    assert long <= 40

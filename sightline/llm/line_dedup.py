@@ -5,7 +5,7 @@ hash, document and position, so that a frequent line is spread over several rang
 range, the first row of each (hash, document) counts a document; counts are added up before they are shuffled by hash.
 Lines of hashes that reach the bound come back as (document, position) and are folded into one bitmap per document:
 64 lines a word, only words with a dropped line are stored, so a document without one has no bitmap. No text moves
-before the bitmaps are applied.
+before the bitmaps are applied; texts are split once for the hashes, which are written, and once for the lines that stay.
 
 A key is the line without the white space at both ends, A-Z lower-cased. Null and empty texts are one empty line. A key
 of under ``min_chars`` characters is never dropped. Rows with the same id are one document when documents are counted,
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.llm.common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -39,7 +41,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_
     source = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     rows = source.select("doc_id", _row_key(F.col("text")).alias("k"), F.posexplode(lines(F.col("text"))).alias("pos", "line"))
     rows = rows.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= min_chars)
-    rows = rows.select("doc_id", "k", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    # read three times: for the bounds of the ranges, for the ranges, and for the lines that go
+    rows = written(rows.select("doc_id", "k", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "lines")
     ranges = rows.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "k", "pos")
     stream = Window.partitionBy("h1", "h2", "doc_id").orderBy("k", "pos")
     first = ranges.select("h1", "h2", "doc_id", "k", "pos", F.row_number().over(stream).alias("n")).filter("n = 1")

@@ -45,3 +45,10 @@ def test_bounds_and_empty_table(spark):
     assert {r.kept_text for r in run(spark, rows, min_chars=3).collect()} == {"ab"}
     assert {r.kept_text for r in run(spark, rows, min_docs=11).collect()} == {"ab\nabc"}
     assert run(spark, []).collect() == []
+
+
+def test_texts_are_split_once_for_the_hashes(spark):
+    docs = spark.createDataFrame([(i, f"a\nb\nown {i}") for i in range(12)], "doc_id long, text string")
+    found = line_dedup.dropped_lines(docs)
+    assert "posexplode" not in found._jdf.queryExecution().toString()
+    assert {r.doc_id: [tuple(w) for w in r.bitmap] for r in found.collect()} == {i: [(0, ~3)] for i in range(12)}

@@ -37,6 +37,8 @@ BATCH = 512
 EXACT = 256
 #: numbers that a step of the pruning holds, about
 CELLS = 1 << 22
+#: numbers of vectors that are compared at a time, about: as many as a core's cache holds
+NEAR_CELLS = 1 << 15
 
 
 def usable(vector: Column) -> Column:
@@ -61,6 +63,14 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("...d,...d->...", d, d)
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers of a sorted array, the place of the first of each, and how many there are of each."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return values[first], first, np.diff(first, append=len(values))
+
+
 class Graph:
     """A directed graph over vectors of similar norm."""
 
@@ -79,6 +89,13 @@ class Graph:
             self._insert(order[done : done + size])
             done += size
 
+    def _apart(self, points: np.ndarray, owner: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Distances of pairs, so many at a time that the copied vectors stay in the cache."""
+        dist, step = np.empty(len(owner)), max(1, NEAR_CELLS // self.x.shape[1])
+        for lo in range(0, len(owner), step):
+            dist[lo : lo + step] = _squared(points[owner[lo : lo + step]], self.x[near[lo : lo + step]])
+        return dist
+
     def _distance(self, points: np.ndarray, ids: np.ndarray) -> np.ndarray:
         return _squared(points[:, None], self.x[ids])
 
@@ -88,6 +105,7 @@ class Graph:
         ids, far = np.full((m, beam), -1, np.int64), np.full((m, beam), np.inf)
         open_, seen = np.zeros((m, beam), bool), np.zeros((m, len(self.x)), bool)
         ids[:, 0], open_[:, 0], seen[:, self.entry] = self.entry, True, True
+        met = seen.ravel()  # the same bits by owner * len(self.x) + vector
         far[:, 0] = self._distance(points, np.full((m, 1), self.entry))[:, 0]
         active = np.arange(m)
         while len(active):
@@ -98,15 +116,13 @@ class Graph:
             owner = np.repeat(active[row], DEGREE)
             near = self.edges[ids[active[row], col]].ravel().astype(np.int64)
             good = near >= 0
-            owner, near = owner[good], near[good]
-            flat = np.unique(owner * len(self.x) + near)
-            owner, near = flat // len(self.x), flat % len(self.x)
-            fresh = ~seen[owner, near]
-            owner, near = owner[fresh], near[fresh]
-            seen[owner, near] = True
+            flat = owner[good] * len(self.x) + near[good]
+            flat = _runs(np.sort(flat[~met[flat]]))[0]
+            met[flat] = True
+            owner, near = np.divmod(flat, len(self.x))
             if len(owner):
-                dist = _squared(points[owner], self.x[near])
-                rows, first, count = np.unique(owner, return_index=True, return_counts=True)
+                dist = self._apart(points, owner, near)
+                rows, first, count = _runs(owner)
                 width = int(count.max())
                 place = np.arange(len(owner)) - np.repeat(first, count)
                 row = np.repeat(np.arange(len(rows)), count)
@@ -152,7 +168,7 @@ class Graph:
         dist = _squared(self.x[to], self.x[source])
         order = np.lexsort((dist, to))
         to, source, dist = to[order], source[order], dist[order]
-        nodes, first, count = np.unique(to, return_index=True, return_counts=True)
+        nodes, first, count = _runs(to)
         place = np.arange(len(to)) - np.repeat(first, count)
         near = place < DEGREE  # of the new ones, the nearest
         row = np.repeat(np.arange(len(nodes)), count)[near]

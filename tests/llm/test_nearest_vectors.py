@@ -82,3 +82,15 @@ def test_recall_with_norms_over_orders_of_magnitude(spark):
     data[3000:] *= 10 ** rng.uniform(-150, 150, (3000, 1))
     assert recall(spark, data[:3000] * 10 ** rng.uniform(-3, 3, (3000, 1)), 20) > 0.97
     assert recall(spark, data, 60) > 0.97
+
+
+def test_search_compares_few_vectors_at_a_time(monkeypatch):
+    vectors = np.random.default_rng(4).normal(size=(1500, 24))
+    graph, sizes, whole = N.Graph(vectors), [], N._squared
+    monkeypatch.setattr(N, "_squared", lambda a, b: (sizes.append(a.size if a.ndim == 2 else 0), whole(a, b))[1])
+    ids, far = graph.search(graph.x[:300], 48)
+    assert 0 < max(sizes) <= N.NEAR_CELLS
+    assert (ids[:, 0] == np.arange(300)).mean() > 0.99
+    for k in range(0, 300, 50):
+        own = ids[k][ids[k] >= 0]
+        assert len(set(own.tolist())) == len(own) and np.array_equal(far[k][: len(own)], whole(graph.x[k], graph.x[own]))

@@ -209,27 +209,23 @@ def _path(model: Pieces, word: bytes) -> list[int]:
 
 def encode_words(model: Pieces, words: list[str]) -> dict[str, bytes]:
     """Packed 32-bit ids of each word."""
-    found: dict[str, bytes] = {}
-    short: list[tuple[str, bytes]] = []
-    for word in words:
-        raw = word.encode("utf-8", "replace")
-        if word == MARK:
-            found[word] = np.array([model.byte_ids[b] for b in raw], np.int32).tobytes()
-        elif len(raw) > LONG_WORD:
-            found[word] = np.array(_path(model, raw), np.int32).tobytes()
-        else:
-            short.append((word, raw))
-    short.sort(key=lambda x: len(x[1]))
-    for k in range(0, len(short), 20_000):
-        names, raws = zip(*short[k : k + 20_000], strict=True)
-        found.update(zip(names, _paths(model, list(raws)), strict=True))
+    raws = [word.encode("utf-8", "replace") for word in words]
+    sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+    found = {words[k]: np.array(_path(model, raws[k]), np.int32).tobytes() for k in np.flatnonzero(sizes > LONG_WORD).tolist()}
+    order = np.argsort(sizes, kind="stable")[: len(raws) - len(found)].tolist()
+    for lo in range(0, len(order), 20_000):
+        own = order[lo : lo + 20_000]
+        found.update(zip(map(words.__getitem__, own), _paths(model, list(map(raws.__getitem__, own))), strict=True))
+    if MARK in found:
+        found[MARK] = np.array([model.byte_ids[b] for b in MARK.encode()], np.int32).tobytes()
     return found
 
 
 def in_slices(column: pa.Array, sizes: np.ndarray, most: int, code: Callable[[pa.Array], pa.Array]) -> pa.Array:
     """``code`` of a column, applied to runs of rows whose sizes add up to about ``most`` (one row at least), so that what it holds
     at a time depends on the longest row but not on how many rows a batch has."""
-    groups = (np.cumsum(sizes) - sizes) // most
+    total = int(sizes.sum())
+    groups = (np.cumsum(sizes) - sizes) * max(1, round(total / most)) // max(1, total)  # of equal size, no small rest
     bounds = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(column)]
     return pa.concat_arrays([code(column.slice(lo, hi - lo)) for lo, hi in zip(bounds, bounds[1:])])
 
@@ -252,10 +248,11 @@ def codec(spark: SparkSession, model: Pieces):
         if not model.splits:
             pattern = re.compile(f"{MARK}|[^{MARK}]+")
         words = [None if x is None else pattern.findall(" " + x) if x else [] for x in text.to_pylist()]
-        fresh = {w for own in words if own for w in own if w not in cache}
+        every = set().union(*filter(None, words))
+        fresh = every.difference(cache)
         if len(cache) + len(fresh) > CACHE_WORDS:
             cache.clear()
-            fresh = {w for own in words if own for w in own}
+            fresh = every
         now = encode_words(model, list(fresh))
         lookup = {**cache, **now} if len(cache) + len(now) > CACHE_WORDS else cache
         if lookup is cache:

@@ -87,3 +87,18 @@ def test_round_trip(spark, monkeypatch, scores, slice_bytes):
     assert {r.doc_id: r.t for r in odd.collect()} == {0: "\ufffd" + model_text(500), 1: "", 2: None}
     assert docs.limit(0).select(encode("text")).collect() == []
     assert docs.select(F.max(F.size(encode("text")))).first()[0] > 10_000
+
+
+def test_slices_are_of_equal_size():
+    import pyarrow as pa
+
+    seen = []
+    same = lambda part: (seen.append(len(part)), part)[1]
+    column = pa.array(list("abcdefghijk"))
+    assert P.in_slices(column, np.full(11, 10), 100, same).equals(column) and seen == [11]
+    seen.clear()
+    assert P.in_slices(column, np.full(11, 10), 50, same).equals(column) and seen == [6, 5]
+    seen.clear()
+    assert P.in_slices(column, np.array([500, *[1] * 10]), 50, same).equals(column) and seen == [1, 10]
+    assert P.in_slices(column[:0], np.zeros(0, np.int64), 50, same).equals(column[:0])
+    assert P.in_slices(column, np.zeros(11, np.int64), 50, same).equals(column)

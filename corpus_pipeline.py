@@ -73,10 +73,10 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @small_batches
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encode, decode = sentence_pieces.codec(spark, sentence_pieces.load_pieces())
-    ids, n_pieces = fresh(docs, "ids"), fresh(docs, "n_pieces")
-    coded = docs.withColumn(ids, encode(F.col("text").cast("string")))
-    return coded.withColumns({"text": decode(ids), n_pieces: F.size(ids).cast("long")})
+    round_trip = sentence_pieces.round_trip(spark, sentence_pieces.load_pieces())
+    own, ids, n_pieces = fresh(docs, "_coded"), fresh(docs, "ids"), fresh(docs, "n_pieces")
+    coded = docs.withColumn(own, round_trip(F.col("text").cast("string")))
+    return coded.withColumns({"text": F.col(own)["text"], ids: F.col(own)["ids"], n_pieces: F.size(F.col(own)["ids"]).cast("long")}).drop(own)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

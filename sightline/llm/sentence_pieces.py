@@ -230,13 +230,12 @@ def in_slices(column: pa.Array, sizes: np.ndarray, most: int, code: Callable[[pa
     return pa.concat_arrays([code(column.slice(lo, hi - lo)) for lo, hi in zip(bounds, bounds[1:])])
 
 
-def codec(spark: SparkSession, model: Pieces):
-    """(encode, decode) column functions: text -> ids and ids -> text."""
+def _coders(spark: SparkSession, model: Pieces) -> tuple[Callable[[pa.Array], pa.Array], Callable[[pa.Array], pa.Array]]:
+    """Arrow functions of a batch: texts -> ids and ids -> texts."""
     sent = spark.sparkContext.broadcast(model)
     cache: dict[str, bytes] = {}
     pieces: list = []
 
-    @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
         text = text.cast(pa.string())
         return in_slices(text, pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64), SLICE_BYTES, encode_some)
@@ -262,7 +261,6 @@ def codec(spark: SparkSession, model: Pieces):
         missing = pa.array([own is None for own in words], pa.bool_())
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)), mask=missing)
 
-    @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         return in_slices(ids, pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64), SLICE_BYTES // 4, decode_some)
 
@@ -290,3 +288,22 @@ def codec(spark: SparkSession, model: Pieces):
             return pa.array([None if x is None else x.decode("utf-8", "replace") for x in column.to_pylist()], pa.string())
 
     return encode, decode
+
+
+def codec(spark: SparkSession, model: Pieces):
+    """(encode, decode) column functions: text -> ids and ids -> text."""
+    encode, decode = _coders(spark, model)
+    return F.arrow_udf(encode, "array<int>"), F.arrow_udf(decode, "string")
+
+
+def round_trip(spark: SparkSession, model: Pieces):
+    """Column function text -> (ids, text decoded from these ids). Where both are wanted, ``decode(encode(text))`` beside ``encode(text)``
+    would encode twice, as Spark evaluates nested Python functions as one and shares no part of them."""
+    encode, decode = _coders(spark, model)
+
+    @F.arrow_udf("struct<ids: array<int>, text: string>")
+    def both(text: pa.Array) -> pa.Array:
+        ids = encode(text)
+        return pa.StructArray.from_arrays([ids, decode(ids)], ["ids", "text"])
+
+    return both

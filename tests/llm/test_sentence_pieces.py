@@ -102,3 +102,36 @@ def test_slices_are_of_equal_size():
     assert P.in_slices(column, np.array([500, *[1] * 10]), 50, same).equals(column) and seen == [1, 10]
     assert P.in_slices(column[:0], np.zeros(0, np.int64), 50, same).equals(column[:0])
     assert P.in_slices(column, np.zeros(11, np.int64), 50, same).equals(column)
+
+
+@pytest.mark.parametrize("job", ["op3_sentence_pieces", "pieces"])
+def test_each_text_is_encoded_once(spark, tmp_path, monkeypatch, job):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    from sightline.llm import queries
+
+    seen, real = spark.sparkContext.accumulator(0), P.in_slices
+
+    def counted(column, *rest):
+        if pa.types.is_string(column.type):
+            seen.add(len(column))
+        return real(column, *rest)
+
+    monkeypatch.setattr(P, "in_slices", counted)
+    texts = [*TEXTS, None, TEXTS[0]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    encode, _ = P.codec(spark, P.load_pieces())
+    apart = {r.doc_id: r for r in docs.select("doc_id", encode("text").alias("ids")).select("*", F.xxhash64("ids").alias("ids_hash")).collect()}
+    before = seen.value
+    assert before == len(texts)
+    if job == "pieces":
+        got = corpus_pipeline.as_pieces(spark, docs, "").collect()
+        assert all((r.text, r.ids) == (texts[r.doc_id], apart[r.doc_id].ids) for r in got)
+    else:
+        got = queries.QUERIES[job](spark, str(tmp_path)).collect()
+        assert all(r.round_trip and r.ids_hash == apart[r.doc_id].ids_hash for r in got)
+    assert sorted(r.doc_id for r in got) == list(range(len(texts)))
+    assert all(r.n_pieces == (None if apart[r.doc_id].ids is None else len(apart[r.doc_id].ids)) for r in got)
+    assert seen.value - before == len(texts)

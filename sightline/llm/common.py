@@ -43,24 +43,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
 TABLE_WORDS = 1 << 16
 
 
-def _places(h: Column) -> list[tuple[Column, Column]]:
+def _places(h: Column, n_words: int) -> list[tuple[Column, Column]]:
     """Two (word, bit) places of a hash in a bit table."""
     part = lambda by, mask: F.shiftrightunsigned(h, by).bitwiseAND(F.lit(mask)).cast("int")
-    return [(part(by, TABLE_WORDS - 1), part(by + 40, 63)) for by in (0, 18)]
+    return [(part(by, n_words - 1), part(by + 40, 63)) for by in (0, 18)]
 
 
-def bit_table(hashes: DataFrame) -> Column:
-    """A Bloom filter of the column ``h``, TABLE_WORDS 64-bit words whatever the number of rows, as a scalar subquery. Null
-    hashes are left out."""
-    places = hashes.filter("h IS NOT NULL").select(F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _places(F.col("h"))])).alias("p"))
+def bit_table(hashes: DataFrame, n_words: int = TABLE_WORDS) -> Column:
+    """A Bloom filter of the column ``h``, ``n_words`` (a power of two) 64-bit words whatever the number of rows, as a scalar
+    subquery. Null hashes are left out."""
+    places = hashes.filter("h IS NOT NULL").select(F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _places(F.col("h"), n_words)])).alias("p"))
     words = places.groupBy(F.col("p.word").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, p.bit)")).alias("bits"))
-    every = hashes.sparkSession.range(TABLE_WORDS).select(F.col("id").cast("int").alias("word"))
+    every = hashes.sparkSession.range(n_words).select(F.col("id").cast("int").alias("word"))
     dense = every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits")).scalar()
 
 
-def might_contain(table: Column, h: Column) -> Column:
-    (w0, b0), (w1, b1) = _places(h)
+def might_contain(table: Column, h: Column, n_words: int = TABLE_WORDS) -> Column:
+    (w0, b0), (w1, b1) = _places(h, n_words)
     return (F.getbit(F.get(table, w0), b0) == 1) & (F.getbit(F.get(table, w1), b1) == 1)
 
 

@@ -56,3 +56,39 @@ def test_null_ids_and_empty_tables(spark):
     b = spark.createDataFrame([(None, text)], "item_id long, text string")
     assert [(r.doc_id, r.item_id, r.matched, r.first_token) for r in D.overlaps(d, b).collect()] == [(None, None, 13, 0)]
     assert D.overlaps(d.limit(0), b).collect() == D.overlaps(d, b.limit(0)).collect() == []
+
+
+def test_long_text_with_many_hits(spark):
+    item = [f"w{i}" for i in range(26)]
+    words = [f"x{i}" for i in range(200_000)]
+    starts = [*range(100, 12_900, 128), *range(20_000, 20_300, 29), len(words) - 26]  # across the edges of blocks of any size
+    for at in starts:
+        words[at : at + 26] = item
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[150:]))], "doc_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in D.overlaps(d, b).collect()}
+    assert got == {1: (7, 13, 100, 21 * len(starts)), 2: (7, 13, 78, 21 * (len(starts) - 1))}
+
+
+def test_no_token_in_the_rows_of_the_last_exchange(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, text)], "item_id long, text string")
+    plan = D.overlaps(d, b)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan) if "doc_id" in x]
+    assert dealt and not any("near" in x for x in dealt)
+
+
+def test_many_items(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(100)]
+    items = [" ".join(rng.choices(words, k=40)) for _ in range(800)]
+    path = f"{tmp_path}/items.parquet"
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1).write.parquet(path)
+    b = spark.read.parquet(path)
+    d = spark.createDataFrame([(k, f"a b {items[k]} c") for k in range(0, 800, 40)] + [(-1, " ".join(rng.choices(words, k=500)))], "doc_id long, text string")
+    found = D.overlaps(d, b)
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()  # the seeds are 80 MB
+    got = [(r.doc_id, r.item_id, r.matched, r.first_token) for r in found.collect()]
+    assert sorted(x for x in got if x[0] == x[1]) == [(k, k, 13, 2) for k in range(0, 800, 40)]
+    assert not [x for x in got if x[0] == -1]

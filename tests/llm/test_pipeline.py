@@ -87,3 +87,14 @@ def test_clashing_columns_and_repeated_rows(spark, folder, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in rows) == [0, 0, 1, 1, 2, 2, 7, 7]  # rows of one id are one document
     assert all([r[c] for c in extra] == list("inldkxy") and len(r.ids_) == r.n_pieces_ for r in rows)
+
+
+def test_long_text_with_many_passages_goes(spark, tmp_path):
+    item = [f"w{i}" for i in range(26)]
+    words = [f"x{i}" for i in range(200_000)]
+    clean = " ".join(words)
+    for at in range(100, 12_900, 128):
+        words[at : at + 26] = item
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, clean), (None, "a b"), (None, " ".join(item))], "doc_id long, text string")
+    spark.createDataFrame([(0, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.doc_id for r in corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)).collect()] == [2]
